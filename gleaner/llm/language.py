@@ -26,6 +26,8 @@ TAIL = 0.001
 #: Characters known to the models; rarer ones are one unknown character. 16 bits each in a key.
 ALPHABET = 4000
 UNDETERMINED = "und"
+#: Scored words that a worker remembers.
+REMEMBERED = 250_000
 _NOT_LETTER = re.compile(r"[\W\d_]+")
 _SHIFT = np.uint64(16)
 
@@ -79,10 +81,7 @@ class Model:
         """(texts x languages cross-entropy in bits a character, characters): nan for a text without letters."""
         counts, words = split_words(texts, alnum=True)
         coded = words.dictionary_encode()
-        distinct = letters_of(coded.dictionary.to_pylist())
-        sums, sizes = self.score_words(distinct) if distinct else (np.zeros((0, len(self.languages))), np.zeros(0, np.int64))
-        empty = np.fromiter((not w for w in distinct), bool, len(distinct))
-        sums[empty], sizes = 0.0, np.where(empty, 0, sizes)
+        sums, sizes = self._scored(coded.dictionary.to_pylist())
         codes = coded.indices.to_numpy()
         upto = np.concatenate(([0], np.cumsum(counts)))
         loss = np.concatenate((np.zeros((1, sums.shape[1])), np.cumsum(sums[codes], axis=0)))
@@ -91,6 +90,25 @@ class Model:
         with np.errstate(divide="ignore", invalid="ignore"):
             return np.where(n[:, None] > 0, -(loss[upto[1:]] - loss[upto[:-1]]) / np.log(2) / n[:, None], np.nan), n
 
+    def _scored(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Sums and sizes of distinct words; those met in earlier chunks are remembered, up to REMEMBERED of them."""
+        held = self.__dict__.setdefault("_held", {})
+        if "_sums" not in self.__dict__ or len(held) + len(words) > REMEMBERED:
+            held.clear()
+            room = REMEMBERED + len(words)
+            self._sums, self._sizes = np.zeros((room, len(self.languages))), np.zeros(room, np.int64)
+        new = [w for w in words if w not in held]
+        if new:
+            at = len(held)
+            letters = letters_of(new)
+            sums, sizes = self.score_words(letters)
+            empty = np.fromiter((not x for x in letters), bool, len(letters))
+            sums[empty], sizes = 0.0, np.where(empty, 0, sizes)
+            self._sums[at : at + len(new)], self._sizes[at : at + len(new)] = sums, sizes
+            held.update(zip(new, range(at, at + len(new))))
+        places = np.fromiter(map(held.__getitem__, words), np.int64, len(words))
+        return self._sums[places], self._sizes[places]
+
     def over_limit(self, best: np.ndarray, entropy: np.ndarray, n: np.ndarray) -> np.ndarray:
         if not self.limit:
             return np.zeros(len(best), bool)
