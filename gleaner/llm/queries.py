@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import decontamination, fingerprints, licenses, mixing
+from . import decontamination, fingerprints, html, language, licenses, mixing, quality, toxicity
 from .common import stash
 
 
@@ -27,6 +28,31 @@ def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return marks.join(groups.select("doc_id", "group_id", "n_copies"), "doc_id")
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    held_out = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(3)) == 1
+    labelled = docs.select("doc_id", "text").join(labels.select("doc_id", "toxic").filter(~held_out), "doc_id")
+    scored = toxicity.score(docs, toxicity.train(docs, labelled))
+    return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"), "neighbours")
+
+
+def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract(table(spark, sf_dir, "pages"))
+
+
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(4)) == 2
+    told = language.predict(docs, language.train(docs.filter(~held_out)))
+    return told.select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "entropy", "rejected")
+
+
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    labelled = docs.select("doc_id", "text").join(labels.select("doc_id", "quality"), "doc_id")
+    return quality.classify(docs, quality.train(labelled))
+
+
 def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
@@ -35,6 +61,10 @@ QUERIES = {
     "op1_decontamination": op1_decontamination,
     "op3_license_scan": op3_license_scan,
     "op4_fingerprints": op4_fingerprints,
+    "op5_toxicity": op5_toxicity,
+    "op6_html_extraction": op6_html_extraction,
+    "op7_language_id": op7_language_id,
+    "op9_quality": op9_quality,
     "op10_source_mix": op10_source_mix,
 }
 
