@@ -92,12 +92,16 @@ def fit(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> Model:
     return Model(mean, scale, w, float(y.mean()))
 
 
-def train(labelled: DataFrame, most: int = FIT) -> Model | None:
-    """Fit on ``labelled`` (doc_id, text, quality); None unless both labels occur. Figures of about ``most`` rows reach the driver."""
-    rows = labelled.select("doc_id", "text", F.col("quality").cast("int").alias("quality")).filter("quality IS NOT NULL")
-    total = rows.count()
+def train(docs: DataFrame, labels: DataFrame, most: int = FIT) -> Model | None:
+    """Fit on the documents (doc_id, text) that ``labels`` (doc_id, quality) names; None unless both labels occur.
+
+    About ``most`` labels are drawn by a hash of the id before the texts are looked up; their figures reach the driver.
+    """
+    marked = labels.select("doc_id", F.col("quality").cast("int").alias("quality")).filter("quality IS NOT NULL")
+    total = marked.count()
     if total > most:
-        rows = rows.filter(F.pmod(F.xxhash64(F.lit("quality"), "doc_id"), F.lit(1 << 30)) < int(most / total * (1 << 30)))
+        marked = marked.filter(F.pmod(F.xxhash64(F.lit("quality"), "doc_id"), F.lit(1 << 30)) < int(most / total * (1 << 30)))
+    rows = docs.select("doc_id", "text").join(stash(marked, "quality-draw"), "doc_id").select("doc_id", "text", "quality")
 
     def run(batches):
         for chunk in text_chunks(batches):

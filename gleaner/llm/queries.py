@@ -31,8 +31,7 @@ def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     held_out = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(3)) == 1
-    labelled = docs.select("doc_id", "text").join(labels.select("doc_id", "toxic").filter(~held_out), "doc_id")
-    scored = toxicity.score(docs, toxicity.train(docs, labelled))
+    scored = toxicity.score(docs, toxicity.train(docs, labels.filter(~held_out)))
     return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"), "neighbours")
 
 
@@ -49,8 +48,7 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
-    labelled = docs.select("doc_id", "text").join(labels.select("doc_id", "quality"), "doc_id")
-    return quality.classify(docs, quality.train(labelled))
+    return quality.classify(docs, quality.train(docs, labels))
 
 
 def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:

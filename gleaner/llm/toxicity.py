@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import split_words, text_chunks
+from .common import split_words, stash, text_chunks
 
 #: Most labelled examples of either label (expected numbers, drawn by a hash of the id).
 TOXIC, CLEAN = 2000, 4000
@@ -223,18 +223,20 @@ def _document_frequency(docs: DataFrame, terms: list[bytes]) -> tuple[np.ndarray
     return np.array([got.get(i, 0) for i in range(len(terms))], float), int(got.get(-1, 0))
 
 
-def train(docs: DataFrame, labelled: DataFrame, toxic: int = TOXIC, clean: int = CLEAN, terms: int = TERMS) -> Index | None:
-    """Index ``labelled`` (doc_id, text, toxic); document frequencies are those of ``docs`` (text). None without both labels.
+def train(docs: DataFrame, labels: DataFrame, toxic: int = TOXIC, clean: int = CLEAN, terms: int = TERMS) -> Index | None:
+    """Index the documents that ``labels`` (doc_id, toxic) names; ``docs``: doc_id, text. None without both labels.
 
-    About ``toxic`` and ``clean`` examples of each label are drawn by a hash of the id. Rows with a null label or text
-    are left out. The driver gets these examples' term counts, never all documents'.
+    About ``toxic`` and ``clean`` examples of each label are drawn by a hash of the id, before their texts are looked
+    up: the written draw is small, so the planner need not move the texts. Rows with a null label or text are left out.
+    Document frequencies are those of all ``docs``. The driver gets the examples' term counts, never all documents'.
     """
-    rows = labelled.select("doc_id", "text", (F.col("toxic") > 0).cast("int").alias("toxic")).filter(F.col("toxic").isNotNull() & F.col("text").isNotNull())
-    n = {r["toxic"]: r["count"] for r in rows.groupBy("toxic").count().collect()}
+    marked = labels.select("doc_id", (F.col("toxic") > 0).cast("int").alias("toxic")).filter(F.col("toxic").isNotNull())
+    n = {r["toxic"]: r["count"] for r in marked.groupBy("toxic").count().collect()}
     if not n.get(0) or not n.get(1):
         return None
     draw = F.pmod(F.xxhash64(F.lit("toxicity"), "doc_id"), F.lit(1 << 30)) / float(1 << 30)
-    rows = rows.filter(draw < F.when(F.col("toxic") == 1, toxic / n[1]).otherwise(clean / n[0]))
+    drawn_rows = stash(marked.filter(draw < F.when(F.col("toxic") == 1, toxic / n[1]).otherwise(clean / n[0])), "toxic-draw")
+    rows = stash(docs.select("doc_id", "text").filter("text IS NOT NULL").join(drawn_rows, "doc_id").select("doc_id", "text", "toxic"), "toxic-examples")
     told = _telling(rows, terms)
     df, total = _document_frequency(docs, told)
     number = {t: i for i, t in enumerate(told)}
@@ -245,7 +247,7 @@ def train(docs: DataFrame, labelled: DataFrame, toxic: int = TOXIC, clean: int =
             got = frequencies(chunk.column(1), number, held)
             yield pa.RecordBatch.from_arrays([chunk.column(0), chunk.column(2), pa.array([sorted(x) for x in got], pa.list_(pa.int32())), pa.array([[x[t] for t in sorted(x)] for x in got], pa.list_(pa.int32()))], ["doc_id", "toxic", "terms", "tf"])
 
-    kind = labelled.schema["doc_id"].dataType.simpleString()
+    kind = docs.schema["doc_id"].dataType.simpleString()
     found = rows.mapInArrow(run, f"doc_id {kind}, toxic int, terms array<int>, tf array<int>").collect()
     # like examples stand in one block: its bounds are tight then
     found.sort(key=lambda r: (r["terms"], r["tf"], r["toxic"], str(r["doc_id"])))
