@@ -293,3 +293,18 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, lang_pred string, score double, entropy double, n_letters long, rejected boolean")
+
+
+def accepted(docs: DataFrame, model: Model | None) -> DataFrame:
+    """The rows of ``docs`` (text and any other columns, all kept) that the model does not reject. Nothing is moved."""
+
+    def run(batches):
+        for chunk in text_chunks(batches):
+            if model is not None:
+                cross, n = model.score(chunk.column(chunk.schema.get_field_index("text")))
+                cross[n == 0] = 0.0
+                best = np.argmin(cross, axis=1)
+                bad = (n == 0) | model.over_limit(best, cross[np.arange(len(best)), best], n)
+                yield chunk.filter(pa.array(~bad))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -83,7 +83,7 @@ def _part(data: bytes) -> list[np.ndarray]:
     sizes = np.frombuffer(data, np.int64, n, 8).tolist()
     at, out = 8 + 8 * n + 4 * n, []
     for i, size in enumerate(sizes):
-        kind = np.dtype(data[8 + 8 * n + 4 * i : 12 + 8 * n + 4 * i].decode().strip())
+        kind = np.dtype(bytes(data[8 + 8 * n + 4 * i : 12 + 8 * n + 4 * i]).decode().strip())
         out.append(np.frombuffer(data, kind, size, at))
         at += size * kind.itemsize
     return out

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, fingerprints, html, language, licenses, mixing, near_duplicates, quality, toxicity
+from . import decontamination, fingerprints, html, language, licenses, mixing, near_duplicates, quality, scoring, toxicity
 from .common import stash
 
 
@@ -50,6 +50,11 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return told.select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "entropy", "rejected")
 
 
+def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(7)) == 2
+    return scoring.score(table(spark, sf_dir, "documents"), ~held_out)
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     return quality.classify(docs, quality.train(docs, labels))
@@ -67,6 +72,7 @@ QUERIES = {
     "op5_toxicity": op5_toxicity,
     "op6_html_extraction": op6_html_extraction,
     "op7_language_id": op7_language_id,
+    "op8_lm_scoring": op8_lm_scoring,
     "op9_quality": op9_quality,
     "op10_source_mix": op10_source_mix,
 }
