@@ -1,6 +1,539 @@
-"""Registered queries over the standard tables, with equivalent SQL where SQL can say them."""
+"""Registered queries over the standard tables, with equivalent SQL where SQL can say them.
+
+The vocabularies of the catalog's own domain hardly occur in these tables, so queries pass words that do, and build texts
+with prices and facts from numeric columns.
+"""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from .functions import markup, rules, text, urls, vocab
+from .operators import graph, relate, upsert
+from .plans import discovery
+from .sources import exports
+from .sources.tables import parse_search, table
+
 QUERIES: dict = {}
 ORACLES: dict = {}
+
+
+def query(sql: str | None = None):
+    def register(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return register
+
+
+# --- SQL for the expressions that several queries share --------------------------------
+
+
+def _domain(c: str) -> str:
+    host = f"rtrim(ltrim(lower(regexp_replace(regexp_replace(regexp_extract({c}, '^(?:[^:/?#]+:)?//([^/?#]*)', 1), '^.*@', ''), ':[^:\\]]*$', '')), '.'), '.')"
+    for prefix in ("www", "m", "amp"):
+        host = f"regexp_replace({host}, '^{prefix}\\.', '')"
+    return host
+
+
+_PATH = r"regexp_replace(regexp_replace(url, '[?#].*$', ''), '^[A-Za-z]+://[^/]*', '')"
+
+
+def _plain(c: str) -> str:
+    return f"trim(regexp_replace(strip_accents(replace(lower({c}), 'ß', 'ss')), '\\s+', ' ', 'g'))"
+
+
+def _list(values: list[str]) -> str:
+    return "[" + ", ".join("'" + v.replace("'", "''") + "'" for v in values) + "]"
+
+
+BLOCKED = ["thther.example.com", "example.net"]
+GAMES, ONLINE, COUNTRY = ["the", "les", "heit", "that"], ["with", "pour", "para"], ["from", "the of", "und"]
+
+
+# --- URLs and domains ------------------------------------------------------------------------
+
+
+def _results(spark: SparkSession, d: str) -> DataFrame:
+    """Pages as search results: their title is the last part of the URL, their description the start of the page."""
+    pages = table(spark, d, "pages")
+    return pages.select(F.col("page_id").alias("seq"), urls.slug_title(F.col("url")).alias("title"), "url", F.substring("html", 1, F.lit(400) + F.col("page_id") % 7).alias("description"), F.concat(F.lit("q"), F.col("page_id") % 5).alias("query"))
+
+
+@query(f"""WITH p AS (SELECT page_id, url, {_domain('url')} AS domain FROM pages),
+k AS (SELECT * FROM p WHERE domain <> '' AND NOT EXISTS (SELECT 1 FROM (SELECT unnest({_list(BLOCKED)}) AS b) WHERE domain = b OR ends_with(domain, '.' || b)))
+SELECT domain, arg_min(regexp_extract(url, '^([^:/?#]+://[^/?#]+)', 1) || '/', page_id) AS homepage, count(*) AS n_results, count(DISTINCT page_id % 5) AS n_queries,
+min(page_id) AS first_seq FROM k GROUP BY domain""")
+def domain_buckets(spark, d):
+    rows = _results(spark, d).withColumn("domain", urls.canonical_domain(F.col("url"))).withColumn("homepage", urls.homepage(F.col("url")))
+    blocked = spark.createDataFrame([(b,) for b in BLOCKED], "domain string")
+    held = relate.buckets(relate.not_blocked(rows, "domain", blocked))
+    return held.select("domain", "homepage", F.size("results").cast("long").alias("n_results"), F.size("queries").cast("long").alias("n_queries"), F.col("results")[0]["seq"].alias("first_seq"))
+
+
+@query(f"""SELECT page_id, {_domain('url')} AS domain, regexp_extract(url, '^([^:/?#]+://[^/?#]+)', 1) || '/' AS homepage, regexp_replace(url, '[?#].*$', '') AS clean,
+regexp_matches(lower({_PATH}), '/(en|de|page)/') AS marked, trim(regexp_replace(replace(regexp_extract(regexp_replace({_PATH}, '/+$', ''), '([^/]*)$', 1), '-', ' '), '\\s+', ' ', 'g')) AS slug FROM pages""")
+def url_parts(spark, d):
+    u = F.col("url")
+    return table(spark, d, "pages").select("page_id", urls.canonical_domain(u).alias("domain"), urls.homepage(u).alias("homepage"), urls.clean(u).alias("clean"), urls.has_path(u, ["/en/", "/de/", "/page/"]).alias("marked"), urls.slug_title(u).alias("slug"))
+
+
+@query(f"""SELECT page_id, {_domain('url')} AS domain FROM pages WHERE EXISTS (SELECT 1 FROM (SELECT unnest({_list(BLOCKED)}) AS b) WHERE {_domain('url')} = b OR ends_with({_domain('url')}, '.' || b))""")
+def blocked_domains(spark, d):
+    domain = urls.canonical_domain(F.col("url"))
+    return table(spark, d, "pages").select("page_id", domain.alias("domain")).filter(rules.is_blocked(F.col("domain"), BLOCKED))
+
+
+@query("""WITH l AS (SELECT page_id, unnest(regexp_extract_all(html, '<a href="([^"]*)"', 1)) AS href, generate_subscripts(regexp_extract_all(html, '<a href="([^"]*)"', 1), 1) AS pos FROM pages)
+SELECT page_id, CAST(pos AS BIGINT) AS pos, href FROM l""")
+def anchor_links(spark, d):
+    found = F.regexp_extract_all("html", F.lit('<a href="([^"]*)"'), F.lit(1))
+    return table(spark, d, "pages").select("page_id", F.posexplode(found).alias("pos", "href")).select("page_id", (F.col("pos") + 1).cast("long").alias("pos"), "href")
+
+
+@query("""WITH l AS (SELECT page_id, url, unnest(regexp_extract_all(html, '<a href="([^"]*)"', 1)) AS href FROM pages)
+SELECT page_id, href, regexp_extract(url, '^([A-Za-z]+://[^/?#]*)', 1) || href AS resolved FROM l WHERE starts_with(href, '/')""")
+def resolved_links(spark, d):
+    found = F.regexp_extract_all("html", F.lit('<a href="([^"]*)"'), F.lit(1))
+    rows = table(spark, d, "pages").select("page_id", "url", F.explode(found).alias("href")).filter(F.col("href").startswith("/"))
+    return rows.select("page_id", "href", urls.resolve(F.col("url"), F.col("href")).alias("resolved"))
+
+
+@query("""WITH u AS (SELECT c_custkey, CASE c_custkey % 4 WHEN 0 THEN 'https://www.instagram.com/' || lower(c_mktsegment) || '/?x=1' WHEN 1 THEN 'https://facebook.com/share/' || c_custkey
+WHEN 2 THEN 'https://m.facebook.com/shop' || c_custkey ELSE 'https://example.org/' END AS url FROM customer)
+SELECT c_custkey, CASE c_custkey % 4 WHEN 0 THEN 'https://instagram.com/' || lower(regexp_extract(url, 'com/([^/?]*)', 1)) ELSE '' END AS instagram,
+CASE c_custkey % 4 WHEN 2 THEN 'https://facebook.com/' || regexp_extract(url, 'com/(.*)$', 1) ELSE '' END AS facebook FROM u""")
+def social_profiles(spark, d):
+    k = F.col("c_custkey") % 4
+    url = F.when(k == 0, F.concat(F.lit("https://www.instagram.com/"), F.lower("c_mktsegment"), F.lit("/?x=1"))).when(k == 1, F.concat(F.lit("https://facebook.com/share/"), "c_custkey")).when(k == 2, F.concat(F.lit("https://m.facebook.com/shop"), "c_custkey")).otherwise("https://example.org/")
+    links = F.array(F.lit("https://facebook.com/events/1"), url)
+    return table(spark, d, "customer").select("c_custkey", urls.first_social(links, "instagram").alias("instagram"), urls.first_social(links, "facebook").alias("facebook"))
+
+
+@query("""SELECT p_partkey, CASE WHEN p_size >= 100 OR p_size >= 30 THEN 'b.jpg' WHEN p_size > 20 THEN 'b.jpg' ELSE 'a.jpg' END AS widest FROM part""")
+def srcset_widest(spark, d):
+    srcset = F.concat(F.lit("a.jpg 20w, b.jpg "), "p_size", F.lit("w, c.jpg "), "p_size", F.lit("w, d.jpg"))
+    return table(spark, d, "part").select("p_partkey", urls.widest(srcset).alias("widest"))
+
+
+# --- text ---------------------------------------------------------------------------------------
+
+
+@query(f"""SELECT doc_id, md5({_plain('text')}) AS folded, md5(trim(regexp_replace(regexp_replace({_plain('text')}, '[^a-z0-9]+', ' ', 'g'), '\\s+', ' ', 'g'))) AS matched,
+md5(trim(regexp_replace(lower(strip_accents(replace(text, 'ß', ''))), '\\s+', ' ', 'g'))) AS ascii FROM documents""")
+def text_normalize(spark, d):
+    c = F.col("text")
+    return table(spark, d, "documents").select("doc_id", F.md5(text.normalize_text(c)).alias("folded"), F.md5(text.normalize_match(c)).alias("matched"), F.md5(text.normalize_ascii(c)).alias("ascii"))
+
+
+_MARKS = "''\":;,.!?/\\|()[]{}+-_"
+_TITLE = f"trim(regexp_replace(translate(lower(replace(strip_accents(replace(substring(text, 1, 12), 'ß', '')), '&', ' and ')), '{_MARKS}', '                      '), '\\s+', ' ', 'g'))"
+
+
+@query(f"""SELECT doc_id, title FROM (SELECT doc_id, {_TITLE} AS title, row_number() OVER (PARTITION BY {_TITLE} ORDER BY doc_id) AS n FROM documents) WHERE n = 1 AND title <> ''""")
+def title_key_dedupe(spark, d):
+    rows = table(spark, d, "documents").select("doc_id", text.normalize_title(F.substring("text", 1, 12)).alias("title")).filter("title <> ''")
+    return relate.keep_first(rows, ["title"], ["doc_id"])
+
+
+@query("""SELECT doc_id, CASE WHEN contains(t, ' | ') THEN trim(split_part(t, ' | ', 1)) WHEN contains(t, ' - ') THEN trim(split_part(t, ' - ', 1)) ELSE '' END AS stripped,
+trim(split_part(split_part(t, ' | ', 1), ' - ', 1)) AS cleaned FROM (SELECT doc_id, trim(regexp_replace(substring(text, 1, 80), '\\s+', ' ', 'g')) AS t FROM documents)""")
+def title_suffixes(spark, d):
+    head = F.substring("text", 1, 80)
+    return table(spark, d, "documents").select("doc_id", text.strip_suffix(head).alias("stripped"), text.clean_title(head).alias("cleaned"))
+
+
+@query("""SELECT p_partkey, sha256('Name: ' || p_name || chr(10) || 'Spanish name: ' || chr(10) || 'Description: ' || p_type || chr(10) || 'Description_es: ' || chr(10) || 'Categories: ' || p_brand || ', ' || p_type || chr(10) || 'Mechanics: ' || chr(10) || 'Families: ' || p_brand) AS source_hash FROM part""")
+def embedding_text_hash(spark, d):
+    rows = table(spark, d, "part").select("p_partkey", F.col("p_name").alias("canonical_name"), F.lit("").alias("canonical_name_es"), F.col("p_type").alias("description"), F.lit("").alias("description_es"), F.array("p_brand", F.lit(" "), "p_type").alias("categories"), F.array().cast("array<string>").alias("mechanics"), F.array("p_brand").alias("families"))
+    return rows.select("p_partkey", text.source_hash(discovery.embedding_text()).alias("source_hash"))
+
+
+@query("""SELECT o_orderkey, try_cast(CASE WHEN o_orderkey % 3 = 0 THEN 'n/a' WHEN o_orderkey % 3 = 1 THEN '' ELSE CAST(o_custkey AS VARCHAR) END AS INTEGER) AS number,
+try_cast(CASE WHEN o_orderkey % 4 = 0 THEN '1.2.3' ELSE CAST(o_custkey AS VARCHAR) || '.5' END AS DOUBLE) AS price FROM orders""")
+def coerced_scalars(spark, d):
+    k = F.col("o_orderkey")
+    number = F.when(k % 3 == 0, "n/a").when(k % 3 == 1, "").otherwise(F.col("o_custkey").cast("string"))
+    cost = F.when(k % 4 == 0, "1.2.3").otherwise(F.concat(F.col("o_custkey").cast("string"), F.lit(".5")))
+    return table(spark, d, "orders").select("o_orderkey", text.optional_int(number).alias("number"), text.optional_price(cost).cast("double").alias("price"))
+
+
+# --- classification ---------------------------------------------------------------------------------
+
+
+def _hits(terms: list[str]) -> str:
+    return f"list_sort(list_filter({_list(terms)}, lambda t: contains(t0, t)))"
+
+
+@query(f"""SELECT doc_id, array_to_string({_hits(GAMES)}, ',') AS hits, CAST(len({_hits(GAMES)}) AS BIGINT) AS n FROM (SELECT doc_id, {_plain('text')} AS t0 FROM documents)""")
+def term_hits(spark, d):
+    found = rules.substring_hits(text.normalize_text(F.col("text")), GAMES)
+    return table(spark, d, "documents").select("doc_id", found.alias("f")).select("doc_id", F.array_join("f", ",").alias("hits"), F.size("f").cast("long").alias("n"))
+
+
+@query(f"""WITH b AS (SELECT doc_id, source, {_plain('text')} AS t0, CASE WHEN doc_id % 3 = 0 THEN 'shop.mx' WHEN doc_id % 11 = 0 THEN 'a.blocked.org' ELSE 'shop.com' END AS domain FROM documents),
+h AS (SELECT doc_id, domain, len({_hits(GAMES)}) AS g, len({_hits(ONLINE)}) AS o, len({_hits(COUNTRY)}) AS c, ends_with(domain, '.mx') AS mx FROM b),
+s AS (SELECT *, least(1.0, CASE WHEN g > 0 THEN 0.34 ELSE 0 END + CASE WHEN o > 0 THEN 0.31 ELSE 0 END + CASE WHEN c > 0 THEN 0.22 ELSE 0 END + CASE WHEN mx THEN 0.1 ELSE 0 END + CASE WHEN g >= 2 THEN 0.02 ELSE 0 END + CASE WHEN o >= 2 THEN 0.01 ELSE 0 END) AS score, g > 0 AND o > 0 AND (c > 0 OR mx) AS ok FROM h)
+SELECT doc_id, CASE WHEN domain = 'a.blocked.org' THEN false ELSE ok END AS accepted, CAST(round(CASE WHEN domain = 'a.blocked.org' THEN 0 WHEN ok THEN score ELSE least(score, 0.49) END, 4) AS DOUBLE) AS confidence,
+CASE WHEN domain = 'a.blocked.org' THEN 'blocked_domain' ELSE CASE WHEN g > 0 THEN '' ELSE 'missing_' END || 'boardgame,' || CASE WHEN o > 0 THEN '' ELSE 'missing_' END || 'online_store,' || CASE WHEN c > 0 OR mx THEN '' ELSE 'missing_' END || 'mexico' END AS reasons FROM s""")
+def store_classify(spark, d):
+    domain = F.when(F.col("doc_id") % 3 == 0, "shop.mx").when(F.col("doc_id") % 11 == 0, "a.blocked.org").otherwise("shop.com")
+    judged = rules.store_decision(domain, F.col("text"), GAMES, ONLINE, COUNTRY, ["blocked.org"])
+    return table(spark, d, "documents").select("doc_id", judged.alias("j")).select("doc_id", "j.accepted", F.round("j.confidence", 4).alias("confidence"), F.array_join("j.reasons", ",").alias("reasons"))
+
+
+IG, IX, IO = ["the", "with", "les", "der", "el"], ["reing", "heit"], ["on", "in", "la", "de"]
+
+
+def _words(terms: list[str]) -> str:
+    return "(" + " + ".join(f"CAST(regexp_matches(t0, '(^|\\W){t}($|\\W)') AS INTEGER)" for t in terms) + ")"
+
+
+@query(f"""WITH b AS (SELECT doc_id, trim(regexp_replace(lower(strip_accents(replace(text || ' ' || source, 'ß', ''))), '\\s+', ' ', 'g')) AS t0, doc_id % 4 = 0 AS pl, doc_id % 5 = 0 AS mi, doc_id % 7 = 0 AS ag, source = 'src3' AS pu FROM documents),
+h AS (SELECT *, {_words(IG)} AS g, {_words(IX)} AS x, {_words(IO)} AS o FROM b),
+s AS (SELECT *, CASE WHEN pl THEN 0.35 ELSE 0 END + CASE WHEN mi THEN 0.2 ELSE 0 END + CASE WHEN ag THEN 0.15 ELSE 0 END + least(0.45, 0.15 * g) + CASE WHEN pu THEN 0.3 ELSE 0 END + CASE WHEN x > 0 THEN 0.3 ELSE 0 END AS p, least(0.85, 0.25 * o) AS n FROM h)
+SELECT doc_id, CASE WHEN x > 0 THEN 'LIKELY_EXPANSION' WHEN p >= 0.5 THEN 'LIKELY_BOARDGAME' WHEN n >= 0.5 THEN 'LIKELY_NON_BOARDGAME' WHEN p > 0 THEN 'LIKELY_BOARDGAME' ELSE 'UNCERTAIN' END AS category,
+CAST(greatest(0, least(0.99, CASE WHEN x > 0 THEN 0.75 + p / 4 WHEN p >= 0.5 THEN 0.65 + p / 3 WHEN n >= 0.5 THEN 0.65 + n / 3 WHEN p > 0 THEN 0.55 + p / 4 ELSE 0.5 END)) AS DOUBLE) AS exact FROM s""")
+def item_classify(spark, d):
+    k = F.col("doc_id")
+    n = lambda m: F.when(k % m == 0, 2)
+    none = F.lit("")
+    held = table(spark, d, "documents").withColumn("j", rules.item_decision(F.col("text"), F.when(F.col("source") == "src3", "src3").otherwise(F.col("source")), none, none, none, n(4), n(4), n(5), n(5), n(7), IG, IX, IO, ["src3"]))
+    # the confidence before rounding, from the same evidence, to compare exactly
+    held = held.withColumn("n", rules.let(text.normalize_ascii(F.concat_ws(" ", "text", "source")), lambda t: F.array(*(F.size(rules.word_hits(t, w)) for w in (IG, IX, IO)))))
+    g, x, o = (F.col("n")[i] for i in range(3))
+    p = F.when(k % 4 == 0, 0.35).otherwise(0.0) + F.when(k % 5 == 0, 0.2).otherwise(0.0) + F.when(k % 7 == 0, 0.15).otherwise(0.0) + F.least(F.lit(0.45), 0.15 * g) + F.when(F.col("source").contains("src3"), 0.3).otherwise(0.0) + F.when(x > 0, 0.3).otherwise(0.0)
+    against = F.least(F.lit(0.85), 0.25 * o)
+    exact = F.when(x > 0, 0.75 + p / 4).when(p >= 0.5, 0.65 + p / 3).when(against >= 0.5, 0.65 + against / 3).when(p > 0, 0.55 + p / 4).otherwise(0.5)
+    return held.select("doc_id", "j.category", F.greatest(F.lit(0.0), F.least(F.lit(0.99), exact)).alias("exact"))
+
+
+@query("""WITH t AS (SELECT s_suppkey, CASE s_suppkey % 5 WHEN 0 THEN 'Envios desde Nuevo León y más' WHEN 1 THEN 'Tienda en LEÓN, Guanajuato' WHEN 2 THEN 'baja california sur' WHEN 3 THEN 'Mexico City y Puebla' ELSE s_name END AS t FROM supplier)
+SELECT s_suppkey, CASE s_suppkey % 5 WHEN 1 THEN 'León' WHEN 3 THEN 'Ciudad de México' ELSE '' END AS city, CASE s_suppkey % 5 WHEN 0 THEN 'Nuevo León' WHEN 1 THEN 'Guanajuato' WHEN 2 THEN 'Baja California' WHEN 3 THEN 'Ciudad de México' ELSE '' END AS state FROM t""")
+def infer_location(spark, d):
+    k = F.col("s_suppkey") % 5
+    said = F.when(k == 0, "Envios desde Nuevo León y más").when(k == 1, "Tienda en LEÓN, Guanajuato").when(k == 2, "baja california sur").when(k == 3, "Mexico City y Puebla").otherwise(F.col("s_name"))
+    return table(spark, d, "supplier").select("s_suppkey", rules.location(said).alias("l")).select("s_suppkey", "l.city", "l.state")
+
+
+_COST = "CASE o_orderkey % 4 WHEN 0 THEN 'solo $ ' || o_custkey || ',000 hoy' WHEN 1 THEN 'por ' || o_custkey || '.50 MXN' WHEN 2 THEN 'MXN ' || o_custkey ELSE 'sin precio' END"
+
+
+@query(f"""WITH t AS (SELECT o_orderkey, {_COST} AS t FROM orders)
+SELECT o_orderkey, trim(regexp_extract(t, '(?i)(\\$\\s*[0-9][0-9,.]*|[0-9][0-9,.]*\\s*mxn|mxn\\s*[0-9][0-9,.]*)', 1)) AS raw,
+CASE o_orderkey % 4 WHEN 3 THEN '' WHEN 1 THEN replace(regexp_extract(t, '([0-9][0-9,.]*)', 1), ',', '') ELSE replace(regexp_extract(t, '([0-9][0-9,.]*)', 1), ',', '') || '.00' END AS price FROM t""")
+def price_extract(spark, d):
+    k, c = F.col("o_orderkey") % 4, F.col("o_custkey").cast("string")
+    said = F.when(k == 0, F.concat(F.lit("solo $ "), c, F.lit(",000 hoy"))).when(k == 1, F.concat(F.lit("por "), c, F.lit(".50 MXN"))).when(k == 2, F.concat(F.lit("MXN "), c)).otherwise("sin precio")
+    return table(spark, d, "orders").select("o_orderkey", rules.price(said).alias("p")).select("o_orderkey", "p.raw", "p.price")
+
+
+@query("""SELECT p_partkey, CAST(p_size % 4 + 1 AS INTEGER) AS least, CAST(p_size % 4 + 3 AS INTEGER) AS most, CAST(CASE WHEN p_partkey % 2 = 0 THEN p_size ELSE p_size + 5 END AS INTEGER) AS min_minutes, CAST(CASE WHEN p_partkey % 2 = 0 THEN p_size + 30 ELSE p_size + 5 END AS INTEGER) AS max_minutes,
+CASE WHEN p_partkey % 3 = 0 THEN CAST(p_size % 12 + 3 AS INTEGER) END AS min_age FROM part""")
+def facts_extract(spark, d):
+    n, k = F.col("p_size"), F.col("p_partkey")
+    who = F.when(k % 5 == 0, F.concat(F.lit("Jugadores: "), n % 4 + 1, F.lit(" a "), n % 4 + 3)).otherwise(F.concat(F.lit("de "), n % 4 + 1, F.lit(" - "), n % 4 + 3, F.lit(" jugadores")))
+    how = F.when(k % 2 == 0, F.concat(n, F.lit("–"), n + 30, F.lit(" min"))).otherwise(F.concat(n + 5, F.lit(" minutos")))
+    age = F.when(k % 3 == 0, F.concat(F.lit("Edad: "), n % 12 + 3, F.lit("+"))).otherwise(F.lit("10 años"))
+    said = F.concat_ws(". ", who, how, age)
+    return table(spark, d, "part").select("p_partkey", rules.players(said).alias("p"), rules.minutes(said).alias("m"), rules.min_age(said).alias("min_age")).select("p_partkey", "p.least", "p.most", F.col("m.least").alias("min_minutes"), F.col("m.most").alias("max_minutes"), "min_age")
+
+
+@query(f"""SELECT doc_id, CASE WHEN regexp_matches(t0, '\\b(?:the|with)\\b') = regexp_matches(t0, '\\b(?:la|el)\\b') THEN '' WHEN regexp_matches(t0, '\\b(?:the|with)\\b') THEN 'en' ELSE 'es' END AS language FROM (SELECT doc_id, {_plain('text')} AS t0 FROM documents)""")
+def language_detect(spark, d):
+    return table(spark, d, "documents").select("doc_id", rules.language_of(F.col("text"), r"\b(?:the|with)\b", r"\b(?:la|el)\b").alias("language"))
+
+
+@query("""SELECT o_orderkey, CASE o_orderkey % 5 WHEN 0 THEN 'out_of_stock' WHEN 1 THEN 'available' WHEN 2 THEN 'out_of_stock' WHEN 3 THEN 'available' ELSE 'unknown' END AS availability,
+CASE o_orderkey % 5 WHEN 0 THEN 'out_of_stock' WHEN 1 THEN 'available' ELSE 'unknown' END AS offered FROM orders""")
+def availability_rules(spark, d):
+    k = F.col("o_orderkey") % 5
+    said = F.when(k == 0, "AGOTADO").when(k == 1, "Agregar al carrito").when(k == 2, "no disponible").when(k == 3, "indisponible").otherwise(F.col("o_orderpriority"))
+    offer = F.when(k == 0, "https://schema.org/SoldOut").when(k == 1, "InStock")
+    return table(spark, d, "orders").select("o_orderkey", rules.availability(said).alias("availability"), rules.schema_availability(offer).alias("offered"))
+
+
+# --- relations -------------------------------------------------------------------------------------
+
+
+@query("""SELECT o_custkey, o_orderkey, o_totalprice FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY floor(o_totalprice / 50000) DESC, o_orderkey) AS n FROM orders) WHERE n = 1""")
+def best_per_group(spark, d):
+    orders = table(spark, d, "orders").select("o_custkey", "o_orderkey", "o_totalprice")
+    return relate.best_by(orders, ["o_custkey"], F.floor(F.col("o_totalprice") / 50000), "o_orderkey")
+
+
+@query(f"""WITH p AS (SELECT page_id, {_domain('url')} AS domain, regexp_extract(html, '<title>(.*?)</title>', 1) AS title FROM pages)
+SELECT domain, coalesce(arg_min(title, page_id) FILTER (WHERE title <> '' AND page_id % 3 <> 0), '') AS title, md5(string_agg(title, ' ' ORDER BY page_id) FILTER (WHERE title <> '')) AS texts, count(DISTINCT page_id % 4) AS n_links FROM p GROUP BY domain""")
+def metadata_fold(spark, d):
+    title = F.regexp_extract("html", "<title>(.*?)</title>", 1)
+    rows = table(spark, d, "pages").select("page_id", urls.canonical_domain(F.col("url")).alias("domain"), F.when(F.col("page_id") % 3 != 0, title).otherwise("").alias("title"), title.alias("texts"), F.array((F.col("page_id") % 4).cast("string")).alias("links"))
+    return relate.fold_metadata(rows, "domain", "page_id", ["title"], "texts", "links").select("domain", "title", F.md5("texts").alias("texts"), F.size("links").cast("long").alias("n_links"))
+
+
+@query("""SELECT page_id, trim(replace(replace(replace(replace(replace(regexp_extract(html, '(?s)<title>(.*?)</title>', 1), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#x27;', ''''), '&amp;', '&')) AS title FROM pages""")
+def page_titles(spark, d):
+    return table(spark, d, "pages").select("page_id", markup.site("html").alias("s")).select("page_id", "s.title")
+
+
+@query("""WITH e AS (SELECT user_id % 50 AS u, event_id AS pos, event_type = 'click' AS is_link, event_type || event_id AS t FROM events),
+i AS (SELECT *, sum(CAST(is_link AS INTEGER)) OVER (PARTITION BY u ORDER BY pos) AS island, row_number() OVER (PARTITION BY u ORDER BY pos) AS r FROM e),
+c AS (SELECT a.u, a.pos, string_agg(b.t, ' ' ORDER BY b.pos) AS context FROM i a LEFT JOIN i b ON a.u = b.u AND NOT b.is_link AND ((b.r BETWEEN a.r - 3 AND a.r - 1 AND b.island = a.island - 1) OR (b.r BETWEEN a.r + 1 AND a.r + 7 AND b.island = a.island)) WHERE a.is_link GROUP BY a.u, a.pos)
+SELECT u, pos, coalesce(context, '') AS context FROM c""")
+def nearby_text(spark, d):
+    rows = table(spark, d, "events").select((F.col("user_id") % 50).alias("u"), F.col("event_id").alias("pos"), (F.col("event_type") == "click").alias("is_link"), F.concat("event_type", "event_id").alias("t"))
+    return relate.nearby_rows(rows, "u", "pos", "is_link", "t")
+
+
+@query("""SELECT c_custkey, coalesce(names, '') AS names FROM customer LEFT JOIN (SELECT o_custkey, string_agg(o_orderpriority, ', ' ORDER BY o_orderpriority) AS names FROM orders WHERE o_totalprice > 200000 GROUP BY 1) ON c_custkey = o_custkey""")
+def lateral_names(spark, d):
+    orders = table(spark, d, "orders").filter("o_totalprice > 200000")
+    bridge = orders.select(F.col("o_custkey").alias("c_custkey"), F.col("o_orderpriority").alias("ref"))
+    names = table(spark, d, "orders").select(F.col("o_orderpriority").alias("ref")).distinct().withColumn("name", F.col("ref"))
+    return relate.lateral_names(table(spark, d, "customer").select("c_custkey"), bridge, names, "c_custkey", "ref", "names").select("c_custkey", F.array_join("names", ", ").alias("names"))
+
+
+@query("""SELECT c_custkey, c_name FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderpriority = '1-URGENT')""")
+def missing_only(spark, d):
+    urgent = table(spark, d, "orders").filter("o_orderpriority = '1-URGENT'").select(F.col("o_custkey").alias("c_custkey"))
+    return relate.missing(table(spark, d, "customer").select("c_custkey", "c_name"), urgent, "c_custkey")
+
+
+@query("""SELECT p_partkey AS item_id, EXISTS (SELECT 1 FROM lineitem WHERE l_partkey = p_partkey AND l_returnflag = 'A') AS has_approved_listing, EXISTS (SELECT 1 FROM lineitem WHERE l_partkey = p_partkey AND l_linenumber = 7) AS is_expansion
+FROM part WHERE EXISTS (SELECT 1 FROM lineitem WHERE l_partkey = p_partkey AND l_quantity > 49)""")
+def active_items(spark, d):
+    lines = table(spark, d, "lineitem")
+    listings = lines.select(F.col("l_partkey").alias("item_id"), F.when(F.col("l_returnflag") == "A", "APPROVED").otherwise("OTHER").alias("status"), (F.col("l_quantity") > 49).alias("confirmed"))
+    relations = lines.filter("l_linenumber = 7").select(F.col("l_partkey").alias("item_a_id"), F.lit("extension").alias("link_type"))
+    return relate.active_items(table(spark, d, "part").select(F.col("p_partkey").alias("item_id")), listings, relations)
+
+
+@query("""SELECT s_suppkey, s_name, s_acctbal FROM supplier WHERE s_nationkey < 12 AND s_acctbal > 0 ORDER BY s_acctbal DESC, lower(s_name), s_suppkey LIMIT 20""")
+def topk_order(spark, d):
+    rows = table(spark, d, "supplier").select("s_suppkey", "s_name", "s_acctbal", "s_nationkey").filter("s_nationkey < 12 AND s_acctbal > 0")
+    return rows.orderBy(F.col("s_acctbal").desc(), F.lower("s_name"), "s_suppkey").limit(20).drop("s_nationkey")
+
+
+@query("""WITH q AS (SELECT n_nationkey AS seq, 0 AS k, 'shop ' || n_name AS q FROM nation UNION ALL SELECT r_regionkey + 1000000, t, CASE t WHEN 0 THEN 'SHOP ' || r_name ELSE 'buy in ' || lower(r_name) END FROM region, (VALUES (0), (1)) v(t) UNION ALL SELECT n_nationkey + 2000000, 0, 'Shop ' || lower(n_name) FROM nation)
+SELECT q AS query FROM (SELECT *, row_number() OVER (PARTITION BY lower(q) ORDER BY seq, k) AS n FROM q) WHERE n = 1""")
+def query_templates(spark, d):
+    nation, region = table(spark, d, "nation"), table(spark, d, "region")
+    core = nation.select(F.col("n_nationkey").cast("long").alias("seq"), F.concat(F.lit("shop "), "n_name").alias("query"))
+    late = nation.select((F.col("n_nationkey") + 2_000_000).cast("long").alias("seq"), F.concat(F.lit("Shop "), F.lower("n_name")).alias("query"))
+    places = region.select(F.col("r_regionkey").cast("long").alias("seq"), F.col("r_name").alias("place"))
+    first = relate.query_strings(core, places, ["SHOP %s", "buy in %s"])
+    both = first.unionByName(late.withColumn("k", F.lit(0)))
+    return relate.keep_first(both.withColumn("query", F.when(F.col("query").startswith("buy"), F.lower("query")).otherwise(F.col("query"))), [F.lower("query")], ["seq", "k"]).select("query")
+
+
+@query("""SELECT o_orderstatus AS status, count(*) AS n, count(DISTINCT o_custkey) AS domains, count(*) FILTER (WHERE o_totalprice > 100000) AS accepted FROM orders GROUP BY 1""")
+def run_counters(spark, d):
+    return table(spark, d, "orders").groupBy(F.col("o_orderstatus").alias("status")).agg(F.count(F.lit(1)).alias("n"), F.countDistinct("o_custkey").alias("domains"), F.count_if(F.col("o_totalprice") > 100000).alias("accepted"))
+
+
+@query("""SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_returnflag = 'R' AND NOT EXISTS (SELECT 1 FROM lineitem e WHERE e.l_returnflag <> 'R' AND e.l_partkey IS NOT DISTINCT FROM lineitem.l_partkey AND e.l_shipmode0 = lineitem.l_shipmode0)""".replace("FROM lineitem WHERE l_returnflag = 'R'", "FROM (SELECT *, l_suppkey % 40 AS l_shipmode0 FROM lineitem) lineitem WHERE l_returnflag = 'R'").replace("FROM lineitem e", "FROM (SELECT *, l_suppkey % 40 AS l_shipmode0 FROM lineitem) e"))
+def crawl_frontier(spark, d):
+    lines = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_returnflag", F.col("l_partkey").alias("store_id"), (F.col("l_suppkey") % 40).alias("source_url"))
+    return relate.frontier(lines.filter("l_returnflag = 'R'"), lines.filter("l_returnflag <> 'R'")).select("l_orderkey", "l_linenumber")
+
+
+# --- upserts -----------------------------------------------------------------------------------------
+
+
+def _halves(spark, d):
+    orders = table(spark, d, "orders").select(F.when(F.col("o_custkey") % 9 != 0, F.col("o_custkey")).alias("store_id"), F.concat(F.lit("u"), "o_orderkey").alias("source_url"), "o_totalprice", "o_orderkey")
+    return orders.filter("o_orderkey % 3 <> 0"), orders.filter("o_orderkey % 2 = 0").withColumn("o_totalprice", F.col("o_totalprice") + 1)
+
+
+_HALVES = "o AS (SELECT CASE WHEN o_custkey % 9 <> 0 THEN o_custkey END AS store_id, 'u' || o_orderkey AS source_url, o_totalprice, o_orderkey FROM orders), t AS (SELECT * FROM o WHERE o_orderkey % 3 <> 0), s AS (SELECT * REPLACE (o_totalprice + 1 AS o_totalprice) FROM o WHERE o_orderkey % 2 = 0)"
+
+
+@query(f"""WITH {_HALVES} SELECT coalesce(s.store_id, t.store_id) AS store_id, coalesce(s.source_url, t.source_url) AS source_url, round(coalesce(s.o_totalprice, t.o_totalprice), 2) AS price
+FROM t FULL JOIN s ON t.source_url = s.source_url AND t.store_id IS NOT DISTINCT FROM s.store_id""")
+def upsert_stores(spark, d):
+    target, source = _halves(spark, d)
+    return upsert.upsert(target, source, ["store_id", "source_url"]).select("store_id", "source_url", F.round("o_totalprice", 2).alias("price"))
+
+
+@query(f"""WITH {_HALVES}, k AS (SELECT *, o_orderkey % 5 = 1 AS has_item, o_orderkey % 7 = 1 AS done FROM t)
+SELECT s.source_url, CASE WHEN k.source_url IS NULL THEN 'PENDING' ELSE 'SEEN' END AS status, CASE WHEN k.has_item THEN k.o_orderkey END AS item_id, (k.source_url IS NULL OR (NOT k.has_item AND NOT k.done)) AS should_process
+FROM s LEFT JOIN k ON k.source_url = s.source_url AND k.store_id IS NOT DISTINCT FROM s.store_id""")
+def upsert_items(spark, d):
+    target, source = _halves(spark, d)
+    k = F.col("o_orderkey")
+    target = target.select(k.alias("id"), "store_id", "source_url", "o_totalprice", F.lit("SEEN").alias("listing_status"), F.when(k % 5 == 1, k).alias("item_id"), F.lit("").alias("match_source"), F.when(k % 7 == 1, F.current_timestamp()).alias("processed_at"))
+    _, result = upsert.upsert_items(target, source.select("store_id", "source_url", "o_totalprice", F.lit("PENDING").alias("listing_status")))
+    urls_ = upsert.with_ids(target, source.select("store_id", "source_url"), ["store_id", "source_url"], "id").select(F.col("id").alias("candidate_id"), "source_url")
+    return result.join(urls_, "candidate_id").select("source_url", F.col("listing_status").alias("status"), "item_id", "should_process")
+
+
+@query("""WITH t AS (SELECT vec_id AS item_id, label AS dims, 'old' AS model FROM embeddings WHERE vec_id % 3 <> 0), s AS (SELECT vec_id AS item_id, len(embedding) AS dims, 'new' AS model FROM embeddings WHERE vec_id % 2 = 0)
+SELECT coalesce(s.item_id, t.item_id) AS item_id, CAST(coalesce(s.dims, t.dims) AS INTEGER) AS dims, coalesce(s.model, t.model) AS model FROM t FULL JOIN s ON s.item_id = t.item_id""")
+def upsert_embeddings(spark, d):
+    rows = table(spark, d, "embeddings")
+    target = rows.filter("vec_id % 3 <> 0").select(F.col("vec_id").alias("item_id"), F.col("label").alias("dims"), F.lit("old").alias("model"))
+    source = rows.filter("vec_id % 2 = 0").select(F.col("vec_id").alias("item_id"), F.size("embedding").alias("dims"), F.lit("new").alias("model"))
+    return upsert.upsert(target, source, ["item_id"])
+
+
+@query("""SELECT p_partkey AS bgg_id, CAST(coalesce(nullif(p_size % 5, 0), p_size) AS INTEGER) AS min_minutes, CAST(coalesce(nullif(p_size % 3, 0), p_size) AS INTEGER) AS max_minutes, CASE WHEN p_partkey % 4 = 0 THEN 'thumb' ELSE p_name END AS image_url, CASE WHEN p_partkey % 2 = 0 THEN 'expansion' ELSE 'base_game' END AS item_type FROM part""")
+def import_fallbacks(spark, d):
+    n = F.col("p_size")
+    things = table(spark, d, "part").select(F.col("p_partkey").alias("bgg_id"), (n % 5).alias("min_playtime"), (n % 3).alias("max_playtime"), n.alias("playing_time"), F.when(F.col("p_partkey") % 4 == 0, "").otherwise(F.col("p_name")).alias("image"), F.lit("thumb").alias("thumbnail"), F.when(F.col("p_partkey") % 2 == 0, "boardgameexpansion").otherwise("boardgame").alias("item_type"))
+    return upsert.import_row(things).select("bgg_id", "min_minutes", "max_minutes", "image_url", "item_type")
+
+
+@query("""SELECT DISTINCT l_partkey AS item_id, l_suppkey AS category_id FROM lineitem""")
+def bridge_ignore_dups(spark, d):
+    pairs = table(spark, d, "lineitem").select(F.col("l_partkey").alias("item_id"), F.col("l_suppkey").alias("category_id"), "l_linenumber")
+    old = pairs.filter("l_linenumber <= 2").drop("l_linenumber").distinct()
+    return upsert.insert_missing(old, pairs.filter("l_linenumber > 2").drop("l_linenumber"), ["item_id", "category_id"])
+
+
+@query("""WITH e AS (SELECT DISTINCT l_partkey % 150 AS a, CASE WHEN l_linenumber % 2 = 0 THEN 'extension' ELSE 'other' END AS t, l_suppkey % 150 AS b, l_returnflag = 'R' AS src FROM lineitem),
+s AS (SELECT DISTINCT a, t, b FROM e WHERE src), o AS (SELECT DISTINCT a, t, b FROM e WHERE NOT src)
+SELECT a AS item_a_id, t AS link_type, b AS item_b_id FROM s UNION SELECT a, t, b FROM o WHERE NOT EXISTS (SELECT 1 FROM s WHERE s.t = 'extension' AND s.t = o.t AND s.a = o.b AND s.b = o.a)""")
+def inverse_edges(spark, d):
+    e = table(spark, d, "lineitem").select((F.col("l_partkey") % 150).alias("item_a_id"), F.when(F.col("l_linenumber") % 2 == 0, "extension").otherwise("other").alias("link_type"), (F.col("l_suppkey") % 150).alias("item_b_id"), (F.col("l_returnflag") == "R").alias("src"))
+    return upsert.relate_items(e.filter("NOT src").drop("src").distinct(), e.filter("src").drop("src").distinct())
+
+
+@query("""SELECT c_custkey, coalesce(a.s_suppkey, b.id) AS publisher_id FROM customer LEFT JOIN (SELECT * FROM supplier WHERE s_suppkey % 2 = 0) a ON c_custkey = a.s_suppkey LEFT JOIN (SELECT 'n' || s_nationkey AS name, min(s_suppkey) AS id FROM supplier GROUP BY 1) b ON 'n' || c_nationkey = b.name""")
+def publisher_lookup(spark, d):
+    publishers = table(spark, d, "supplier").select(F.col("s_suppkey").alias("id"), F.when(F.col("s_suppkey") % 2 == 0, F.col("s_suppkey")).alias("bgg_id"), F.concat(F.lit("n"), "s_nationkey").alias("name"))
+    links = table(spark, d, "customer").select("c_custkey", F.col("c_custkey").alias("bgg_id"), F.concat(F.lit("n"), "c_nationkey").alias("name"))
+    return upsert.resolve_publishers(links, publishers).select("c_custkey", "publisher_id")
+
+
+@query("""SELECT p_partkey AS item_id, coalesce(p, -1) AS parent_item_id FROM part LEFT JOIN (SELECT l_partkey, arg_max(l_suppkey, l_orderkey * 10 + l_linenumber) AS p FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1) ON l_partkey = p_partkey""")
+def parent_pointers(spark, d):
+    items = table(spark, d, "part").select(F.col("p_partkey").alias("item_id"), F.lit(-1).cast("long").alias("parent_item_id"))
+    links = table(spark, d, "lineitem").filter("l_returnflag = 'R'").select(F.col("l_partkey").alias("item_id"), F.col("l_suppkey").alias("parent_id"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("seq"))
+    return upsert.set_parents(items, links)
+
+
+@query("""SELECT o_orderkey AS id, CASE WHEN o_orderkey % 6 = 0 THEN 'failed' WHEN o_orderkey % 4 = 0 THEN 'old' END AS processing_error, o_orderstatus AS match_source FROM orders""")
+def mark_errors(spark, d):
+    k = F.col("o_orderkey")
+    target = table(spark, d, "orders").select(k.alias("id"), F.when(k % 4 == 0, "old").alias("processing_error"), F.col("o_orderstatus").alias("match_source"))
+    return upsert.mark_errors(target, target.filter("id % 6 = 0").select("id", F.lit("failed").alias("error")))
+
+
+# --- graphs --------------------------------------------------------------------------------------------
+
+
+@query("""WITH RECURSIVE e AS (SELECT n_nationkey AS src, (n_nationkey * 3 + 1) % 25 AS dst FROM nation UNION SELECT n_nationkey, n_regionkey FROM nation),
+r AS (SELECT n_nationkey AS seed, n_nationkey AS id FROM nation WHERE n_regionkey = 1 UNION SELECT r.seed, e.dst FROM r JOIN e ON e.src = r.id) SELECT CAST(seed AS INTEGER) AS seed, CAST(id AS INTEGER) AS id FROM r""")
+def link_closure(spark, d):
+    n = table(spark, d, "nation")
+    k = F.col("n_nationkey")
+    edges = n.select(k.alias("src"), ((k * 3 + 1) % 25).alias("dst")).unionByName(n.select(k.alias("src"), F.col("n_regionkey").alias("dst")))
+    return graph.closure(edges, n.filter("n_regionkey = 1").select(k.alias("id"))).select("seed", "id")
+
+
+def _sitemaps(spark, d):
+    """Each page stands for a sitemap entry: an index for each host, with two nested maps."""
+    pages = table(spark, d, "pages").select("page_id", F.concat(F.lit("https://h"), F.col("page_id") % 5, F.lit(".org")).alias("root"))
+    loc = F.concat(F.lit("<loc> <![CDATA["), "root", F.lit("/product/"), "page_id", F.lit("?a=1&amp;b=2]]> </loc>"))
+    maps = pages.groupBy("root", (F.col("page_id") % 2).alias("half")).agg(F.array_join(F.array_sort(F.collect_list(loc)), "").alias("b"))
+    nested = maps.select(F.concat("root", F.lit("/sitemap-products-"), "half", F.lit(".xml")).alias("url"), F.concat(F.lit("<urlset>"), "b", F.lit("<loc>https://other.org/product/1</loc></urlset>")).alias("body"))
+    top = pages.select("root").distinct().select(F.concat("root", F.lit("/sitemap.xml")).alias("url"), F.concat(F.lit("<sitemapindex><loc>"), "root", F.lit("/sitemap-products-0.xml</loc><loc>/sitemap-products-1.xml</loc><loc>"), "root", F.lit("/sitemap.xml</loc></sitemapindex>")).alias("body"))
+    return top, nested
+
+
+@query("""SELECT 'https://h' || (page_id % 5) || '.org/product/' || page_id AS url FROM pages""")
+def sitemap_frontier(spark, d):
+    top, nested = _sitemaps(spark, d)
+    found, _ = graph.crawl(top.select("url"), top.unionByName(nested))
+    return found
+
+
+# --- payloads and exports ---------------------------------------------------------------------------------
+
+
+@query("""SELECT event_id, json_extract_string(props, '$.k') AS k FROM events""")
+def json_props(spark, d):
+    return table(spark, d, "events").select("event_id", F.get_json_object("props", "$.k").alias("k"))
+
+
+@query("""SELECT n_nationkey, CAST(1 AS INTEGER) AS rank, n_name AS title, 'https://x.org/' || n_nationkey AS url, 'about ' || n_name || ' more' AS description FROM nation""")
+def search_payload(spark, d):
+    body = F.concat(F.lit('{"web":{"results":[{"title":"t","url":""},{"name":"'), "n_name", F.lit('","title":"","url":"https://x.org/'), "n_nationkey", F.lit('","description":"about '), "n_name", F.lit('","extra_snippets":["","more"]}]}}'))
+    return table(spark, d, "nation").select("n_nationkey", F.explode(parse_search(body)).alias("r")).select("n_nationkey", "r.*")
+
+
+@query("""SELECT s_suppkey, s_name AS store_name, printf('%.2f', s_acctbal) AS confidence, 'a | n' || s_nationkey AS source_queries, 'x | x' AS evidence FROM supplier""")
+def store_export(spark, d):
+    s = table(spark, d, "supplier")
+    rows = s.select("s_suppkey", F.col("s_name").alias("store_name"), F.col("s_acctbal").alias("confidence"), F.array(F.concat(F.lit("n"), "s_nationkey"), F.lit("a"), F.lit("a")).alias("source_queries"), F.array(F.lit("x"), F.lit("x")).alias("evidence"), *(F.lit("").alias(c) for c in vocab.STORE_COLUMNS if c not in ("store_name", "confidence", "source_queries", "evidence", "canonical_domain")), F.col("s_suppkey").cast("string").alias("canonical_domain"))
+    return exports.store_rows(rows).select(F.col("canonical_domain").cast("long").alias("s_suppkey"), "store_name", "confidence", "source_queries", "evidence")
+
+
+@query("""SELECT o_orderkey, CASE WHEN o_totalprice > 100000 THEN 'True' ELSE 'False' END AS accepted, o_orderstatus || ' | ' || o_orderpriority AS reasons FROM orders""")
+def audit_export(spark, d):
+    blank = [F.lit("").alias(c) for c in ("website_url", "store_name", "title", "description")]
+    rows = table(spark, d, "orders").select(F.col("o_orderkey").alias("canonical_domain"), (F.col("o_totalprice") > 100000).alias("accepted"), F.lit(0.5).alias("confidence"), F.array("o_orderstatus", "o_orderpriority").alias("reasons"), F.array().cast("array<string>").alias("source_queries"), *blank)
+    return exports.audit_rows(rows).select(F.col("canonical_domain").cast("long").alias("o_orderkey"), "accepted", "reasons")
+
+
+@query()
+def store_discovery(spark, d):
+    """The whole first job on pages as results: one audit row a domain."""
+    pages = table(spark, d, "pages").select("url", "html")
+    blocked = spark.createDataFrame([(b,) for b in BLOCKED], "domain string")
+    _, audit = discovery.discover_stores(_results(spark, d), pages.dropDuplicates(["url"]), blocked, games=GAMES, online=ONLINE, country=COUNTRY)
+    return exports.audit_rows(audit)
+
+
+@query()
+def product_pages(spark, d):
+    """Detail records of all pages, with the classification of each."""
+    rows = markup.product_details(table(spark, d, "pages"))
+    rows = rows.withColumn("structured", markup.json_values(F.get_json_object("raw_payload", "$.json_ld")))
+    judged = rules.item_decision(*(F.col(c) for c in ("title", "publisher", "description", "item_type", "structured")), *(F.col(c) for c in ("min_players", "max_players", "min_minutes", "max_minutes", "min_age")))
+    return rules.apply_item_decision(rows, judged).drop("raw_payload", "structured")
+
+
+@query()
+def listing_pages(spark, d):
+    """Product links of pages with their context; links of the pages' own host count as products here."""
+    pages = table(spark, d, "pages").select("url", F.replace("html", F.lit('<a href="/'), F.lit('<a href="/producto/')).alias("html"))
+    return markup.listing_candidates(pages.dropDuplicates(["url"]))
+
+
+@query()
+def search_xml(spark, d):
+    body = F.concat(F.lit('<items><item type="boardgame" id="'), F.col("n_nationkey") + 1, F.lit('"><name type="alternate" value="x"/><name type="primary" value="'), "n_name", F.lit('"/><yearpublished value="1995"/></item><item id="0"/></items>'))
+    return table(spark, d, "nation").select("n_nationkey", F.explode(markup.search_items(body)).alias("i")).select("n_nationkey", "i.*")
+
+
+@query()
+def thing_xml(spark, d):
+    body = F.concat(F.lit('<items><item type="boardgameexpansion" id="'), F.col("p_partkey"), F.lit('"><name type="primary" value="'), "p_name", F.lit('"/><description>d</description><minplayers value="2"/><maxplayers value="x"/><link type="boardgamecategory" id="7" value="c"/><link type="boardgameexpansion" id="9" value="p" inbound="true"/></item></items>'))
+    held = table(spark, d, "part").select(markup.thing(body).alias("t"))
+    return held.select("t.bgg_id", "t.name", "t.min_players", "t.max_players", F.size(markup.links_of(F.col("t"), "category")).alias("n_categories"), F.size(markup.links_of(F.col("t"), "parent")).alias("n_parents"))
+
+
+@query()
+def embedding_refresh(spark, d):
+    """The third job with a deterministic stand-in for the embedding service."""
+    items = table(spark, d, "part").select(F.col("p_partkey").alias("item_id"), F.col("p_name").alias("canonical_name"), F.lit("").alias("canonical_name_es"), F.col("p_type").alias("description"), F.lit("").alias("description_es"))
+    names = table(spark, d, "supplier").select(F.col("s_suppkey").alias("ref"), F.col("s_name").alias("name"))
+    bridge = table(spark, d, "lineitem").filter("l_linenumber = 1").select(F.col("l_partkey").alias("item_id"), F.col("l_suppkey").alias("ref")).distinct()
+    old = items.filter("item_id % 3 = 0").select("item_id", F.array(F.lit(0.0).cast("float")).alias("embedding"), F.lit("").alias("source_hash"), F.lit("old").alias("model"), F.lit(1).alias("dims"))
+    out = discovery.refresh_embeddings(items, {"categories": (bridge, names), "mechanics": (bridge.limit(0), names), "families": (bridge.limit(0), names)}, old, lambda texts: [[float(len(t)), float(t.count(","))] for t in texts], "stub")
+    return out.select("item_id", "model", "dims", "source_hash", F.col("embedding")[0].cast("double").alias("first"))
+
+
+@query("""SELECT l_returnflag, l_linestatus, count(*) AS n, round(sum(l_extendedprice), 2) AS price FROM lineitem GROUP BY CUBE (l_returnflag, l_linestatus)""")
+def listing_cube(spark, d):
+    """An extra of this engine: totals over every combination of two columns."""
+    return table(spark, d, "lineitem").cube("l_returnflag", "l_linestatus").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("l_extendedprice"), 2).alias("price"))
+
+
+@query("""SELECT vec_id, label, n FROM (SELECT vec_id, label, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS n FROM embeddings) WHERE n <= 3""")
+def first_of_label(spark, d):
+    w = Window.partitionBy("label").orderBy("vec_id")
+    return table(spark, d, "embeddings").select("vec_id", "label", F.row_number().over(w).cast("long").alias("n")).filter("n <= 3")
