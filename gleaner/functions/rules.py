@@ -219,7 +219,11 @@ def item_language(title: Column, url: Column, description: Column, page: Column)
         return let(language_of(value), lambda found: F.when(found != "", F.struct(found.alias("language"), F.lit(source).alias("source"), evidence(value).alias("evidence"))))
 
     text = collapse(page)
-    scoped = [let(F.coalesce(snippet(text, label), F.lit("")), lambda x, source=source: told(source, x, lambda v: v)) for source, label in vocab.LANGUAGE_LABELS.items()]
+
+    def labelled(source: str, label: str) -> Column:
+        return let(F.coalesce(snippet(text, label), F.lit("")), lambda x: told(source, x, lambda v: v))
+
+    scoped = [labelled(*x) for x in vocab.LANGUAGE_LABELS.items()]
     none = F.struct(F.lit("").alias("language"), F.lit("").alias("source"), F.lit("").alias("evidence"))
     return F.coalesce(told("title", title, collapse), told("source_url", url, collapse), *scoped, told("description", description, language_evidence), told("page_text", page, language_evidence), none)
 
