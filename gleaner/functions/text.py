@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import sys
 import unicodedata
 
 from pyspark.sql import Column
@@ -12,7 +11,7 @@ from pyspark.sql import functions as F
 def _folding() -> tuple[str, str, dict[str, str]]:
     """Letters whose case fold, decomposed and without marks, is one other character; and those that become several."""
     one, many = {}, {}
-    for point in range(0xA0, min(sys.maxunicode, 0x3000)):
+    for point in (*range(0xA0, 0x250), *range(0x1E00, 0x1F00)):  # Latin letters
         c = chr(point)
         if unicodedata.category(c)[0] not in "LN":
             continue
