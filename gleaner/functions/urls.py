@@ -119,3 +119,33 @@ def widest(srcset: Column) -> Column:
 def item_url(kind: Column, number: Column) -> Column:
     path = F.when(kind == "boardgameexpansion", "boardgameexpansion").otherwise("boardgame")
     return F.concat(F.lit("https://boardgamegeek.com/"), path, F.lit("/"), number.cast("string"))
+
+
+def url_tokens(url: Column) -> Column:
+    """Telling tokens of a URL's last part, in order and with repeats."""
+    from .text import fold
+
+    last = F.element_at(F.split(F.regexp_replace(path_of(url), "/+$", ""), "/"), -1)
+    plain = F.regexp_replace(fold(last), r"[^\x00-\x7F]", "")
+    return F.filter(F.split(plain, "[^a-z0-9]+"), lambda t: (F.length(t) >= 4) & ~t.isin(vocab.URL_STOPS))
+
+
+def is_rendered(url: Column, body: Column) -> Column:
+    """Does a rendered page show a price or cart, and a telling token of its URL (if that has any)?"""
+    from .text import fold
+
+    words = F.split(fold(body), "[^a-z0-9]+")
+    marked = body.rlike(r"\$\s*[0-9]") | F.arrays_overlap(words, F.array(F.lit("cart"), F.lit("carrito"), F.lit("agotado"))) | (F.array_contains(words, "sold") & F.array_contains(words, "out"))
+    asked = url_tokens(url)
+    return marked & ((F.size(asked) == 0) | F.arrays_overlap(words, asked))
+
+
+def asset_key(slug: Column, prefix: str = "") -> Column:
+    folder = prefix.strip().strip("/")
+    return F.concat(F.lit(f"{folder}/" if folder else ""), slugify(slug), F.lit(".webp"))
+
+
+def public_url(base: str, key: Column) -> Column:
+    """URL of a key, percent-encoded part by part (a blank is %20)."""
+    parts = F.transform(F.split(F.btrim(key, F.lit("/")), "/"), lambda p: F.replace(F.url_encode(p), F.lit("+"), F.lit("%20")))
+    return F.concat(F.lit(base.rstrip("/") + "/"), F.array_join(parts, "/")) if base.rstrip("/") else F.lit("")

@@ -38,3 +38,17 @@ def write(rows: DataFrame, folder: str, name: str) -> tuple[str, str]:
     rows.write.mode("overwrite").option("header", True).csv(csv)
     rows.write.mode("overwrite").json(text)
     return csv, text
+
+
+#: Columns that an item write sets, in order; match columns are never among them.
+ITEM_COLUMNS = (
+    "store_id source_url source_listing_url title publisher description item_id item_type min_players max_players min_minutes max_minutes min_age language language_source "
+    "language_evidence image_url listing_status raw_price price price_source currency availability availability_source store_sku raw_payload is_boardgame is_boardgame_confirmed "
+    "category_confidence classification_reasons"
+).split()
+
+
+def item_rows(items: DataFrame) -> DataFrame:
+    """Item candidates as they are written: prices as decimals, an empty one null, reasons as JSON; absent columns are null."""
+    made = {"price": F.nullif(F.trim("price"), F.lit("")).try_cast("decimal(12,2)"), "classification_reasons": F.to_json("classification_reasons")}
+    return items.select(*((made.get(c, F.col(c)) if c in items.columns else F.lit(None).cast("string")).alias(c) for c in ITEM_COLUMNS))
