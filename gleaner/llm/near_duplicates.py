@@ -89,15 +89,39 @@ def _part(data: bytes) -> list[np.ndarray]:
     return out
 
 
+def _squeeze(*arrays: np.ndarray) -> bytes:
+    """As _join, with the bytes of equal weight side by side and compressed: high bytes of small numbers cost little."""
+    import zstandard
+
+    planes = [np.ascontiguousarray(a.view(np.uint8).reshape(len(a), a.dtype.itemsize).T).ravel() if len(a) else np.zeros(0, np.uint8) for a in arrays]
+    head = np.array([len(arrays), *(len(a) for a in arrays)], np.int64).tobytes()
+    kinds = b"".join(a.dtype.str.encode().ljust(4) for a in arrays)
+    return head + kinds + zstandard.ZstdCompressor(level=1).compress(np.concatenate(planes).tobytes())
+
+
+def _spread(data: bytes) -> list[np.ndarray]:
+    import zstandard
+
+    n = int(np.frombuffer(data, np.int64, 1)[0])
+    sizes = np.frombuffer(data, np.int64, n, 8).tolist()
+    head = 8 + 12 * n
+    flat, at, out = np.frombuffer(zstandard.ZstdDecompressor().decompress(data[head:]), np.uint8), 0, []
+    for i, size in enumerate(sizes):
+        kind = np.dtype(data[8 + 8 * n + 4 * i : 12 + 8 * n + 4 * i].decode().strip())
+        out.append(np.ascontiguousarray(flat[at : at + size * kind.itemsize].reshape(kind.itemsize, size).T).ravel().view(kind))
+        at += size * kind.itemsize
+    return out
+
+
 def _small(x: np.ndarray) -> np.ndarray:
     top = int(x.max(initial=0))
     return x.astype(np.uint16 if top < 1 << 16 else np.uint32 if top < 1 << 32 else np.uint64)
 
 
-def _pack_tokens(tokens: np.ndarray, sets: np.ndarray, keys: np.ndarray, sizes: np.ndarray) -> bytes:
+def _pack_tokens(tokens: np.ndarray, sets: np.ndarray, keys: np.ndarray) -> bytes:
     """Sorted tokens as differences, with the number of each one's set in a table of the sets that occur."""
     used, local = np.unique(sets, return_inverse=True)
-    return _join(tokens[:1], _small(np.diff(tokens)), _small(local), keys[used], _small(sizes[used]))
+    return _squeeze(tokens[:1], _small(np.diff(tokens)), _small(local), keys[used])
 
 
 _EXCHANGE = "part int, payload binary, doc_id {kind}, n long, key long"
@@ -114,7 +138,6 @@ def _deal(docs: DataFrame, parts: int) -> DataFrame:
         tokens: list[np.ndarray] = []
         sets: list[np.ndarray] = []
         keys: list[int] = []
-        sizes: list[int] = []
         ids = None
 
         def flush():
@@ -123,12 +146,12 @@ def _deal(docs: DataFrame, parts: int) -> DataFrame:
             token, own = np.concatenate(tokens), np.concatenate(sets)
             order = np.argsort(token, kind="stable")
             token, own = token[order], own[order]
-            table, lengths = np.array(keys, np.uint64), np.array(sizes, np.int64)
+            table = np.array(keys, np.uint64)
             # the parts cut the range of hashes evenly
             part = ((token >> np.uint64(16)) * np.uint64(parts)) >> np.uint64(64 - 16 - int(KEPT))
             cuts = np.searchsorted(part, np.arange(parts + 1))
-            rows = [(p, _pack_tokens(token[a:b], own[a:b], table, lengths)) for p, (a, b) in enumerate(zip(cuts.tolist(), cuts[1:].tolist())) if b > a]
-            for held in (tokens, sets, keys, sizes):
+            rows = [(p, _pack_tokens(token[a:b], own[a:b], table)) for p, (a, b) in enumerate(zip(cuts.tolist(), cuts[1:].tolist())) if b > a]
+            for held in (tokens, sets, keys):
                 held.clear()
             none = [None] * len(rows)
             return pa.RecordBatch.from_arrays([pa.array([p for p, _ in rows], pa.int32()), pa.array([d for _, d in rows], pa.binary()), pa.array(none, ids), pa.array(none, pa.int64()), pa.array(none, pa.int64())], names)
@@ -151,7 +174,6 @@ def _deal(docs: DataFrame, parts: int) -> DataFrame:
                     tokens.append(value[end - size : end] >> KEPT)
                     sets.append(np.full(size, len(keys), np.int64))
                     keys.append(mark)
-                    sizes.append(size)
                     pending += size
             signed = [None if m is None else m - (1 << 64) if m >> 63 else m for m in marks]
             home = [i % parts if m is None else m % parts for i, m in enumerate(marks)]
@@ -177,7 +199,9 @@ def _frequencies(dealt: DataFrame, parts: int, kind: str) -> DataFrame:
     """Within a part all sets that hold a token meet: its frequency is known. Shared tokens go to the part of their set."""
 
     def run(batches):
-        names, held = ["part", "payload", "doc_id", "n", "key"], []
+        from pyspark import TaskContext
+
+        names, held, here = ["part", "payload", "doc_id", "n", "key"], [], TaskContext.get().partitionId()
         for documents, payloads in _split_rows(batches, names):
             held += payloads
             ids = documents.column(2).type
@@ -185,36 +209,37 @@ def _frequencies(dealt: DataFrame, parts: int, kind: str) -> DataFrame:
                 yield documents
         if not held:
             return
-        token, key, size = [], [], []
+        token, key = [], []
         for data in held:
-            first, steps, local, keys, sizes = _part(data)
+            first, steps, local, keys = _spread(data)
             token.append(np.concatenate((first, first + np.cumsum(steps, dtype=np.uint64))))
             key.append(keys[local])
-            size.append(sizes.astype(np.int64)[local])
         held.clear()
-        token, key, size = np.concatenate(token), np.concatenate(key), np.concatenate(size)
+        token, key = np.concatenate(token), np.concatenate(key)
         order = np.lexsort((key, token))
-        token, key, size = token[order], key[order], size[order]
+        token, key = token[order], key[order]
         once = np.ones(len(token), bool)  # copies that other workers packed are the same set
         once[1:] = (token[1:] != token[:-1]) | (key[1:] != key[:-1])
-        token, key, size = token[once], key[once], size[once]
+        token, key = token[once], key[once]
         starts = np.flatnonzero(np.concatenate(([True], token[1:] != token[:-1])))
         times = np.diff(np.append(starts, len(token)))
-        frequency = np.minimum(np.repeat(times, times), 65535)
+        # the order of tokens: a step for each sixteenth of a doubling of frequency, then the number within the part
+        frequency = np.repeat(np.minimum(255, np.floor(16 * np.log2(times))).astype(np.uint8), times)
+        shared = np.repeat(times > 1, times)
+        number = np.repeat(np.arange(len(times), dtype=np.uint32), times)
+        # what a set has alone follows from its size: only shared tokens travel
+        key, number, frequency = key[shared], number[shared], frequency[shared]
         home = (key % np.uint64(parts)).astype(np.int64)
-        order = np.lexsort((token, key, home))
-        token, key, size, frequency, home = token[order], key[order], size[order], frequency[order], home[order]
+        order = np.lexsort((number, key, home))
+        key, number, frequency, home = key[order], number[order], frequency[order], home[order]
         cuts = np.searchsorted(home, np.arange(parts + 1))
         rows = []
         for p, (a, b) in enumerate(zip(cuts.tolist(), cuts[1:].tolist())):
             if a == b:
                 continue
             begins = np.flatnonzero(np.concatenate(([True], key[a + 1 : b] != key[a : b - 1])))
-            shared = frequency[a:b] > 1
-            n_shared = np.add.reduceat(shared.astype(np.int64), begins)
-            n_all = np.diff(np.append(begins, b - a))
-            kept = token[a:b][shared]
-            rows.append((p, _join(key[a:b][begins], _small(size[a:b][begins]), _small(n_all - n_shared), _small(n_shared), (kept >> np.uint64(32)).astype(np.uint16), kept.astype(np.uint32), frequency[a:b][shared].astype(np.uint16))))
+            n_shared = np.diff(np.append(begins, b - a))
+            rows.append((p, _squeeze(np.array([here]), key[a:b][begins], _small(n_shared), number[a:b], frequency[a:b])))
         none = [None] * len(rows)
         yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in rows], pa.int32()), pa.array([d for _, d in rows], pa.binary()), pa.array(none, ids), pa.array(none, pa.int64()), pa.array(none, pa.int64())], names)
 
@@ -229,32 +254,38 @@ def _survivors(counted: DataFrame, parts: int, kind: str) -> DataFrame:
     """
 
     def run(batches):
-        names, held = ["doc_id", "n", "key", "tokens", "prefix"], []
+        names, held, told = ["doc_id", "n", "key", "tokens", "prefix"], [], []
         for documents, payloads in _split_rows(batches, ["part", "payload", "doc_id", "n", "key"]):
             held += payloads
             ids = documents.column(2).type
             if documents.num_rows:
                 none = [None] * documents.num_rows
+                known = documents.column(4).is_valid()
+                told.append((documents.column(4).filter(known).to_numpy().astype(np.uint64), documents.column(3).filter(known).to_numpy()))
                 yield pa.RecordBatch.from_arrays([documents.column(2), documents.column(3), documents.column(4), pa.array(none, pa.binary()), pa.array(none, pa.list_(pa.int64()))], names)
         if not held:
             return
-        pieces = [_part(d) for d in held]
+        pieces = [_spread(d) for d in held]
         held.clear()
-        key = np.concatenate([p[0] for p in pieces])
-        keys, at = np.unique(key, return_inverse=True)
+        keys, at = np.unique(np.concatenate([p[1] for p in pieces]), return_inverse=True)
+        # all documents of a set are in its part, and know its size
         n = np.zeros(len(keys), np.int64)
-        n[at] = np.concatenate([p[1] for p in pieces])
-        alone = np.bincount(at, np.concatenate([p[2] for p in pieces]), len(keys)).astype(np.int64)
-        prefix = n - need(n) + 1 - alone
-        n_shared = np.concatenate([p[3] for p in pieces]).astype(np.int64)
+        named, sizes = np.concatenate([k for k, _ in told]), np.concatenate([x for _, x in told])
+        place = np.minimum(np.searchsorted(keys, named), len(keys) - 1)
+        held_here = keys[place] == named
+        n[place[held_here]] = sizes[held_here]
+        n_shared = np.concatenate([p[2] for p in pieces]).astype(np.int64)
+        # its own n - shared tokens come first in the prefix of n - need(n) + 1
+        prefix = np.bincount(at, n_shared, len(keys)).astype(np.int64) - need(n) + 1
         owner = np.repeat(at, n_shared)
-        token = (np.concatenate([p[4] for p in pieces]).astype(np.uint64) << np.uint64(32)) | np.concatenate([p[5] for p in pieces])
-        frequency = np.concatenate([p[6] for p in pieces])
+        # a token is known by the part that counted it and its number there
+        token = np.concatenate([(np.uint64(p[0][0]) << np.uint64(32)) | p[3].astype(np.uint64) for p in pieces])
+        frequency = np.concatenate([p[4] for p in pieces])
         keep = prefix[owner] > 0
         owner, token, frequency = owner[keep], token[keep], frequency[keep]
         order = np.lexsort((token, frequency, owner))
         owner, token, frequency = owner[order], token[order], frequency[order]
-        # the packed order of a token: frequency, then hash
+        # the packed order of a token: frequency, then its number
         packed = (frequency.astype(np.uint64) << np.uint64(48)) | token
         cuts = np.searchsorted(owner, np.arange(len(keys) + 1))
         rows = [(int(keys[i]), int(n[i]), packed[a:b]) for i, (a, b) in enumerate(zip(cuts.tolist(), cuts[1:].tolist())) if b > a]
