@@ -201,6 +201,8 @@ def extract(pages: DataFrame, tokens: int = ARRAY_TOKENS) -> DataFrame:
     sure = blocked.filter("open = 0").select("page_id", "url", F.array_join("texts", "\n").alias("text"), F.lit(0).cast("long").alias("n_boilerplate"))
     unsure = blocked.filter("open > 0")
     hosts = unsure.groupBy("host").agg(F.greatest(F.lit(1), F.ceil(F.sum("open") / tokens)).alias("parts")).withColumnRenamed("host", "of")
+    # written: a join that reads an aggregate in place cannot split a hot host's pages
+    hosts = stash(hosts, "hosts")
     dealt = unsure.join(hosts, F.col("host") == F.col("of")).withColumn("part", F.pmod(F.xxhash64("page_id", "url"), F.col("parts")))
 
     def decide(batches):
