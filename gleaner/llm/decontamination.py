@@ -69,6 +69,8 @@ def candidates(index: DataFrame, picked: DataFrame) -> DataFrame:
     met = hits.groupBy("doc_id", "item_id", "shift").agg(F.collect_set("place").alias("met"))
     needs = picked.groupBy("item_id", "at").agg(F.array_sort(F.collect_set(F.col("at") + F.col("offset"))).alias("need"))
     needs = needs.groupBy("item_id").agg(F.array_distinct(F.collect_list("need")).alias("needs"))
+    # written: a join that reads an aggregate in place cannot split a hot item's rows
+    needs = stash(needs, "needs")
     whole = met.join(needs, "item_id").filter(F.exists("needs", lambda need: F.size(F.array_except(need, "met")) == 0))
     return whole.select("doc_id", "item_id", "shift")
 
