@@ -12,7 +12,8 @@ def _stars(edges: DataFrame, large: bool) -> DataFrame:
     """One round: every vertex passes its larger (or its other smaller) neighbours on to its smallest."""
     both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))) if large else edges
     least = both.groupBy("a").agg(F.min("b").alias("least"))
-    least = least.select("a", F.least("a", "least").alias("least"))
+    # written: a join that reads an aggregate in place cannot split a vertex with very many neighbours
+    least = stash(least.select("a", F.least("a", "least").alias("least")), "smallest")
     if large:
         moved = both.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("least").alias("b"))
     else:

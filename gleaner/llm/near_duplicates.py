@@ -368,26 +368,39 @@ class Trie:
         return np.array(found, np.int64)
 
 
+def _numbered(sets: list[np.ndarray]) -> tuple[list[np.ndarray], np.ndarray]:
+    """The sets with tokens numbered from the commonest on, so that like sets share the long beginnings of their paths; counts."""
+    tokens, at = np.unique(np.concatenate(sets), return_inverse=True)
+    cuts = np.cumsum([len(s) for s in sets])[:-1]
+    return [np.sort(s) for s in np.split(len(tokens) - 1 - at, cuts)], np.bincount(at)[::-1]
+
+
 def links(keys: list[int], sizes: np.ndarray, sets: list[np.ndarray]) -> list[tuple[int, int]]:
     """Edges that connect the sets of a cluster as all links do: exact, without listing every link.
 
     The set of commonest tokens is probed first. Its component may stay unprobed, for a link is found from either end;
     every other set is probed against all.
     """
-    tokens, at = np.unique(np.concatenate(sets), return_inverse=True)
-    # common tokens first: like sets share the long beginnings of their paths
-    numbered = len(tokens) - 1 - at
-    cuts = np.cumsum([len(s) for s in sets])[:-1]
-    own = [np.sort(s) for s in np.split(numbered, cuts)]
-    weight = np.bincount(at)
-    heavy = int(np.argmax([weight[len(tokens) - 1 - s].sum() / max(1, len(s)) * min(len(s), 1 << 20) for s in own]))
+    own, weight = _numbered(sets)
+    heavy = int(np.argmax([weight[s].sum() / max(1, len(s)) * min(len(s), 1 << 20) for s in own]))
     trie = Trie(own, np.asarray(sizes, np.int64))
-    near = trie.probe(own[heavy], int(sizes[heavy]), len(tokens))
+    near = trie.probe(own[heavy], int(sizes[heavy]), len(weight))
     edges = [(keys[heavy], keys[j]) for j in near.tolist() if j != heavy]
     settled = set(near.tolist()) | {heavy}
     for i in range(len(own)):
         if i not in settled:
-            edges += [(keys[i], keys[j]) for j in trie.probe(own[i], int(sizes[i]), len(tokens)).tolist() if j != i]
+            edges += [(keys[i], keys[j]) for j in trie.probe(own[i], int(sizes[i]), len(weight)).tolist() if j != i]
+    return _forest(edges)
+
+
+def links_between(keys: list[int], sizes: np.ndarray, sets: list[np.ndarray], asks: np.ndarray) -> list[tuple[int, int]]:
+    """As :func:`links`, for the links that lead from the sets that ask to the others. A set may be on both sides."""
+    own, weight = _numbered(sets)
+    told = np.flatnonzero(~asks)
+    trie = Trie([own[j] for j in told], np.asarray(sizes, np.int64)[told])
+    edges = []
+    for i in np.flatnonzero(asks).tolist():
+        edges += [(keys[i], keys[told[j]]) for j in trie.probe(own[i], int(sizes[i]), len(weight)).tolist()]
     return _forest(edges)
 
 
@@ -412,41 +425,92 @@ def _clusters(sets: DataFrame) -> DataFrame:
     """(key, cluster): sets that a chain of shared prefix tokens connects. Each token ties its sets to the smallest."""
     held = sets.select("key", F.explode("prefix").alias("token"))
     least = held.groupBy("token").agg(F.min("key").alias("least"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
+    # written: a join that reads an aggregate in place cannot split a hot token's rows
+    least = stash(least, "tokens")
     tied = held.join(least, "token").filter("key <> least").select(F.col("key").alias("a"), F.col("least").alias("b"))
     found = stash(components(tied), "clusters")
     roots = found.select(F.col("root").alias("key")).distinct()
     return found.select(F.col("id").alias("key"), F.col("root").alias("cluster")).unionByName(roots.select("key", F.col("key").alias("cluster")))
 
 
-def _blocks(placed: DataFrame, trie: int) -> DataFrame:
-    """(cluster, i, j, key, n, tokens): one group for a cluster of up to ``trie`` sets, else one for each pair of its blocks."""
-    sizes = placed.groupBy("cluster").agg(F.ceil(F.count(F.lit(1)) / (trie / 2)).alias("blocks"), F.count(F.lit(1)).alias("m"))
-    sizes = sizes.select("cluster", F.when(F.col("m") <= trie, 1).otherwise(F.col("blocks")).cast("int").alias("blocks"))
-    rows = placed.join(sizes, "cluster").withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-    rows = rows.select("cluster", "key", "n", "tokens", "block", "blocks", other).filter("blocks = 1 OR block <> other")
-    return rows.select("cluster", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "key", "n", "tokens")
+def _by_pivot(placed: DataFrame, large: DataFrame) -> DataFrame:
+    """(cluster, key, n, tokens, pivot, near): the sets of large clusters, and whether they link to their cluster's pivot.
+
+    Rows are dealt by block and stream past a copy of the pivot that stands first in each.
+    """
+
+    def run(batches):
+        place, pivot = None, (0, np.zeros(0, np.uint64))
+        for batch in batches:
+            near, keep = [], []
+            for c, i, role, n, tokens in zip(*(batch.column(k).to_pylist() for k in (0, 1, 2, 4, 5))):
+                own = np.frombuffer(tokens, np.uint64)
+                if (c, i) != place:
+                    place, pivot = (c, i), (n, own)
+                shared = np.isin(own, pivot[1], assume_unique=True).sum()
+                near.append(bool((ABOVE + BELOW) * shared >= ABOVE * (n + pivot[0])))
+                keep.append(role == 1)
+            out = pa.RecordBatch.from_arrays([*(batch.column(k) for k in (0, 3, 4, 5, 6)), pa.array(near, pa.bool_())], ["cluster", "key", "n", "tokens", "pivot", "near"])
+            yield out.filter(pa.array(keep, pa.bool_()))
+
+    rows = placed.join(large, "cluster").withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int")).withColumn("role", F.lit(1))
+    first = rows.filter("key = pivot").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("role", F.lit(0))
+    names = ["cluster", "block", "role", "key", "n", "tokens", "pivot"]
+    dealt = first.select(*names).unionByName(rows.select(*names)).repartition(shuffle_width(placed.sparkSession), "cluster", "block")
+    return dealt.sortWithinPartitions("cluster", "block", "role").mapInArrow(run, "cluster long, key long, n long, tokens binary, pivot long, near boolean")
+
+
+def _blocks(placed: DataFrame, trie: int) -> tuple[DataFrame, DataFrame | None]:
+    """(cluster, i, j, key, n, tokens, asks) in groups to join, and edges (a, b) that are already known.
+
+    A cluster of up to ``trie`` sets is one group. In a larger one all sets meet a pivot, the set with the largest share
+    of shared shingles. Those that link to it are one component and need not ask, for a link is found from either end;
+    blocks of the others ask the blocks of all. So a large group of near copies costs a pass, not its square.
+    """
+    sizes = placed.groupBy("cluster").agg(F.count(F.lit(1)).alias("m"), F.max_by("key", "share").alias("pivot")).filter(F.col("m") > trie)
+    in_blocks = lambda m: F.ceil(F.col(m) / (trie / 2)).cast("int")
+    large = stash(sizes.select("cluster", "pivot", in_blocks("m").alias("blocks")), "large-clusters")
+    names = ["cluster", "i", "j", "key", "n", "tokens", "asks"]
+    small = placed.select("cluster", F.lit(0).alias("i"), F.lit(0).alias("j"), "key", "n", "tokens", F.lit(None).cast("boolean").alias("asks"))
+    if large.isEmpty():
+        return small.select(*names), None
+    judged = stash(_by_pivot(placed, large), "judged")
+    asking = judged.filter("NOT near").groupBy("cluster").agg(F.count(F.lit(1)).alias("u"))
+    asking = stash(asking.join(large, "cluster").select("cluster", in_blocks("u").alias("askers"), "blocks"), "asking-clusters")
+    rows = judged.join(asking, "cluster")
+    block = lambda n: F.pmod(F.xxhash64("key"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    ask = rows.filter("NOT near").withColumn("i", block("askers")).withColumn("j", every("blocks")).withColumn("asks", F.lit(True))
+    told = rows.withColumn("j", block("blocks")).withColumn("i", every("askers")).withColumn("asks", F.lit(False))
+    out = small.join(large.select("cluster"), "cluster", "left_anti").select(*names).unionByName(ask.select(*names)).unionByName(told.select(*names))
+    return out, judged.filter("near AND key <> pivot").select(F.col("key").alias("a"), F.col("pivot").alias("b"))
 
 
 def _join_clusters(blocks: DataFrame) -> DataFrame:
     """(a, b) edges of each group of ``blocks``, whose rows arrive together."""
 
     def run(batches):
-        place, keys, sizes, sets = None, [], [], []
+        place, keys, sizes, sets, asks = None, [], [], [], []
 
         def settle():
-            found = links(keys, np.array(sizes), sets) if len(keys) > 1 else []
+            if len(keys) < 2:
+                found = []
+            elif asks[0] is None:
+                found = links(keys, np.array(sizes), sets)
+            else:
+                found = links_between(keys, np.array(sizes), sets, np.array(asks, bool))
             return pa.RecordBatch.from_arrays([pa.array([a for a, _ in found], pa.int64()), pa.array([b for _, b in found], pa.int64())], ["a", "b"])
 
         for batch in batches:
-            for c, i, j, key, n, tokens in zip(*(col.to_pylist() for col in batch.columns)):
+            for c, i, j, key, n, tokens, ask in zip(*(col.to_pylist() for col in batch.columns)):
                 if (c, i, j) != place:
                     if keys:
                         yield settle()
-                    place, keys, sizes, sets = (c, i, j), [], [], []
+                    place, keys, sizes, sets, asks = (c, i, j), [], [], [], []
                 keys.append(key)
                 sizes.append(n)
                 sets.append(np.frombuffer(tokens, np.uint64))
+                asks.append(ask)
         if keys:
             yield settle()
 
@@ -468,10 +532,14 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     table = stash(_survivors(_frequencies(_deal(docs, parts), parts, kind), parts, kind), "shingle-sets")
     sets = table.filter("tokens IS NOT NULL").select("key", "n", "tokens", "prefix")
     rows = table.filter("tokens IS NULL").select("doc_id", "n", "key")
-    placed = sets.select("key", "n", "tokens").join(_clusters(sets), "key")
-    edges = stash(_join_clusters(_blocks(placed, TRIE)), "links")
+    # the share of shared shingles is taken before the join, so that a pass over it alone moves no tokens
+    placed = sets.select("key", "n", "tokens", (F.octet_length("tokens") / F.col("n")).alias("share")).join(_clusters(sets), "key")
+    blocks, known = _blocks(placed, TRIE)
+    edges = stash(_join_clusters(blocks), "links")
+    edges = edges if known is None else edges.unionByName(known)
     roots = components(edges).select(F.col("id").alias("key"), "root")
     named = rows.join(roots, "key", "left").withColumn("class", F.coalesce("root", "key"))
     named = stash(named.select("doc_id", "n", "class"), "classes")
-    least = named.filter("class IS NOT NULL").groupBy("class").agg(F.min("doc_id").alias("least"))
+    least = named.filter("class IS NOT NULL").groupBy("class").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("m")).filter("m > 1")
+    least = stash(least.drop("m"), "least")
     return named.join(least, "class", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("least", "doc_id").alias("component_id"))

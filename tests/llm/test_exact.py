@@ -86,7 +86,9 @@ def brute(rows):
     return [(rows[i][0], len(sets[i]), rows[find(i)][0]) for i in sets]
 
 
-def test_near_duplicates(spark, docs, none):
+@pytest.mark.parametrize("trie", [near_duplicates.TRIE, 8])
+def test_near_duplicates(spark, docs, none, monkeypatch, trie):
+    monkeypatch.setattr(near_duplicates, "TRIE", trie)
     rng = np.random.default_rng(3)
     base = [f"w{x}" for x in rng.integers(0, 400, 150)]
     rows = list(TEXTS)
