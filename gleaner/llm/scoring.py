@@ -1,10 +1,12 @@
 """Language-model scoring with an Elias-Fano n-gram trie (operator 8).
 
-The model is a word bigram model. Frequent words have their own unigram probability, the others share what is left; a
-bigram is smoothed toward the unigram with a Dirichlet weight. Tokens are dealt by their context, so that each part holds
-whole contexts: it builds its part of the trie from the training tokens, two levels of monotone sequences in Elias-Fano
-form with quantised probabilities, maps it into memory and answers all tokens of that part. Sums travel back to the
-documents. Nothing grows with the corpus on the driver; the part of each word is as many as the session's partitions.
+The model is a word bigram model. Every training word has its own unigram probability, an unknown word that of one more
+token; a bigram is smoothed toward the unigram with a Dirichlet weight. A token's probability is a share of its word (its
+count with the word before, and its own) over a share of the word before (its count). Both are known where all tokens of a
+word meet, so tokens are dealt by word, each with the word before: a part builds its part of the trie from the training
+tokens, two levels of monotone sequences in Elias-Fano form (words with exact counts, and the words before them with
+quantised probabilities), maps it into memory and answers all tokens of that part. Sums travel back to the documents. The
+driver holds totals and the hot words, fewer than 1 / HOT; the part of each word is as many as the session's partitions.
 """
 
 from __future__ import annotations
@@ -16,14 +18,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import hash_words, mix64, shuffle_width, split_words, text_chunks
+from .common import hash_words, mix64, shuffle_width, split_words, stash, text_chunks
 from .near_duplicates import _join, _part, _small
 
 #: Weight of the unigram model, in tokens, in every context.
 MU = 300.0
-#: Words with a unigram probability of their own, shared evenly among the parts.
-FREQUENT = 1 << 17
-#: A context with more than this share of all tokens is dealt by context and successor.
+#: A word with more than this share of all tokens is dealt by itself and the word before.
 HOT = 1 / 2000
 #: Tokens that a worker packs at once.
 PACKED = 3_000_000
@@ -32,8 +32,10 @@ END = np.uint64(0xD1B54A32D192ED03)
 #: Log10 probabilities are kept in 65535 steps down to this.
 LOWEST = -14.0
 _K = np.uint64(0x9E3779B97F4A7C15)
-#: Successors are known by 40 bits within their context.
+#: Words before a word are known by 40 bits.
 _SHORT = np.uint64(24)
+#: Stands before the first word of a text; fixed like END.
+START = np.uint64(0x8CB92BA72F3D8DD7)
 
 
 class EliasFano:
@@ -95,53 +97,60 @@ def restore(codes: np.ndarray) -> np.ndarray:
 
 
 class Trie:
-    """Two levels: contexts (hash, count, back-off) and, for each, its successors with quantised probabilities."""
+    """Two levels: words (hash, training count) and, for each, the words before it with quantised probabilities."""
 
     def __init__(self, data: bytes):
-        head, low_c, high_c, low_p, high_p, low_s, high_s, self.counts, self.codes, self.backs = _part(data)
-        n_c, b_c, n_p, b_p, n_s, b_s = head.tolist()
-        self.contexts, self.pointers, self.successors = EliasFano(n_c, b_c, low_c, high_c), EliasFano(n_p, b_p, low_p, high_p), EliasFano(n_s, b_s, low_s, high_s)
+        head, low_w, high_w, low_p, high_p, low_b, high_b, self.counts, self.codes = _part(data)
+        n_w, b_w, n_p, b_p, n_b, b_b = head.tolist()
+        self.words, self.pointers, self.befores = EliasFano(n_w, b_w, low_w, high_w), EliasFano(n_p, b_p, low_p, high_p), EliasFano(n_b, b_b, low_b, high_b)
 
     @staticmethod
-    def build(context: np.ndarray, successor: np.ndarray, counts_of, unigram, mu: float) -> bytes:
-        """From training tokens (context hash, 40-bit successor). ``counts_of``: fixes counts of contexts dealt to many parts."""
-        order = np.lexsort((successor, context))
-        context, successor = context[order], successor[order]
-        new_context = np.ones(len(context), bool)
-        new_context[1:] = context[1:] != context[:-1]
-        new = new_context.copy()
-        new[1:] |= successor[1:] != successor[:-1]
+    def build(word: np.ndarray, before: np.ndarray, known: Unigrams, mu: float) -> bytes:
+        """From training tokens (word hash, 40 bits of the word before). ``known`` has counts of words dealt to many parts."""
+        order = np.lexsort((before, word))
+        word, before = word[order], before[order]
+        new_word = np.ones(len(word), bool)
+        new_word[1:] = word[1:] != word[:-1]
+        of, words = np.cumsum(new_word) - 1, word[new_word]
+        total = known.fix_hot(words, np.bincount(of, minlength=len(words)))
+        pair = before != START >> _SHORT
+        of, before = of[pair], before[pair]
+        new = np.ones(len(of), bool)
+        new[1:] = (of[1:] != of[:-1]) | (before[1:] != before[:-1])
         starts = np.flatnonzero(new)
-        times = np.diff(np.append(starts, len(context)))
-        of = np.cumsum(new_context)[starts] - 1
-        contexts = context[new_context]
-        total = counts_of(contexts, np.diff(np.append(np.flatnonzero(new_context), len(context))))
-        logs = np.log10((times + mu * unigram(successor[starts])) / (total[of] + mu))
-        pointers = np.append(np.searchsorted(of, np.arange(len(contexts))), len(starts)).astype(np.uint64)
-        packed = [EliasFano.pack(x) for x in (contexts, pointers, (of.astype(np.uint64) << np.uint64(40)) | successor[starts])]
+        times = np.diff(np.append(starts, len(of)))
+        of, before = of[starts], before[starts]
+        # the share of the word before is left open; over all tokens this is at most 1
+        logs = np.log10((times + mu * total[of] / (known.n + 1)) / (known.n + mu))
+        pointers = np.append(np.searchsorted(of, np.arange(len(words))), len(starts)).astype(np.uint64)
+        packed = [EliasFano.pack(x) for x in (words, pointers, (of.astype(np.uint64) << np.uint64(40)) | before)]
         head = np.array([x for p in packed for x in p[:2]], np.int64)
-        return _join(head, *(a for p in packed for a in p[2:]), total.astype(np.int64), quantise(logs), quantise(np.log10(mu / (total + mu))))
-
-    def lookup(self, context: np.ndarray, successor: np.ndarray, unigram) -> tuple[np.ndarray, np.ndarray]:
-        """(log10 probability of each successor in its context, training count of the context)."""
-        place = self.contexts.find(context)
-        some = np.flatnonzero(place < self.contexts.n)
-        known = np.zeros(len(context), bool)
-        known[some] = self.contexts.values(place[some]) == context[some]
-        count = np.zeros(len(context), np.int64)
-        count[known] = self.counts[place[known]]
-        out = np.log10(unigram(successor))
-        at = np.flatnonzero(known)
-        ctx = place[at]
-        target = (ctx.astype(np.uint64) << np.uint64(40)) | successor[at]
-        found = self.successors.find(target)
-        end = self.pointers.values(ctx + 1).astype(np.int64)
-        inside = np.flatnonzero(found < end)
+        return _join(head, *(a for p in packed for a in p[2:]), total.astype(np.int64), quantise(logs))
+
+    def lookup(self, word: np.ndarray, before: np.ndarray, known: Unigrams, mu: float) -> tuple[np.ndarray, np.ndarray]:
+        """(log10 share of each token, training count of its word).
+
+        The share is the token's after the word before, times the back-off that its own word gives to the next token: over
+        a text they multiply to its probability.
+        """
+        place = self.words.find(word)
+        some = np.flatnonzero(place < self.words.n)
+        held = np.zeros(len(word), bool)
+        held[some] = self.words.values(place[some]) == word[some]
+        count = np.zeros(len(word), np.int64)
+        count[held] = self.counts[place[held]]
+        # a hot word may have no training token in this part
+        count = known.fix_hot(word, count)
+        out = np.log10(np.maximum(count, 1) / (known.n + 1))
+        at = np.flatnonzero(held)
+        of = place[at]
+        target = (of.astype(np.uint64) << np.uint64(40)) | before[at]
+        found = self.befores.find(target)
+        inside = np.flatnonzero(found < self.pointers.values(of + 1).astype(np.int64))
         hit = np.zeros(len(at), bool)
-        hit[inside] = self.successors.values(found[inside]) == target[inside]
-        out[at] += restore(self.backs[ctx])
-        out[at[hit]] = restore(self.codes[found[hit]])
-        return out, count
+        hit[inside] = self.befores.values(found[inside]) == target[inside]
+        out[at[hit]] = restore(self.codes[found[hit]]) + np.log10((known.n + mu) / mu)
+        return out + np.where(word == END, 0.0, np.log10(mu / (count + mu))), count
 
 
 def mapped(data: bytes) -> np.memmap:
@@ -157,42 +166,33 @@ def _part_of(key: np.ndarray, parts: int) -> np.ndarray:
 
 
 class Unigrams:
-    """Counts of the frequent words and the totals: all that the driver holds of the corpus."""
+    """Totals, and counts of the hot words and of the end: all that the driver holds of the corpus."""
 
-    def __init__(self, hashes: np.ndarray, counts: np.ndarray, n: int, v: int, end: int):
+    def __init__(self, hashes: np.ndarray, counts: np.ndarray, n: int, v: int):
         order = np.argsort(hashes)
-        self.hashes, self.counts, self.n, self.v, self.end = hashes[order], counts[order], n, v, end
-        self.short = self.hashes >> _SHORT
-        self.by_short = np.argsort(self.short, kind="stable")
-        self.hot = np.flatnonzero(self.counts > max(1.0, HOT * n))
-        rest = n - int(self.counts.sum())
-        # all words without a probability of their own, and any unknown word, share the rest and one token evenly
-        self.share = (rest + 1) / (n + 1) / (v - len(self.hashes) + 1)
-
-    def probability(self, short: np.ndarray) -> np.ndarray:
-        """Unigram probability of words by their 40 bits."""
-        out = np.full(len(short), self.share)
-        if len(self.hashes):
-            sorted_ = self.short[self.by_short]
-            at = np.minimum(np.searchsorted(sorted_, short), len(sorted_) - 1)
-            hit = sorted_[at] == short
-            out[hit] = self.counts[self.by_short[at[hit]]] / (self.n + 1)
-        return out
+        self.hashes, self.counts, self.n, self.v = hashes[order], counts[order], n, v
+        # mean probability of the words not held here, an unknown word (one token of n + 1) among them
+        self.share = (n - int(self.counts.sum()) + 1) / (n + 1) / (v - len(self.hashes) + 1)
+
+    def _find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        if not len(self.hashes):
+            return np.zeros(len(hashes), np.int64), np.zeros(len(hashes), bool)
+        at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
+        return at, self.hashes[at] == hashes
 
     def is_hot(self, hashes: np.ndarray) -> np.ndarray:
-        return np.isin(hashes, self.hashes[self.hot])
+        return self._find(hashes)[1]
 
     def fix_hot(self, hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
-        """Counts over the whole corpus of the contexts that are dealt to many parts; others have theirs."""
-        at = np.minimum(np.searchsorted(self.hashes, hashes), max(0, len(self.hashes) - 1))
-        hot = self.is_hot(hashes)
+        """Counts over the whole corpus of the words that are dealt to many parts; others have theirs."""
+        at, hot = self._find(hashes)
         out = counts.copy()
         out[hot] = self.counts[at[hot]]
         return out
 
 
-def count_unigrams(training: DataFrame, frequent: int = FREQUENT) -> Unigrams:
-    """Count all tokens of ``training`` (text): exact numbers of tokens and of distinct tokens, and the frequent words."""
+def count_unigrams(training: DataFrame) -> Unigrams:
+    """Count all tokens of ``training`` (text): exact numbers of tokens and of distinct tokens, and the hot words."""
     parts = shuffle_width(training.sparkSession)
 
     def count(batches):
@@ -229,15 +229,16 @@ def count_unigrams(training: DataFrame, frequent: int = FREQUENT) -> Unigrams:
             return
         h, at = np.unique(np.concatenate([x[0] for x in held]), return_inverse=True)
         n = np.bincount(at, np.concatenate([x[1] for x in held])).astype(np.int64)
-        top = np.argsort(-n, kind="stable")[: -(-frequent // parts)]
-        # the end always counts as frequent
-        top = np.unique(np.concatenate((top, np.flatnonzero(h == END))))
-        yield pa.RecordBatch.from_arrays([pa.array([int(n.sum())]), pa.array([len(h)]), pa.array([h[top].tobytes()], pa.binary()), pa.array([n[top].tobytes()], pa.binary())], ["n", "v", "hashes", "counts"])
+        # hot in the corpus is hot in its part, which holds fewer tokens
+        top = np.flatnonzero((n > HOT * n.sum()) | (h == END))
+        yield pa.RecordBatch.from_arrays([pa.array([int(n.sum())]), pa.array([len(h)]), pa.array([h[top].view(np.int64)], pa.list_(pa.int64())), pa.array([n[top]], pa.list_(pa.int64()))], ["n", "v", "hashes", "counts"])
 
-    got = training.select("text").mapInArrow(count, "part int, payload binary").repartitionById(parts, "part").mapInArrow(add, "n long, v long, hashes binary, counts binary").collect()
-    hashes = np.concatenate([np.zeros(0, np.uint64), *(np.frombuffer(r["hashes"], np.uint64) for r in got)])
-    counts = np.concatenate([np.zeros(0, np.int64), *(np.frombuffer(r["counts"], np.int64) for r in got)])
-    return Unigrams(hashes, counts, sum(r["n"] for r in got), sum(r["v"] for r in got), int(counts[hashes == END].sum()))
+    got = training.select("text").mapInArrow(count, "part int, payload binary").repartitionById(parts, "part").mapInArrow(add, "n long, v long, hashes array<long>, counts array<long>")
+    got = stash(got, "words")
+    total = got.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("v"), F.lit(0)).alias("v")).first()
+    end = int(np.array([END]).view(np.int64)[0])
+    hot = got.select(F.inline(F.arrays_zip("hashes", "counts"))).filter((F.col("counts") > max(1.0, HOT * total["n"])) | (F.col("hashes") == end)).collect()
+    return Unigrams(np.array([r["hashes"] for r in hot], np.int64).view(np.uint64), np.array([r["counts"] for r in hot], np.int64), total["n"], total["v"])
 
 
 def score(docs: DataFrame, training: Column, mu: float = MU) -> DataFrame:
@@ -256,31 +257,33 @@ def score(docs: DataFrame, training: Column, mu: float = MU) -> DataFrame:
     names = ["part", "batch", "doc_ids", "payload"]
 
     def deal(batches):
-        """Tokens packed for the parts of their contexts, and for each pack a row that keeps its documents."""
+        """Tokens packed for the parts of their words, and for each pack a row that keeps its documents."""
         from pyspark import TaskContext
 
         first = TaskContext.get().partitionId() << 24
-        held: dict[str, list] = {"context": [], "next": [], "doc": [], "ids": [], "n": [], "start": [], "training": []}
+        held: dict[str, list] = {"word": [], "before": [], "doc": [], "ids": [], "n": [], "training": []}
         ids = None
 
         def flush(batch: int):
-            context, after, doc = (np.concatenate(held[k]) for k in ("context", "next", "doc"))
+            word, before, doc = (np.concatenate(held[k]) for k in ("word", "before", "doc"))
             flags = np.concatenate(held["training"])
-            key = context.copy()
-            hot = words.is_hot(context)
-            key[hot] = mix64(context[hot] ^ (after[hot] * _K))
+            key = word.copy()
+            hot = words.is_hot(word)
+            # text starts are no pairs: those of a hot word can go anywhere
+            salt = np.where(before[hot] == START, doc[hot].astype(np.uint64), before[hot])
+            key[hot] = mix64(word[hot] ^ (salt * _K))
             part = _part_of(key, parts)
-            order = np.lexsort((after, context, part))
-            context, after, doc, part = context[order], after[order] >> _SHORT, doc[order], part[order]
+            order = np.lexsort((before, word, part))
+            word, before, doc, part = word[order], before[order] >> _SHORT, doc[order], part[order]
             home = batch % parts
             doc_ids = [x for a in held["ids"] for x in a.to_pylist()]
-            out = [(home, doc_ids, _join(np.concatenate(held["n"]), np.concatenate(held["start"]), flags))]
+            out = [(home, doc_ids, _join(np.concatenate(held["n"]), flags))]
             cuts = np.searchsorted(part, np.arange(parts + 1)).tolist()
             for p, (a, b) in enumerate(zip(cuts, cuts[1:])):
                 if b > a:
-                    starts = np.flatnonzero(np.concatenate(([True], context[a + 1 : b] != context[a : b - 1])))
-                    table, local = np.unique(after[a:b], return_inverse=True)
-                    out.append((p, None, _join(context[a:b][starts], _small(np.diff(np.append(starts, b - a))), (table >> np.uint64(32)).astype(np.uint8), table.astype(np.uint32), _small(local), _small(doc[a:b]), np.packbits(flags))))
+                    starts = np.flatnonzero(np.concatenate(([True], word[a + 1 : b] != word[a : b - 1])))
+                    table, local = np.unique(before[a:b], return_inverse=True)
+                    out.append((p, None, _join(word[a:b][starts], _small(np.diff(np.append(starts, b - a))), (table >> np.uint64(32)).astype(np.uint8), table.astype(np.uint32), _small(local), _small(doc[a:b]), np.packbits(flags))))
             for x in held.values():
                 x.clear()
             return pa.RecordBatch.from_arrays([pa.array([p for p, _, _ in out], pa.int32()), pa.array([batch] * len(out), pa.int64()), pa.array([i for _, i, _ in out], pa.list_(ids)), pa.array([d for _, _, d in out], pa.binary())], names)
@@ -291,18 +294,16 @@ def score(docs: DataFrame, training: Column, mu: float = MU) -> DataFrame:
             counts, tokens = split_words(chunk.column(1))
             hashed = hash_words(tokens)[0] if len(tokens) else np.zeros(0, np.uint64)
             ends = np.cumsum(counts)
-            after = np.append(hashed[1:], END)
-            after[ends[counts > 0] - 1] = END
-            lead = np.full(len(counts), END)
-            lead[counts > 0] = hashed[(ends - counts)[counts > 0]]
-            held["context"].append(hashed)
-            held["next"].append(after)
-            held["doc"].append(np.repeat(np.arange(len(counts)), counts) + docs_held)
+            word = np.insert(hashed, ends, END)
+            before = np.concatenate(([START], word[:-1]))
+            before[ends - counts + np.arange(len(counts))] = START
+            held["word"].append(word)
+            held["before"].append(before)
+            held["doc"].append(np.repeat(np.arange(len(counts)), counts + 1) + docs_held)
             held["ids"].append(chunk.column(0))
             held["n"].append(counts + 1)
-            held["start"].append(np.log10(words.probability(lead >> _SHORT)))
             held["training"].append(chunk.column(2).to_numpy(zero_copy_only=False).astype(bool))
-            pending += len(hashed)
+            pending += len(word)
             docs_held += len(counts)
             if pending >= PACKED or docs_held >= 60_000:
                 yield flush(batch)
@@ -326,22 +327,20 @@ def score(docs: DataFrame, training: Column, mu: float = MU) -> DataFrame:
             table = (x[2].astype(np.uint64) << np.uint64(32)) | x[3]
             return np.repeat(x[0], x[1].astype(np.int64)), table[x[4]], x[5].astype(np.int64)
 
-        context, after = [], []
+        word, before = [], []
         for _, x in packs:
-            c, a, d = tokens(x)
+            w, b, d = tokens(x)
             own = np.unpackbits(x[6])[d] > 0
-            context.append(c[own])
-            after.append(a[own])
-        trie = Trie(mapped(Trie.build(np.concatenate(context), np.concatenate(after), words.fix_hot, words.probability, mu)))
-        context.clear()
-        after.clear()
+            word.append(w[own])
+            before.append(b[own])
+        trie = Trie(mapped(Trie.build(np.concatenate(word), np.concatenate(before), words, mu)))
+        word.clear()
+        before.clear()
         for s in range(0, len(packs), 8):
             out = []
             for n, x in packs[s : s + 8]:
-                c, a, d = tokens(x)
-                logs, count = trie.lookup(c, a, words.probability)
-                # a hot context may have no training token in this part
-                count = words.fix_hot(c, count)
+                w, b, d = tokens(x)
+                logs, count = trie.lookup(w, b, words, mu)
                 who, at = np.unique(d, return_inverse=True)
                 out.append((n, _join(_small(who), np.bincount(at, logs), np.bincount(at, np.log10(count + 1.0)), _small(np.bincount(at, count > 0).astype(np.int64)))))
             yield pa.RecordBatch.from_arrays([pa.array([n % parts for n, _ in out], pa.int32()), pa.array([n for n, _ in out], pa.int64()), pa.array([None] * len(out), ids), pa.array([d for _, d in out], pa.binary())], names)
@@ -364,7 +363,7 @@ def score(docs: DataFrame, training: Column, mu: float = MU) -> DataFrame:
                     own[1, who] += base
                     own[2, who] += known
         space = np.log10(words.n + words.v + 1.0)
-        for n, (doc_ids, size, start, flags) in kept.items():
+        for n, (doc_ids, size, flags) in kept.items():
             own = sums.get(n, np.zeros((3, 0)))
             own = np.pad(own, ((0, 0), (0, len(doc_ids) - own.shape[1])))
             yield pa.RecordBatch.from_arrays(
@@ -372,10 +371,10 @@ def score(docs: DataFrame, training: Column, mu: float = MU) -> DataFrame:
                     pa.array(doc_ids, ids),
                     pa.array(~flags),
                     pa.array(size.astype(np.int64)),
-                    pa.array(own[2].astype(np.int64) + int(words.end > 0)),
+                    pa.array(own[2].astype(np.int64)),
                     pa.array(np.full(len(doc_ids), words.n, np.int64)),
-                    pa.array(own[1] + np.log10(words.end + 1.0) - size * space),
-                    pa.array(own[0] + start),
+                    pa.array(own[1] - size * space),
+                    pa.array(own[0]),
                 ],
                 ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
             )

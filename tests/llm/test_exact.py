@@ -199,6 +199,26 @@ def test_model_sums_to_one(docs):
     assert known == pytest.approx(1.0)
 
 
+def test_every_word_has_its_own_probability(spark):
+    # more words than any table of frequent ones would hold, with unlike counts
+    rng = np.random.default_rng(6)
+    names = [f"w{i}" for i in range(200_000)]
+    said = rng.permutation(np.repeat(np.arange(200_000), np.where(np.arange(200_000) < 140_000, 2, 1)))
+    rows = [(i, " ".join(names[k] for k in said[s : s + 200])) for i, s in enumerate(range(0, len(said), 200))]
+    rows += [(9000, "w0 w1 w199999 unseen w150000"), (9001, " ".join(names[k] for k in said[1000:1020])), (9002, "w199999 w2"), (9003, None)]
+    table = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    got = {r.doc_id: r for r in scoring.score(table, table.doc_id < 9000).filter("doc_id >= 9000 OR doc_id = 7").collect()}
+    tokens = {i: [*(t or "").split(), None] for i, t in rows}
+    one = Counter(w for i, t in tokens.items() if i < 9000 for w in t)
+    two = Counter(p for i, t in tokens.items() if i < 9000 for p in zip(t, t[1:]))
+    n = sum(one.values())
+    single = lambda w: max(one[w], 1) / (n + 1)
+    for i, r in got.items():
+        t = tokens[i]
+        want = np.log10(single(t[0])) + sum(np.log10((two[p] + scoring.MU * single(p[1])) / (one[p[0]] + scoring.MU)) for p in zip(t, t[1:]))
+        assert r.score == pytest.approx(want, abs=3e-4 * len(t))
+
+
 def test_elias_fano():
     rng = np.random.default_rng(1)
     for top in (50, 2**40, 2**63):
