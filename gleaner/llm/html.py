@@ -2,7 +2,8 @@
 
 A tolerant scan of the markup gives the blocks of a page with what their containers say. Where containers leave open
 whether a block belongs to the article, the host decides: the token streams of its pages are concatenated, a suffix
-array finds long substrings that distinct pages share, and open blocks that such substrings cover are removed.
+array finds long substrings that distinct pages share, and open blocks that such substrings cover are removed. Where a
+host takes several arrays, they exchange hashes of their windows, so that each knows what pages of the others repeat.
 """
 
 from __future__ import annotations
@@ -15,12 +16,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import shuffle_width, stash
+from .common import mix64, shuffle_width, stash
+from .near_duplicates import _join, _part
 
 #: Tokens of a repeated substring, pages that must share it, and the share of an open block that it must cover.
 RUN, PAGES, COVERED = 5, 2, 0.6
-#: Tokens of one suffix array: a host with more is cut into several, by a hash of the page.
+#: Tokens of one suffix array: a host with more is cut into several, by a hash of the page. The result is the same.
 ARRAY_TOKENS = 400_000
+_K = np.uint64(0x9E3779B97F4A7C15)
 
 #: Elements whose text is never shown or never running text.
 SKIPPED = frozenset("script style noscript template svg math iframe object canvas audio video select textarea button datalist head title".split())
@@ -170,6 +173,46 @@ def repeated(streams: list[list[int]], run: int = RUN, pages: int = PAGES) -> li
     return [covered[e - 1 - n : e - 1] for e, n in zip(ends.tolist(), sizes.tolist())]
 
 
+def windows(streams: list[list[int]], table: np.ndarray, run: int = RUN) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, page, place in all tokens) of every window of ``run`` tokens within a page; ``table``: hashes of the tokens."""
+    flat = np.array([t for s in streams for t in s], np.int64)
+    page = np.repeat(np.arange(len(streams)), [len(s) for s in streams])
+    n = max(0, len(flat) - run + 1)
+    hashes = np.zeros(n, np.uint64)
+    for k in range(run):
+        hashes = mix64(hashes * _K + table[flat[k : k + n]])
+    place = np.flatnonzero(page[:n] == page[run - 1 :][:n])
+    return hashes[place], page[place], place
+
+
+def _tokens(pages) -> tuple[list[list[int]], dict[str, int]]:
+    """Numbered tokens of the open blocks of each page (kinds, texts), and the numbers."""
+    number: dict[str, int] = {}
+    return [[number.setdefault(w, len(number)) for k, t in zip(*page) if k == OPEN for w in _TOKEN_WORD.findall(t)] for page in pages], number
+
+
+def _hashes(host: str, number: dict[str, int]) -> np.ndarray:
+    """Hashes of a host's tokens by their numbers."""
+    import xxhash
+
+    seed = xxhash.xxh3_64_intdigest(host.encode())
+    return np.fromiter((xxhash.xxh3_64_intdigest(w.encode("utf-8", "surrogatepass"), seed) for w in number), np.uint64, len(number))
+
+
+def _groups(batches):
+    """(host, part, rows) of Arrow batches that arrive sorted by their first two columns."""
+    key, held = None, []
+    for batch in batches:
+        for row in zip(*(c.to_pylist() for c in batch.columns)):
+            if row[:2] != key and held:
+                yield *key, held
+                held = []
+            key = row[:2]
+            held.append(row[2:])
+    if held:
+        yield *key, held
+
+
 def _host(url):
     """Host of a URL in lower case, without user, port and a leading www."""
     return F.regexp_replace(F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), r"^(?:[^:/?#]+:)?//(?:[^/?#@]*@)?([^/?#:]*)", 1)), r"^www\.", "")
@@ -181,8 +224,8 @@ def extract(pages: DataFrame, tokens: int = ARRAY_TOKENS) -> DataFrame:
     text has a line a block; n_boilerplate counts the blocks that repeated substrings of the host removed. Null and
     empty pages give an empty text. A page all of whose open blocks are repeated (a copy of another page) keeps them:
     there is no unique text to prefer. Rows that repeat a page_id count as pages of their own. Other columns are
-    ignored; no rows give none. A hot host is cut into arrays of about ``tokens`` tokens, each of which sees the
-    boilerplate of its pages; pages that need no decision are never gathered.
+    ignored; no rows give none. A hot host is cut into arrays of about ``tokens`` tokens, which ask each other for windows
+    (by 64 bits) that stand on pages of several; pages that need no decision are never gathered.
     """
     kind = pages.schema["page_id"].dataType.simpleString()
     schema = f"page_id {kind}, url string, host string, open int, kinds array<int>, texts array<string>"
@@ -205,17 +248,62 @@ def extract(pages: DataFrame, tokens: int = ARRAY_TOKENS) -> DataFrame:
     hosts = stash(hosts, "hosts")
     dealt = unsure.join(hosts, F.col("host") == F.col("of")).withColumn("part", F.pmod(F.xxhash64("page_id", "url"), F.col("parts")))
 
+    width = shuffle_width(pages.sparkSession)
+
+    def ask(batches):
+        """Distinct windows of each array of a hot host with their number of pages, dealt by the window."""
+        for host, part, rows in _groups(batches):
+            streams, number = _tokens(rows)
+            window, page, _ = windows(streams, _hashes(host, number))
+            order = np.lexsort((page, window))
+            window, page = window[order], page[order]
+            first = np.ones(len(window), bool)
+            first[1:] = (window[1:] != window[:-1]) | (page[1:] != page[:-1])
+            window, n = np.unique(window[first], return_counts=True)
+            n = np.minimum(n, PAGES).astype(np.uint8)
+            cuts = np.searchsorted(((window >> np.uint64(32)) * np.uint64(width)) >> np.uint64(32), np.arange(width + 1)).tolist()
+            out = [(k, _join(window[a:b], n[a:b])) for k, (a, b) in enumerate(zip(cuts, cuts[1:])) if b > a]
+            yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in out], pa.int32()), pa.array([host] * len(out), pa.string()), pa.array([part] * len(out), pa.int64()), pa.array([d for _, d in out], pa.binary())], ["to", "host", "part", "windows"])
+
+    def answer(batches):
+        """To each array, those of its windows that are repeated over the host but not yet in the array."""
+        asked = [(h, p, *_part(d)) for b in batches for h, p, d in zip(*(c.to_pylist() for c in b.columns[1:]))]
+        if not asked:
+            return
+        window, at = np.unique(np.concatenate([x[2] for x in asked]), return_inverse=True)
+        often = (np.bincount(at, np.concatenate([x[3] for x in asked])) >= PAGES)[at]
+        ends = np.cumsum([len(x[2]) for x in asked]).tolist()
+        for (host, part, own, n), end in zip(asked, ends):
+            found = own[often[end - len(own) : end] & (n < PAGES)]
+            if len(found):
+                yield pa.RecordBatch.from_arrays([pa.array([host]), pa.array([part], pa.int64()), pa.array([found.tobytes()], pa.binary())], ["host", "part", "windows"])
+
     def decide(batches):
-        """Rows arrive sorted by host and part; each group is settled when the next begins."""
-        key, held = None, []
+        ids = None
 
-        def settle():
-            number: dict[str, int] = {}
-            streams = [[number.setdefault(w, len(number)) for k, t in zip(r[3], r[4]) if k == OPEN for w in _TOKEN_WORD.findall(t)] for r in held]
+        def typed(batches):
+            nonlocal ids
+            for batch in batches:
+                ids = batch.column(2).type
+                yield batch
+
+        for host, _, held in _groups(typed(batches)):
+            said = [np.frombuffer(r[4], np.uint64) for r in held if r[4] is not None]
+            held = [r for r in held if r[4] is None]
+            streams, number = _tokens([r[2:4] for r in held])
+            covers = repeated(streams)
+            if said:
+                window, _, place = windows(streams, _hashes(host, number))
+                place = place[np.isin(window, np.concatenate(said))]
+                change = np.zeros(sum(map(len, streams)) + 1, np.int64)
+                np.add.at(change, place, 1)
+                np.add.at(change, place + RUN, -1)
+                elsewhere = np.cumsum(change)[:-1] > 0
+                covers = [c | e for c, e in zip(covers, np.split(elsewhere, np.cumsum([len(s) for s in streams])[:-1]))]
             rows = []
-            for r, cover in zip(held, repeated(streams)):
+            for r, cover in zip(held, covers):
                 at, kept, gone = 0, [], 0
-                for k, text in zip(r[3], r[4]):
+                for k, text in zip(r[2], r[3]):
                     n = len(_TOKEN_WORD.findall(text)) if k == OPEN else 0
                     # a short block is decided by the run it lies in
                     bad = n and cover[at : at + n].mean() >= COVERED
@@ -223,21 +311,14 @@ def extract(pages: DataFrame, tokens: int = ARRAY_TOKENS) -> DataFrame:
                     gone += bool(bad)
                     if not bad:
                         kept.append(text)
-                rows.append((r[1], r[2], "\n".join(kept if kept else r[4]), 0 if not kept else gone))
-            return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], ids), pa.array([r[1] for r in rows], pa.string()), pa.array([r[2] for r in rows], pa.string()), pa.array([r[3] for r in rows], pa.int64())], ["page_id", "url", "text", "n_boilerplate"])
+                rows.append((r[0], r[1], "\n".join(kept if kept else r[3]), 0 if not kept else gone))
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], ids), pa.array([r[1] for r in rows], pa.string()), pa.array([r[2] for r in rows], pa.string()), pa.array([r[3] for r in rows], pa.int64())], ["page_id", "url", "text", "n_boilerplate"])
 
-        ids = None
-        for batch in batches:
-            ids = batch.column(2).type
-            for row in zip(*(c.to_pylist() for c in batch.columns)):
-                if key is not None and row[:2] != key and held:
-                    yield settle()
-                    held = []
-                key = row[:2]
-                held.append((key, *row[2:]))
-        if held:
-            yield settle()
-
-    dealt = dealt.select("host", "part", "page_id", "url", "kinds", "texts").repartition(shuffle_width(pages.sparkSession), "host", "part").sortWithinPartitions("host", "part")
-    decided = dealt.mapInArrow(decide, f"page_id {kind}, url string, text string, n_boilerplate long")
+    def gather(rows):
+        return rows.repartition(width, "host", "part").sortWithinPartitions("host", "part")
+
+    asked = gather(dealt.filter("parts > 1").select("host", "part", "kinds", "texts")).mapInArrow(ask, "to int, host string, part long, windows binary")
+    answers = asked.repartitionById(width, "to").mapInArrow(answer, "host string, part long, windows binary")
+    dealt = dealt.select("host", "part", "page_id", "url", "kinds", "texts", F.lit(None).cast("binary").alias("windows")).unionByName(answers, allowMissingColumns=True)
+    decided = gather(dealt).mapInArrow(decide, f"page_id {kind}, url string, text string, n_boilerplate long")
     return sure.unionByName(decided).select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"), "n_boilerplate")

@@ -146,3 +146,14 @@ def test_host_boilerplate_goes(spark):
     assert all(got[i].text == f"own text of page {i} which is quite unique {i}{i} indeed" for i in range(10))
     assert got[20].text == got[21].text == "" and got[22].text == note and got[23].text == "T & x\none two three\nfour"
     assert all(r.n_chars == len(r.text) for r in got.values())
+
+
+def test_a_host_of_many_arrays_loses_no_repeated_passage(spark):
+    own = lambda i: " ".join(f"own{i}x{k}" for k in range(12))
+    rows = [(i, f"https://big.org/{i}", f"<p>passage of two pages number n{i // 2} and no more of it</p><p>{own(i)}</p>") for i in range(40)]
+    rows += [(100 + i, "https://small.org/", f"<p>said on both pages of it</p><p>{own(i)}</p>") for i in range(2)]
+    rows += [(200, "https://big.org/copy", f"<p>{own(0)}</p>"), (201, None, f"<p>{own(1)}</p>"), (202, "https://big.org/é", "<p>few words</p>"), (202, "https://big.org/é", "<p>few words</p>")]
+    table = spark.createDataFrame(rows, "page_id long, url string, html string")
+    one, many = ([tuple(r) for r in html.extract(table, tokens=t).collect()] for t in (html.ARRAY_TOKENS, 60))
+    assert sorted(one, key=str) == sorted(many, key=str)
+    assert {r[0]: r[2] for r in many}[7] == own(7) and sum(r[4] for r in many) == 41
