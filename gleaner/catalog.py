@@ -58,9 +58,9 @@ GAMES, ONLINE, COUNTRY = ["the", "les", "heit", "that"], ["with", "pour", "para"
 
 
 def _results(spark: SparkSession, d: str) -> DataFrame:
-    """Pages as search results: their title is the last part of the URL, their description the start of the page."""
+    """Pages as search results: their title is the last part of the URL, their description the page."""
     pages = table(spark, d, "pages")
-    return pages.select(F.col("page_id").alias("seq"), urls.slug_title(F.col("url")).alias("title"), "url", F.substring("html", 1, F.lit(400) + F.col("page_id") % 7).alias("description"), F.concat(F.lit("q"), F.col("page_id") % 5).alias("query"))
+    return pages.select(F.col("page_id").alias("seq"), urls.slug_title(F.col("url")).alias("title"), "url", F.col("html").alias("description"), F.concat(F.lit("q"), F.col("page_id") % 5).alias("query"))
 
 
 @query(f"""WITH p AS (SELECT page_id, url, {_domain('url')} AS domain FROM pages),
@@ -68,7 +68,7 @@ k AS (SELECT * FROM p WHERE domain <> '' AND NOT EXISTS (SELECT 1 FROM (SELECT u
 SELECT domain, arg_min(regexp_extract(url, '^([^:/?#]+://[^/?#]+)', 1) || '/', page_id) AS homepage, count(*) AS n_results, count(DISTINCT page_id % 5) AS n_queries,
 min(page_id) AS first_seq FROM k GROUP BY domain""")
 def domain_buckets(spark, d):
-    rows = _results(spark, d).withColumn("domain", urls.canonical_domain(F.col("url"))).withColumn("homepage", urls.homepage(F.col("url")))
+    rows = _results(spark, d).withColumn("description", F.lit("")).withColumn("domain", urls.canonical_domain(F.col("url"))).withColumn("homepage", urls.homepage(F.col("url")))
     blocked = spark.createDataFrame([(b,) for b in BLOCKED], "domain string")
     held = relate.buckets(relate.not_blocked(rows, "domain", blocked))
     return held.select("domain", "homepage", F.size("results").cast("long").alias("n_results"), F.size("queries").cast("long").alias("n_queries"), F.col("results")[0]["seq"].alias("first_seq"))

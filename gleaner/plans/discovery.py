@@ -17,16 +17,17 @@ def discover_stores(results: DataFrame, pages: DataFrame, blocked: DataFrame, in
     store's metadata folds its home page and up to ``most_pages`` pages that the home page links to.
     """
     held = results.withColumn("domain", urls.canonical_domain(F.col("url"))).withColumn("homepage", urls.homepage(F.col("url")))
-    held = relate.buckets(relate.not_blocked(held, "domain", blocked))
+    # the longest description, the first of equals; no bucket holds all, as a description may be a whole page
+    best = F.max_by(F.struct("title", "description", "url"), F.struct(F.coalesce(F.length("description"), F.lit(-1)), -F.col("seq"))).alias("best")
+    held = held.groupBy("domain").agg(F.min_by("homepage", "seq").alias("homepage"), F.array_sort(F.collect_set("query")).alias("queries"), best)
+    held = relate.not_blocked(held, "domain", blocked)
     meta = markup.site_metadata(pages)
     home = held.select("domain", "homepage").join(meta.withColumnRenamed("url", "homepage"), "homepage").withColumn("seq", F.lit(0))
     linked = home.select("domain", F.posexplode(F.slice("internal_links", 1, most_pages)).alias("at", "url")).join(meta, "url").withColumn("seq", F.col("at") + 1)
     fields = ["store_name", "instagram_url", "facebook_url", "city", "state", "store_logo"]
     columns = ["domain", "seq", *fields, "page_text", "internal_links"]
     folded = relate.fold_metadata(home.select(*columns).unionByName(linked.select(*columns)), "domain", "seq", fields, "page_text", "internal_links")
-    # the longest description, the first of equals
-    best = F.element_at(F.array_sort("results", lambda a, b: F.when(F.length(a["description"]) != F.length(b["description"]), F.length(b["description"]) - F.length(a["description"])).otherwise(F.when(a["seq"] < b["seq"], -1).otherwise(1))), 1)
-    rows = held.join(folded, "domain", "left").withColumn("best", best)
+    rows = held.join(folded, "domain", "left")
     evidence = F.concat_ws(" ", "best.title", "best.description", "best.url", F.coalesce("page_text", F.lit("")))
     rows = rows.withColumn("d", rules.store_decision(F.col("domain"), evidence, **vocabularies))
     name = text.first_text(F.coalesce("store_name", F.lit("")), text.title_fallback(F.col("best.title"), F.col("domain")))

@@ -44,3 +44,9 @@ def test_entry(spark):
 
     assert __spark_entry__.entry(spark).count() > 0
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_store_discovery_ranks_whole_pages(spark, db):
+    longest = dict(db.execute("SELECT arg_max(url, (length(html), -page_id)), arg_max(html, (length(html), -page_id)) FROM pages GROUP BY regexp_extract(url, '//([^/]*)', 1)").fetchall())
+    got = [r.description for r in catalog.QUERIES["store_discovery"](spark, DATA).collect()]
+    assert got and set(got) <= set(longest.values()) and max(map(len, got)) > 406
