@@ -1,6 +1,7 @@
 """License scans: exact set-similarity join of text blocks with license templates (operator 3).
 
-A block is a line of a text. Template tokens are ordered by their frequency over all documents, rarest first. A block
+A block is a line of a text or, where a notice may be wrapped over lines, as many words in a row as the template has,
+whatever line ends lie between. Template tokens are ordered by their frequency over all documents, rarest first. A block
 can only hold the share ``threshold`` of a template if it has one of the template's first few tokens (prefix), enough
 distinct words (length), and enough template words from there on (position); what passes is counted exactly.
 DataFrame functions only; templates are a small parameter and stand in the plan as literals.
@@ -83,6 +84,24 @@ def block_matches(blocks: Column, plans, order: list[str]) -> Column:
     return F.flatten(F.transform(blocks, in_block))
 
 
+def window_matches(words: Column, templates, plans) -> Column:
+    """Array of (label, best containment) of the templates that windows of their own number of words hold.
+
+    A window that begins with a template's word holds no less than one that begins before it; windows are only cut where
+    the whole text has enough of the template.
+    """
+
+    def test(label: str, tokens: list[str], need: int, size: int) -> Column:
+        own = F.array(*(F.lit(t) for t in tokens))
+        places = F.filter(F.transform(words, lambda w, i: F.when(w.isin(tokens), i + 1)), lambda p: p.isNotNull())
+        held = F.transform(places, lambda p: F.size(F.array_intersect(F.slice(words, p, F.lit(size)), own)))
+        best = F.when(F.size(F.array_intersect(words, own)) >= need, F.array_max(held))
+        return F.when(best >= need, F.struct(F.lit(label).alias("label"), (best / len(tokens)).alias("containment")))
+
+    tests = [test(*plan, len([w for w in re.split(_SPLIT, text.lower()) if w])) for (_, text), plan in zip(templates, plans)]
+    return F.filter(F.array(*tests), lambda m: m.isNotNull())
+
+
 def starts_of(words: Column, joined: Column, phrase: str) -> Column:
     """Words at which the phrase begins; the search by place runs only where the joined words hold the phrase."""
     parts = phrase.split()
@@ -122,6 +141,10 @@ def scan(docs: DataFrame, templates=TEMPLATES, threshold: float = THRESHOLD, phr
     none = F.array().cast("array<struct<label:string,containment:double>>")
     found = found.withColumn("blocks", F.when(candidate, lines))
     found = found.withColumn("matches", F.when(F.col("blocks").isNotNull(), block_matches(F.col("blocks"), plans, order)).otherwise(none))
+    # of wrapped notices, those that no line holds as well
+    wrapped = F.when(F.size("blocks") > 1, window_matches(words, [t for t in templates if _tokens(t[1])], plans)).otherwise(none)
+    found = found.withColumn("wrapped", wrapped)
+    found = found.withColumn("matches", F.concat("matches", F.filter("wrapped", lambda w: ~F.exists("matches", lambda m: (m["label"] == w["label"]) & (m["containment"] >= w["containment"])))))
     base = F.filter(F.array(*(F.when(F.size(n) > 0, F.lit(label)) for n, label in zip(names, phrases.values()))), lambda x: x.isNotNull())
     found = found.withColumn("base", F.array_sort(F.array_distinct(base))).withColumn("starts", F.array_sort(F.concat(*names)))
     labels = F.array_sort(F.array_distinct(F.concat("base", F.transform("matches", lambda m: m["label"]))))

@@ -125,6 +125,22 @@ def test_licenses(docs, none):
     assert licenses.scan(none).count() == 0
 
 
+def test_licenses_wrapped_over_lines(spark):
+    bsd, mpl = "Redistribution and use in source and binary forms, with or without", "This Source Code Form is subject to the terms of the Mozilla Public"
+    texts = [
+        (1, f"x\n{bsd}\nmodification, are permitted", "bsd", 1.0),
+        (2, f"x\n * {mpl}\n * License, version 2.0\ny", "mpl", 1.0),
+        (3, bsd, "", 0.0),
+        (4, f"{bsd}\n" + "other words\n" * 20 + "modification, are permitted", "", 0.0),
+        (5, "\n".join("Released under the MIT License".split()), "mit", 1.0),
+        (6, "first\nReleased under the MIT License\nlast", "mit", 1.0),
+        (7, "\n\n", "", 0.0),
+    ]
+    got = {r.doc_id: r for r in licenses.scan(spark.createDataFrame([t[:2] for t in texts], "doc_id long, text string")).collect()}
+    assert [(i, got[i].labels, got[i].score) for i, *_ in texts] == [(i, labels, score) for i, _, labels, score in texts]
+    assert len(got[6].matches) == 1
+
+
 def test_fingerprints(docs, none):
     got = {r.doc_id: r for r in fingerprints.edited_fingerprints(docs).collect()}
     rows = sorted({t[:2] for t in TEXTS}, key=lambda t: t[0])
