@@ -28,8 +28,12 @@ def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     marks = stash(fingerprints.edited_fingerprints(docs), "fingerprints")
-    groups = fingerprints.exact_duplicates(docs, marks.selectExpr("doc_id", "substring_index(fingerprint, ':', 1) AS digest"))
-    return marks.join(groups.select("doc_id", "group_id", "n_copies"), "doc_id")
+    digest = F.substring_index("fingerprint", ":", 1)
+    groups = fingerprints.exact_duplicates(docs, marks.select("doc_id", digest.alias("digest")))
+    # rows of one id and digest are in one group; an id may be null or repeated
+    groups = groups.distinct().withColumnsRenamed({"doc_id": "of", "digest": "of_digest"})
+    joined = marks.withColumn("digest", digest).join(groups, (F.col("digest") == F.col("of_digest")) & F.col("doc_id").eqNullSafe(F.col("of")))
+    return joined.select(*marks.columns, "group_id", "n_copies")
 
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

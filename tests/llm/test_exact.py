@@ -159,6 +159,16 @@ def test_fingerprints(docs, none):
     assert fingerprints.canonical("Ｆｕｌｌ  ﬁne STRASSE ß") == "full fine strasse ss"
 
 
+def test_fingerprint_query_keeps_every_row_once(spark, docs, tmp_path):
+    from gleaner.llm import queries
+
+    odd = spark.createDataFrame([(None, "short text"), (None, "alone here"), (9, "another text of nine"), (9, "short text")], "doc_id long, text string")
+    docs.select("doc_id", "text").unionByName(odd).write.parquet(f"{tmp_path}/documents.parquet")
+    got = Counter((r.doc_id, r.group_id, r.n_copies) for r in queries.op4_fingerprints(spark, str(tmp_path)).collect())
+    assert sum(got.values()) == len(TEXTS) + 4
+    assert got[9, 8, 5] == 3 and got[8, 8, 5] == 1 and got[9, 9, 1] == 1 and got[None, 8, 5] == 1 and got[None, None, 1] == 1
+
+
 def test_exact_duplicates(docs):
     groups = defaultdict(set)
     for r in fingerprints.exact_duplicates(docs).collect():
