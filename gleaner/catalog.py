@@ -521,9 +521,14 @@ def embedding_refresh(spark, d):
     """The third job with a deterministic stand-in for the embedding service."""
     items = table(spark, d, "part").select(F.col("p_partkey").alias("item_id"), F.col("p_name").alias("canonical_name"), F.lit("").alias("canonical_name_es"), F.col("p_type").alias("description"), F.lit("").alias("description_es"))
     names = table(spark, d, "supplier").select(F.col("s_suppkey").alias("ref"), F.col("s_name").alias("name"))
-    bridge = table(spark, d, "lineitem").filter("l_linenumber = 1").select(F.col("l_partkey").alias("item_id"), F.col("l_suppkey").alias("ref")).distinct()
+    bridge = table(spark, d, "lineitem").select(F.col("l_partkey").alias("item_id"), F.col("l_suppkey").alias("ref")).distinct()
+    # nations and regions of an item's suppliers stand for its mechanics and families
+    nations = table(spark, d, "nation")
+    places = bridge.join(table(spark, d, "supplier"), F.col("ref") == F.col("s_suppkey")).join(nations, F.col("s_nationkey") == F.col("n_nationkey"))
+    mechanics = (places.select("item_id", F.col("n_nationkey").alias("ref")).distinct(), nations.select(F.col("n_nationkey").alias("ref"), F.col("n_name").alias("name")))
+    families = (places.select("item_id", F.col("n_regionkey").alias("ref")).distinct(), table(spark, d, "region").select(F.col("r_regionkey").alias("ref"), F.col("r_name").alias("name")))
     old = items.filter("item_id % 3 = 0").select("item_id", F.array(F.lit(0.0).cast("float")).alias("embedding"), F.lit("").alias("source_hash"), F.lit("old").alias("model"), F.lit(1).alias("dims"))
-    out = discovery.refresh_embeddings(items, {"categories": (bridge, names), "mechanics": (bridge.limit(0), names), "families": (bridge.limit(0), names)}, old, lambda texts: [[float(len(t)), float(t.count(","))] for t in texts], "stub")
+    out = discovery.refresh_embeddings(items, {"categories": (bridge, names), "mechanics": mechanics, "families": families}, old, lambda texts: [[float(len(t)), float(t.count(","))] for t in texts], "stub")
     return out.select("item_id", "model", "dims", "source_hash", F.col("embedding")[0].cast("double").alias("first"))
 
 

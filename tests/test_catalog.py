@@ -50,3 +50,19 @@ def test_store_discovery_ranks_whole_pages(spark, db):
     longest = dict(db.execute("SELECT arg_max(url, (length(html), -page_id)), arg_max(html, (length(html), -page_id)) FROM pages GROUP BY regexp_extract(url, '//([^/]*)', 1)").fetchall())
     got = [r.description for r in catalog.QUERIES["store_discovery"](spark, DATA).collect()]
     assert got and set(got) <= set(longest.values()) and max(map(len, got)) > 406
+
+
+def test_embedding_refresh_reads_all_bridges(spark, db):
+    import hashlib
+
+    told = {}
+    for item, *names in db.execute("SELECT DISTINCT l_partkey, s_name, n_name, r_name FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey").fetchall():
+        for held, name in zip(told.setdefault(item, (set(), set(), set())), names):
+            held.add(name)
+    want = {}
+    for item, name, kind in db.execute("SELECT p_partkey, p_name, p_type FROM part").fetchall():
+        terms = [", ".join(sorted(t.strip() for t in held)) for held in told.get(item, ((), (), ()))]
+        text = f"Name: {name}\nSpanish name: \nDescription: {kind}\nDescription_es: \nCategories: {terms[0]}\nMechanics: {terms[1]}\nFamilies: {terms[2]}"
+        want[item] = ("old", 1, "", 0.0) if item % 3 == 0 else ("stub", 2, hashlib.sha256(text.encode()).hexdigest(), float(len(text)))
+    got = catalog.QUERIES["embedding_refresh"](spark, DATA).collect()
+    assert len(got) == len(want) and {r.item_id: (r.model, r.dims, r.source_hash, r.first) for r in got} == want
