@@ -1,8 +1,8 @@
 """Benchmark decontamination with a distributed positional inverted index (operator 1).
 
-The index holds postings (term, document, position) of training tokens. Only terms that a query needs are stored: for
+The index holds postings (term, row of a document, position) of training tokens. Only terms that a query needs are stored: for
 each window of a test item its rarest terms, by counts over all documents. Lists of one window, each shifted by the
-term's offset, are intersected on (document, item, shift); what survives is compared word by word, so matches are exact.
+term's offset, are intersected on (row, item, shift); what survives is compared word by word, so matches are exact.
 DataFrame functions only.
 """
 
@@ -20,21 +20,28 @@ RAREST = 3
 
 
 def item_words(items: DataFrame) -> DataFrame:
-    """item_id, words: items without words are left out; equal rows count once."""
-    return items.select("item_id", alnum_words(F.col("text")).alias("words")).filter(F.size("words") > 0).distinct()
+    """Write (item, item_id, words) to the shared folder: ``item`` numbers the rows, for ids may repeat with other texts.
+
+    Items without words or with a null id are left out; equal rows count once.
+    """
+    kept = items.select("item_id", alnum_words(F.col("text")).alias("words")).filter((F.size("words") > 0) & F.col("item_id").isNotNull()).distinct()
+    return stash(kept.select(F.monotonically_increasing_id().alias("item"), "item_id", "words"), "items")
 
 
 def tokenise(docs: DataFrame) -> DataFrame:
-    """Write (doc_id, words) of every whole text to the shared folder: texts are split once, read by each later step."""
-    return stash(docs.select("doc_id", alnum_words(F.col("text")).alias("words")), "words")
+    """Write (row, doc_id, words) of every whole text to the shared folder: texts are split once, read by each later step.
+
+    ``row`` numbers the rows, for doc_ids may repeat or be null.
+    """
+    return stash(docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", alnum_words(F.col("text")).alias("words")), "words")
 
 
 def tokens(tokenised: DataFrame, terms: DataFrame) -> DataFrame:
-    """Rows (doc_id, pos, term) of the training words that are in ``terms``.
+    """Rows (row, pos, term) of the training words that are in ``terms``.
 
     ``terms`` is a written table: its size is known to the planner, which broadcasts it only below Spark's threshold.
     """
-    return tokenised.select("doc_id", F.posexplode("words").alias("pos", "term")).join(terms.select("term"), "term")
+    return tokenised.select("row", F.posexplode("words").alias("pos", "term")).join(terms.select("term"), "term")
 
 
 def term_counts(tokenised: DataFrame, items: DataFrame) -> DataFrame:
@@ -45,34 +52,38 @@ def term_counts(tokenised: DataFrame, items: DataFrame) -> DataFrame:
 
 
 def anchors(items: DataFrame, counts: DataFrame, window: int = WINDOW, rarest: int = RAREST) -> DataFrame:
-    """(item_id, at, offsets): for each window of an item, starting at word ``at``, where its rarest terms stand in it.
+    """(item, at, offset, term): for each window of an item, starting at word ``at``, where its rarest terms stand in it.
 
     An item of fewer words than ``window`` is one window.
     """
     long = items.withColumn("length", F.least(F.lit(window), F.size("words")))
-    spread = long.select("item_id", "words", "length", F.explode(F.sequence(F.lit(0), F.size("words") - F.col("length"))).alias("at"))
-    spread = spread.select("item_id", "at", F.posexplode(F.slice("words", F.col("at") + 1, F.col("length"))).alias("offset", "term"))
-    order = Window.partitionBy("item_id", "at").orderBy("n", "term", "offset")
+    spread = long.select("item", "words", "length", F.explode(F.sequence(F.lit(0), F.size("words") - F.col("length"))).alias("at"))
+    spread = spread.select("item", "at", F.posexplode(F.slice("words", F.col("at") + 1, F.col("length"))).alias("offset", "term"))
+    order = Window.partitionBy("item", "at").orderBy("n", "term", "offset")
     picked = spread.join(counts, "term").withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= rarest)
-    return picked.select("item_id", "at", "offset", "term")
+    return picked.select("item", "at", "offset", "term")
 
 
 def build_index(tokenised: DataFrame, terms: DataFrame) -> DataFrame:
-    """Store the postings (term, doc_id, pos) of ``terms`` in the shared folder."""
+    """Store the postings (term, row, pos) of ``terms`` in the shared folder."""
     return stash(tokens(tokenised, terms), "postings")
 
 
 def candidates(index: DataFrame, picked: DataFrame) -> DataFrame:
-    """(doc_id, item_id, shift) at which all chosen terms of some window stand: shift = word of document - word of item."""
-    places = picked.select("item_id", "term", (F.col("at") + F.col("offset")).alias("place")).distinct()
-    hits = index.join(places, "term").select("doc_id", "item_id", (F.col("pos") - F.col("place")).alias("shift"), "place").distinct()
-    met = hits.groupBy("doc_id", "item_id", "shift").agg(F.collect_set("place").alias("met"))
-    needs = picked.groupBy("item_id", "at").agg(F.array_sort(F.collect_set(F.col("at") + F.col("offset"))).alias("need"))
-    needs = needs.groupBy("item_id").agg(F.array_distinct(F.collect_list("need")).alias("needs"))
+    """(row, item, shift) at which all chosen terms of some window stand: shift = word of document - word of item."""
+    places = picked.select("item", "term", (F.col("at") + F.col("offset")).alias("place")).distinct()
+    hits = index.join(places, "term").select("row", "item", (F.col("pos") - F.col("place")).alias("shift"), "place")
+    # a place of an item has one term, so that no hit stands twice
+    met = hits.groupBy("row", "item", "shift").agg(F.collect_set("place").alias("met"))
+    needs = picked.groupBy("item", "at").agg(F.array_sort(F.collect_set(F.col("at") + F.col("offset"))).alias("need"))
+    needs = needs.groupBy("item").agg(F.array_distinct(F.collect_list("need")).alias("needs"))
     # written: a join that reads an aggregate in place cannot split a hot item's rows
     needs = stash(needs, "needs")
-    whole = met.join(needs, "item_id").filter(F.exists("needs", lambda need: F.size(F.array_except(need, "met")) == 0))
-    return whole.select("doc_id", "item_id", "shift")
+    whole = met.join(needs, "item").filter(F.exists("needs", lambda need: F.size(F.array_except(need, "met")) == 0))
+    return whole.select("row", "item", "shift")
+
+
+_RUNS = "array<struct<begin:int,end:int>>"
 
 
 def aligned_runs(words, item, shift, window: int):
@@ -80,7 +91,7 @@ def aligned_runs(words, item, shift, window: int):
     first = F.greatest(F.lit(0), -shift)
     last = F.least(F.size(item), F.size(words) - shift) - 1
     length = F.least(F.lit(window), F.size(item))
-    start = F.struct(F.array().cast("array<struct<begin:int,end:int>>").alias("runs"), F.lit(-1).alias("open"))
+    start = F.struct(F.array().cast(_RUNS).alias("runs"), F.lit(-1).alias("open"))
 
     def step(state, i):
         same = F.get(words, i + shift) == F.get(item, i)
@@ -90,24 +101,26 @@ def aligned_runs(words, item, shift, window: int):
         return F.when(same, F.struct(state["runs"].alias("runs"), opened.alias("open"))).otherwise(F.struct(closed.alias("runs"), F.lit(-1).alias("open")))
 
     # one place past the end closes a run that reaches it: there get() is null on one side
-    return F.when(last >= first, F.aggregate(F.sequence(first, last + 1), start, step, lambda state: state["runs"])).otherwise(F.array().cast("array<struct<begin:int,end:int>>"))
+    return F.when(last >= first, F.aggregate(F.sequence(first, last + 1), start, step, lambda state: state["runs"])).otherwise(F.array().cast(_RUNS))
 
 
 def phrase_matches(tokenised: DataFrame, items: DataFrame, window: int = WINDOW, rarest: int = RAREST) -> DataFrame:
-    """(doc_id, item_id, runs): every run of words of a document that windows of the item cover, as [begin, end).
+    """(row, doc_id, n_words, matches) of every row of ``tokenised`` (from :func:`tokenise`); ``items``: item_id, text.
 
-    ``tokenised`` is from :func:`tokenise`; ``items``: item_id, text.
+    matches: (item_id, runs) for each item with an occurring window; runs: the words of the document that windows cover
+    at one shift of the item, as [begin, end). Null where no list of the index met. The words of the candidate items,
+    not the document's, are brought to the row, once for all their shifts: memory is a text and its candidates.
     """
-    wanted = stash(item_words(items), "items")
+    wanted = item_words(items)
     counts = stash(term_counts(tokenised, wanted), "counts")
     picked = stash(anchors(wanted, counts, window, rarest), "anchors")
     index = build_index(tokenised, stash(picked.select("term").distinct(), "anchor-terms"))
-    found = stash(candidates(index, picked), "candidates")
-    spots = found.groupBy(F.col("doc_id").alias("of")).agg(F.collect_set(F.struct("item_id", "shift")).alias("spots"))
-    texts = tokenised.join(spots, F.col("doc_id").eqNullSafe(F.col("of"))).select("doc_id", F.col("words").alias("doc_words"), F.explode("spots").alias("spot"))
-    both = texts.select("doc_id", "doc_words", "spot.*").join(wanted, "item_id")
-    runs = both.select("doc_id", "item_id", F.explode(aligned_runs(F.col("doc_words"), F.col("words"), F.col("shift"), window)).alias("run"))
-    return runs.groupBy("doc_id", "item_id").agg(F.collect_set("run").alias("runs"))
+    found = candidates(index, picked).groupBy("row", "item").agg(F.collect_list("shift").alias("shifts"))
+    spots = found.join(wanted, "item").groupBy("row").agg(F.collect_list(F.struct("item_id", F.col("words").alias("said"), "shifts")).alias("spots"))
+    both = tokenised.join(stash(spots, "candidates"), "row", "left")
+    judge = lambda spot: F.struct(spot["item_id"].alias("item_id"), F.flatten(F.transform(spot["shifts"], lambda shift: aligned_runs(F.col("words"), spot["said"], shift, window))).alias("runs"))
+    matches = F.filter(F.transform("spots", judge), lambda m: F.size(m["runs"]) > 0)
+    return both.select("row", "doc_id", F.size("words").cast("long").alias("n_words"), matches.alias("matches"))
 
 
 def covered(runs):
@@ -121,20 +134,19 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, rares
     """doc_id, n_words, n_hit, n_items, items_sha256, contaminated for every row of ``docs`` (doc_id, text).
 
     A word is hit if it lies in any occurrence of a window of any item. A null or empty text has no words and is clean;
-    so is everything if there are no items. Items without words or with a null id match nothing. Rows that repeat a
-    doc_id share the runs found in any of them. Other columns are ignored.
+    so is everything if there are no items. Items without words or with a null id match nothing. Rows are judged one by
+    one, also those that repeat a doc_id; items that repeat an item_id with another text are items of their own under
+    one id. Other columns are ignored; an empty table gives none.
     """
-    words = tokenise(docs)
-    matches = phrase_matches(words, items, window, rarest)
-    hits = matches.groupBy(F.col("doc_id").alias("of")).agg(covered(F.array_distinct(F.flatten(F.collect_list("runs")))).alias("n_hit"), F.array_sort(F.collect_set(F.col("item_id").cast("string"))).alias("items"))
-    joined = words.select("doc_id", F.size("words").cast("long").alias("n_words")).join(hits, F.col("doc_id").eqNullSafe(F.col("of")), "left")
-    items_of = F.coalesce("items", F.array().cast("array<string>"))
-    n_hit = F.coalesce("n_hit", F.lit(0)).cast("long")
-    return joined.select("doc_id", "n_words", n_hit.alias("n_hit"), F.size(items_of).cast("long").alias("n_items"), F.sha2(F.array_join(items_of, ","), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"))
+    found = phrase_matches(tokenise(docs), items, window, rarest)
+    n_hit = F.coalesce(covered(F.flatten(F.transform("matches", lambda m: m["runs"]))), F.lit(0)).cast("long")
+    ids = F.array_sort(F.array_distinct(F.coalesce(F.transform("matches", lambda m: m["item_id"].cast("string")), F.array().cast("array<string>"))))
+    told = found.select("doc_id", "n_words", n_hit.alias("n_hit"), ids.alias("ids"))
+    return told.select("doc_id", "n_words", "n_hit", F.size("ids").cast("long").alias("n_items"), F.sha2(F.array_join("ids", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
 def proximity_matches(index: DataFrame, queries: DataFrame, slop: int) -> DataFrame:
-    """(doc_id, query_id): documents in which all terms of a query stand within ``slop`` consecutive words, in any order.
+    """(row, query_id): rows in which all terms of a query stand within ``slop`` consecutive words, in any order.
 
     ``queries``: query_id, terms (array of distinct words, all of them in the index). Each posting of the query's terms
     opens a span that begins there; a span is met when every term has a posting in it. Spans are counted by window
@@ -142,9 +154,9 @@ def proximity_matches(index: DataFrame, queries: DataFrame, slop: int) -> DataFr
     """
     asked = queries.withColumn("n_terms", F.size(F.array_distinct("terms"))).select("query_id", "n_terms", F.explode(F.array_distinct("terms")).alias("term"))
     hits = index.join(asked, "term")
-    ahead = Window.partitionBy("doc_id", "query_id").orderBy("pos").rangeBetween(0, slop - 1)
+    ahead = Window.partitionBy("row", "query_id").orderBy("pos").rangeBetween(0, slop - 1)
     met = hits.withColumn("near", F.size(F.collect_set("term").over(ahead))).filter(F.col("near") == F.col("n_terms"))
-    return met.select("doc_id", "query_id").distinct()
+    return met.select("row", "query_id").distinct()
 
 
 def oracle(window: int = WINDOW) -> str:

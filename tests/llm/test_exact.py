@@ -63,12 +63,25 @@ def test_contamination(spark, docs, none):
     assert not decontamination.contamination(docs, table.limit(0)).filter("contaminated").count()
 
 
+def test_contamination_with_repeated_ids(spark):
+    """Items that share an item_id keep their own words; documents that share a doc_id keep their own hits; null ids count."""
+    first, second = "a b c d e f g h i j", "k l m n o p q r s t"
+    items = spark.createDataFrame([(1, first), (1, second), (1, second), (2, "u")], "item_id long, text string")
+    texts = [(1, f"x {second} y", 10), (2, f"{first} z {second}", 20), (3, second, 10), (3, "x y", 0), (None, f"{first} u", 11), (None, "y", 0), (4, "u " * 12_000, 12_000)]
+    got = decontamination.contamination(spark.createDataFrame([t[:2] for t in texts], "doc_id long, text string"), items).collect()
+    assert sorted((str(r.doc_id), r.n_words, r.n_hit) for r in got) == sorted((str(i), len(t.split()), n) for i, t, n in texts)
+    assert {r.n_items for r in got if r.doc_id == 2} == {1} and all(r.contaminated == (r.n_hit > 0) for r in got)
+    named = decontamination.contamination(spark.createDataFrame([(f"d{t[0]}", t[1]) for t in texts], "doc_id string, text string"), items).collect()
+    assert sorted(r.n_hit for r in named) == sorted(t[2] for t in texts)
+
+
 def test_proximity(spark, docs):
     tokens = decontamination.tokenise(docs)
     terms = spark.createDataFrame([(t,) for t in ("twelve", "ten", "y", "one")], "term string")
     queries = spark.createDataFrame([(1, ["twelve", "y"]), (2, ["one", "twelve"])], "query_id int, terms array<string>")
     found = decontamination.proximity_matches(decontamination.build_index(tokens, terms), queries, 2)
-    assert sorted(map(tuple, found.collect())) == [(0, 1)]
+    named = tokens.select("row", "doc_id").join(found, "row").select("doc_id", "query_id")
+    assert sorted(map(tuple, named.collect())) == [(0, 1)]
 
 
 def brute(rows):
