@@ -90,15 +90,13 @@ def blocked_domains(spark, d):
 @query("""WITH l AS (SELECT page_id, unnest(regexp_extract_all(html, '<a href="([^"]*)"', 1)) AS href, generate_subscripts(regexp_extract_all(html, '<a href="([^"]*)"', 1), 1) AS pos FROM pages)
 SELECT page_id, CAST(pos AS BIGINT) AS pos, href FROM l""")
 def anchor_links(spark, d):
-    found = F.regexp_extract_all("html", F.lit('<a href="([^"]*)"'), F.lit(1))
-    return table(spark, d, "pages").select("page_id", F.posexplode(found).alias("pos", "href")).select("page_id", (F.col("pos") + 1).cast("long").alias("pos"), "href")
+    return table(spark, d, "pages").select("page_id", F.posexplode(markup.site("html")["links"]).alias("pos", "href")).select("page_id", (F.col("pos") + 1).cast("long").alias("pos"), "href")
 
 
 @query("""WITH l AS (SELECT page_id, url, unnest(regexp_extract_all(html, '<a href="([^"]*)"', 1)) AS href FROM pages)
 SELECT page_id, href, regexp_extract(url, '^([A-Za-z]+://[^/?#]*)', 1) || href AS resolved FROM l WHERE starts_with(href, '/')""")
 def resolved_links(spark, d):
-    found = F.regexp_extract_all("html", F.lit('<a href="([^"]*)"'), F.lit(1))
-    rows = table(spark, d, "pages").select("page_id", "url", F.explode(found).alias("href")).filter(F.col("href").startswith("/"))
+    rows = table(spark, d, "pages").select("page_id", "url", F.explode(markup.site("html")["links"]).alias("href")).filter(F.col("href").startswith("/"))
     return rows.select("page_id", "href", urls.resolve(F.col("url"), F.col("href")).alias("resolved"))
 
 
@@ -130,20 +128,19 @@ def text_normalize(spark, d):
 
 
 _MARKS = "''\":;,.!?/\\|()[]{}+-_"
-_TITLE = f"trim(regexp_replace(translate(lower(replace(strip_accents(replace(substring(text, 1, 12), 'ß', '')), '&', ' and ')), '{_MARKS}', '                      '), '\\s+', ' ', 'g'))"
+_TITLE = f"trim(regexp_replace(translate(lower(replace(strip_accents(replace(text, 'ß', '')), '&', ' and ')), '{_MARKS}', '                      '), '\\s+', ' ', 'g'))"
 
 
 @query(f"""SELECT doc_id, title FROM (SELECT doc_id, {_TITLE} AS title, row_number() OVER (PARTITION BY {_TITLE} ORDER BY doc_id) AS n FROM documents) WHERE n = 1 AND title <> ''""")
 def title_key_dedupe(spark, d):
-    rows = table(spark, d, "documents").select("doc_id", text.normalize_title(F.substring("text", 1, 12)).alias("title")).filter("title <> ''")
+    rows = table(spark, d, "documents").select("doc_id", text.normalize_title(F.col("text")).alias("title")).filter("title <> ''")
     return relate.keep_first(rows, ["title"], ["doc_id"])
 
 
 @query("""SELECT doc_id, CASE WHEN contains(t, ' | ') THEN trim(split_part(t, ' | ', 1)) WHEN contains(t, ' - ') THEN trim(split_part(t, ' - ', 1)) ELSE '' END AS stripped,
-trim(split_part(split_part(t, ' | ', 1), ' - ', 1)) AS cleaned FROM (SELECT doc_id, trim(regexp_replace(substring(text, 1, 80), '\\s+', ' ', 'g')) AS t FROM documents)""")
+trim(split_part(split_part(t, ' | ', 1), ' - ', 1)) AS cleaned FROM (SELECT doc_id, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS t FROM documents)""")
 def title_suffixes(spark, d):
-    head = F.substring("text", 1, 80)
-    return table(spark, d, "documents").select("doc_id", text.strip_suffix(head).alias("stripped"), text.clean_title(head).alias("cleaned"))
+    return table(spark, d, "documents").select("doc_id", text.strip_suffix(F.col("text")).alias("stripped"), text.clean_title(F.col("text")).alias("cleaned"))
 
 
 @query("""SELECT p_partkey, sha256('Name: ' || p_name || chr(10) || 'Spanish name: ' || chr(10) || 'Description: ' || p_type || chr(10) || 'Description_es: ' || chr(10) || 'Categories: ' || p_brand || ', ' || p_type || chr(10) || 'Mechanics: ' || chr(10) || 'Families: ' || p_brand) AS source_hash FROM part""")
@@ -188,27 +185,26 @@ def store_classify(spark, d):
 IG, IX, IO = ["the", "with", "les", "der", "el"], ["reing", "heit"], ["on", "in", "la", "de"]
 
 
-def _words(terms: list[str]) -> str:
-    return "(" + " + ".join(f"CAST(regexp_matches(t0, '(^|\\W){t}($|\\W)') AS INTEGER)" for t in terms) + ")"
+def _hits(terms: list[str]) -> str:
+    return "list_filter([" + ", ".join(f"CASE WHEN regexp_matches(t0, '(^|\\W){t}($|\\W)') THEN '{t}' END" for t in terms) + "], lambda x: x IS NOT NULL)"
 
 
+# the confidence is rounded half to even on millionths, as its decimal text is
 @query(f"""WITH b AS (SELECT doc_id, trim(regexp_replace(lower(strip_accents(replace(text || ' ' || source, 'ß', ''))), '\\s+', ' ', 'g')) AS t0, doc_id % 4 = 0 AS pl, doc_id % 5 = 0 AS mi, doc_id % 7 = 0 AS ag, source = 'src3' AS pu FROM documents),
-h AS (SELECT *, {_words(IG)} AS g, {_words(IX)} AS x, {_words(IO)} AS o FROM b),
-s AS (SELECT *, CASE WHEN pl THEN 0.35 ELSE 0 END + CASE WHEN mi THEN 0.2 ELSE 0 END + CASE WHEN ag THEN 0.15 ELSE 0 END + least(0.45, 0.15 * g) + CASE WHEN pu THEN 0.3 ELSE 0 END + CASE WHEN x > 0 THEN 0.3 ELSE 0 END AS p, least(0.85, 0.25 * o) AS n FROM h)
-SELECT doc_id, CASE WHEN x > 0 THEN 'LIKELY_EXPANSION' WHEN p >= 0.5 THEN 'LIKELY_BOARDGAME' WHEN n >= 0.5 THEN 'LIKELY_NON_BOARDGAME' WHEN p > 0 THEN 'LIKELY_BOARDGAME' ELSE 'UNCERTAIN' END AS category,
-CAST(greatest(0, least(0.99, CASE WHEN x > 0 THEN 0.75 + p / 4 WHEN p >= 0.5 THEN 0.65 + p / 3 WHEN n >= 0.5 THEN 0.65 + n / 3 WHEN p > 0 THEN 0.55 + p / 4 ELSE 0.5 END)) AS DOUBLE) AS exact FROM s""")
+h AS (SELECT *, {_hits(IG)} AS g, {_hits(IX)} AS x, {_hits(IO)} AS o FROM b),
+s AS (SELECT *, CASE WHEN pl THEN 0.35 ELSE 0 END + CASE WHEN mi THEN 0.2 ELSE 0 END + CASE WHEN ag THEN 0.15 ELSE 0 END + least(0.45, 0.15 * len(g)) + CASE WHEN pu THEN 0.3 ELSE 0 END + CASE WHEN len(x) > 0 THEN 0.3 ELSE 0 END AS p, least(0.85, 0.25 * len(o)) AS n FROM h),
+c AS (SELECT *, CASE WHEN len(x) > 0 THEN 'LIKELY_EXPANSION' WHEN p >= 0.5 THEN 'LIKELY_BOARDGAME' WHEN n >= 0.5 THEN 'LIKELY_NON_BOARDGAME' WHEN p > 0 THEN 'LIKELY_BOARDGAME' ELSE 'UNCERTAIN' END AS category,
+CAST(round(1e6 * greatest(0, least(0.99, CASE WHEN len(x) > 0 THEN 0.75 + p / 4 WHEN p >= 0.5 THEN 0.65 + p / 3 WHEN n >= 0.5 THEN 0.65 + n / 3 WHEN p > 0 THEN 0.55 + p / 4 ELSE 0.5 END))) AS BIGINT) AS m,
+list_filter([CASE WHEN pl THEN 'player count found' END, CASE WHEN mi THEN 'play time found' END, CASE WHEN ag THEN 'minimum age found' END, CASE WHEN len(g) > 0 THEN 'boardgame terms found: ' || array_to_string(g[1:3], ', ') END, CASE WHEN pu THEN 'known boardgame publisher found' END, CASE WHEN len(x) > 0 THEN 'expansion terms found: ' || array_to_string(x[1:3], ', ') END,
+CASE WHEN len(x) = 0 AND len(o) > 0 THEN 'non-boardgame terms found: ' || array_to_string(o[1:3], ', ') END], lambda r: r IS NOT NULL) AS reasons FROM s)
+SELECT doc_id, category, CAST(CASE WHEN m = 975000 THEN 0.97 ELSE (m // 10000 + CASE WHEN m % 10000 > 5000 OR (m % 10000 = 5000 AND m // 10000 % 2 = 1) THEN 1 ELSE 0 END) / 100 END AS DOUBLE) AS confidence,
+CASE WHEN len(reasons) > 0 THEN array_to_string(reasons, '|') ELSE 'insufficient classification evidence' END AS reasons FROM c""")
 def item_classify(spark, d):
     k = F.col("doc_id")
     n = lambda m: F.when(k % m == 0, 2)
     none = F.lit("")
-    held = table(spark, d, "documents").withColumn("j", rules.item_decision(F.col("text"), F.when(F.col("source") == "src3", "src3").otherwise(F.col("source")), none, none, none, n(4), n(4), n(5), n(5), n(7), IG, IX, IO, ["src3"]))
-    # the confidence before rounding, from the same evidence, to compare exactly
-    held = held.withColumn("n", rules.let(text.normalize_ascii(F.concat_ws(" ", "text", "source")), lambda t: F.array(*(F.size(rules.word_hits(t, w)) for w in (IG, IX, IO)))))
-    g, x, o = (F.col("n")[i] for i in range(3))
-    p = F.when(k % 4 == 0, 0.35).otherwise(0.0) + F.when(k % 5 == 0, 0.2).otherwise(0.0) + F.when(k % 7 == 0, 0.15).otherwise(0.0) + F.least(F.lit(0.45), 0.15 * g) + F.when(F.col("source").contains("src3"), 0.3).otherwise(0.0) + F.when(x > 0, 0.3).otherwise(0.0)
-    against = F.least(F.lit(0.85), 0.25 * o)
-    exact = F.when(x > 0, 0.75 + p / 4).when(p >= 0.5, 0.65 + p / 3).when(against >= 0.5, 0.65 + against / 3).when(p > 0, 0.55 + p / 4).otherwise(0.5)
-    return held.select("doc_id", "j.category", F.greatest(F.lit(0.0), F.least(F.lit(0.99), exact)).alias("exact"))
+    judged = rules.item_decision(F.col("text"), F.col("source"), none, none, none, n(4), n(4), n(5), n(5), n(7), IG, IX, IO, ["src3"])
+    return table(spark, d, "documents").select("doc_id", judged.alias("j")).select("doc_id", "j.category", "j.confidence", F.array_join("j.reasons", "|").alias("reasons"))
 
 
 @query("""WITH t AS (SELECT s_suppkey, CASE s_suppkey % 5 WHEN 0 THEN 'Envios desde Nuevo León y más' WHEN 1 THEN 'Tienda en LEÓN, Guanajuato' WHEN 2 THEN 'baja california sur' WHEN 3 THEN 'Mexico City y Puebla' ELSE s_name END AS t FROM supplier)
@@ -312,8 +308,8 @@ def active_items(spark, d):
 
 @query("""SELECT s_suppkey, s_name, s_acctbal FROM supplier WHERE s_nationkey < 12 AND s_acctbal > 0 ORDER BY s_acctbal DESC, lower(s_name), s_suppkey LIMIT 20""")
 def topk_order(spark, d):
-    rows = table(spark, d, "supplier").select("s_suppkey", "s_name", "s_acctbal", "s_nationkey").filter("s_nationkey < 12 AND s_acctbal > 0")
-    return rows.orderBy(F.col("s_acctbal").desc(), F.lower("s_name"), "s_suppkey").limit(20).drop("s_nationkey")
+    rows = table(spark, d, "supplier").filter("s_nationkey < 12 AND s_acctbal > 0").select(F.col("s_name").alias("store_name"), F.col("s_acctbal").alias("confidence"), F.col("s_suppkey").alias("canonical_domain"))
+    return exports.store_order(rows).limit(20).select(F.col("canonical_domain").alias("s_suppkey"), F.col("store_name").alias("s_name"), F.col("confidence").alias("s_acctbal"))
 
 
 @query("""WITH q AS (SELECT n_nationkey AS seq, 0 AS k, 'shop ' || n_name AS q FROM nation UNION ALL SELECT r_regionkey + 1000000, t, CASE t WHEN 0 THEN 'SHOP ' || r_name ELSE 'buy in ' || lower(r_name) END FROM region, (VALUES (0), (1)) v(t) UNION ALL SELECT n_nationkey + 2000000, 0, 'Shop ' || lower(n_name) FROM nation)
@@ -328,9 +324,10 @@ def query_templates(spark, d):
     return relate.keep_first(both.withColumn("query", F.when(F.col("query").startswith("buy"), F.lower("query")).otherwise(F.col("query"))), [F.lower("query")], ["seq", "k"]).select("query")
 
 
-@query("""SELECT o_orderstatus AS status, count(*) AS n, count(DISTINCT o_custkey) AS domains, count(*) FILTER (WHERE o_totalprice > 100000) AS accepted FROM orders GROUP BY 1""")
+@query("""SELECT count(DISTINCT o_orderpriority) AS queries, (SELECT count(*) FROM customer) AS domains, (SELECT count(*) FROM customer WHERE c_acctbal > 0) AS accepted FROM orders""")
 def run_counters(spark, d):
-    return table(spark, d, "orders").groupBy(F.col("o_orderstatus").alias("status")).agg(F.count(F.lit(1)).alias("n"), F.countDistinct("o_custkey").alias("domains"), F.count_if(F.col("o_totalprice") > 100000).alias("accepted"))
+    audit = table(spark, d, "customer").select((F.col("c_acctbal") > 0).alias("accepted"))
+    return discovery.counters(audit.filter("accepted"), audit, table(spark, d, "orders").select(F.col("o_orderpriority").alias("query")))
 
 
 @query("""SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_returnflag = 'R' AND NOT EXISTS (SELECT 1 FROM lineitem e WHERE e.l_returnflag <> 'R' AND e.l_partkey IS NOT DISTINCT FROM lineitem.l_partkey AND e.l_shipmode0 = lineitem.l_shipmode0)""".replace("FROM lineitem WHERE l_returnflag = 'R'", "FROM (SELECT *, l_suppkey % 40 AS l_shipmode0 FROM lineitem) lineitem WHERE l_returnflag = 'R'").replace("FROM lineitem e", "FROM (SELECT *, l_suppkey % 40 AS l_shipmode0 FROM lineitem) e"))
@@ -425,28 +422,37 @@ def mark_errors(spark, d):
 
 
 @query("""WITH RECURSIVE e AS (SELECT n_nationkey AS src, (n_nationkey * 3 + 1) % 25 AS dst FROM nation UNION SELECT n_nationkey, n_regionkey FROM nation),
-r AS (SELECT n_nationkey AS seed, n_nationkey AS id FROM nation WHERE n_regionkey = 1 UNION SELECT r.seed, e.dst FROM r JOIN e ON e.src = r.id) SELECT CAST(seed AS INTEGER) AS seed, CAST(id AS INTEGER) AS id FROM r""")
+r AS (SELECT n_nationkey AS seed, n_nationkey AS id FROM nation UNION SELECT r.seed, e.dst FROM r JOIN e ON e.src = r.id) SELECT CAST(seed AS INTEGER) AS seed, CAST(id AS INTEGER) AS id FROM r""")
 def link_closure(spark, d):
     n = table(spark, d, "nation")
     k = F.col("n_nationkey")
     edges = n.select(k.alias("src"), ((k * 3 + 1) % 25).alias("dst")).unionByName(n.select(k.alias("src"), F.col("n_regionkey").alias("dst")))
-    return graph.closure(edges, n.filter("n_regionkey = 1").select(k.alias("id"))).select("seed", "id")
+    return graph.closure(edges, n.select(k.alias("id"))).select("seed", "id")
 
 
 def _sitemaps(spark, d):
-    """Each page stands for a sitemap entry: an index for each host, with two nested maps."""
-    pages = table(spark, d, "pages").select("page_id", F.concat(F.lit("https://h"), F.col("page_id") % 5, F.lit(".org")).alias("root"))
-    loc = F.concat(F.lit("<loc> <![CDATA["), "root", F.lit("/product/"), "page_id", F.lit("?a=1&amp;b=2]]> </loc>"))
-    maps = pages.groupBy("root", (F.col("page_id") % 2).alias("half")).agg(F.array_join(F.array_sort(F.collect_list(loc)), "").alias("b"))
-    nested = maps.select(F.concat("root", F.lit("/sitemap-products-"), "half", F.lit(".xml")).alias("url"), F.concat(F.lit("<urlset>"), "b", F.lit("<loc>https://other.org/product/1</loc></urlset>")).alias("body"))
-    top = pages.select("root").distinct().select(F.concat("root", F.lit("/sitemap.xml")).alias("url"), F.concat(F.lit("<sitemapindex><loc>"), "root", F.lit("/sitemap-products-0.xml</loc><loc>/sitemap-products-1.xml</loc><loc>"), "root", F.lit("/sitemap.xml</loc></sitemapindex>")).alias("body"))
-    return top, nested
+    """(roots, snapshot): five stores, whose pages' products stand in maps of five kinds, beside maps that must not be followed.
+
+    0 and 1 name maps for products beside others; 2 names none so; 3 has no root but the direct map; 4 nests deeper.
+    """
+    pages = table(spark, d, "pages").select("page_id", (F.col("page_id") % 5).alias("h"), (F.floor(F.col("page_id") / 5) % 2).alias("half"), F.concat(F.lit("https://h"), F.col("page_id") % 5, F.lit(".org")).alias("site"))
+    loc = F.concat(F.lit("<loc> <![CDATA["), "site", F.lit("/product/"), "page_id", F.lit("?a=1&amp;b=2]]> </loc>"))
+    maps = pages.groupBy("site", "h", F.when(F.col("h") == 3, 0).otherwise(F.col("half")).alias("half")).agg(F.array_join(F.array_sort(F.collect_list(loc)), "").alias("b"))
+    name = F.when(F.col("h") < 2, "/sitemap-products-").when(F.col("h") == 3, "/product-sitemap").otherwise("/part-")
+    address = F.concat("site", name, F.when(F.col("h") == 3, "").otherwise(F.col("half").cast("string")), F.lit(".xml"))
+    nested = maps.select(address.alias("url"), F.concat(F.lit("<urlset>"), "b", F.lit("<loc>https://other.org/product/1</loc></urlset>")).alias("body"))
+    sites = pages.select("site", "h").distinct()
+    decoy = sites.filter("h < 2").select(F.concat("site", F.lit("/other.xml")).alias("url"), F.concat(F.lit("<urlset><loc>"), "site", F.lit("/product/decoy</loc></urlset>")).alias("body"))
+    index = lambda *maps: F.concat(F.lit("<sitemapindex>"), *(x for m in maps for x in (F.lit("<loc>"), "site", F.lit(f"{m}</loc>"))), F.lit("</sitemapindex>"))
+    kinds = F.when(F.col("h") < 2, index("/sitemap-products-0.xml", "/sitemap-products-1.xml", "/other.xml", "/sitemap.xml")).when(F.col("h") == 2, index("/part-0.xml", "/part-1.xml")).otherwise(index("/products-index.xml", "/other.xml"))
+    top = sites.filter("h <> 3").select(F.concat("site", F.lit("/sitemap.xml")).alias("url"), kinds.alias("body"))
+    deep = sites.filter("h = 4").select(F.concat("site", F.lit("/products-index.xml")).alias("url"), index("/part-0.xml", "/part-1.xml").alias("body"))
+    return sites.select(F.concat("site", F.lit("/sitemap.xml")).alias("url")), nested.unionByName(decoy).unionByName(top).unionByName(deep)
 
 
 @query("""SELECT 'https://h' || (page_id % 5) || '.org/product/' || page_id AS url FROM pages""")
 def sitemap_frontier(spark, d):
-    top, nested = _sitemaps(spark, d)
-    found, _ = graph.crawl(top.select("url"), top.unionByName(nested))
+    found, _ = graph.crawl(*_sitemaps(spark, d))
     return found
 
 
@@ -481,9 +487,9 @@ def audit_export(spark, d):
 @query()
 def store_discovery(spark, d):
     """The whole first job on pages as results: one audit row a domain."""
-    pages = table(spark, d, "pages").select("url", "html")
+    pages = table(spark, d, "pages").select("url", "html", "page_id")
     blocked = spark.createDataFrame([(b,) for b in BLOCKED], "domain string")
-    _, audit = discovery.discover_stores(_results(spark, d), pages.dropDuplicates(["url"]), blocked, games=GAMES, online=ONLINE, country=COUNTRY)
+    _, audit = discovery.discover_stores(_results(spark, d), relate.keep_first(pages, ["url"], ["page_id"]).drop("page_id"), blocked, games=GAMES, online=ONLINE, country=COUNTRY)
     return exports.audit_rows(audit)
 
 
@@ -499,24 +505,29 @@ def product_pages(spark, d):
 @query()
 def listing_pages(spark, d):
     """Product links of pages with their context; links of the pages' own host count as products here."""
-    pages = table(spark, d, "pages").select("url", F.replace("html", F.lit('<a href="/'), F.lit('<a href="/producto/')).alias("html"))
-    return markup.listing_candidates(pages.dropDuplicates(["url"]))
+    pages = table(spark, d, "pages").select("page_id", "url", F.replace("html", F.lit('<a href="/'), F.lit('<a href="/producto/')).alias("html"))
+    return markup.listing_candidates(relate.keep_first(pages, ["url"], ["page_id"]).drop("page_id"))
 
 
-@query()
+@query("""SELECT n_nationkey, CAST(n_nationkey + 1 AS BIGINT) AS bgg_id, 'boardgame' AS item_type, n_name AS name, 1995 AS year FROM nation""")
 def search_xml(spark, d):
     body = F.concat(F.lit('<items><item type="boardgame" id="'), F.col("n_nationkey") + 1, F.lit('"><name type="alternate" value="x"/><name type="primary" value="'), "n_name", F.lit('"/><yearpublished value="1995"/></item><item id="0"/></items>'))
     return table(spark, d, "nation").select("n_nationkey", F.explode(markup.search_items(body)).alias("i")).select("n_nationkey", "i.*")
 
 
-@query()
+@query("""SELECT p_partkey AS bgg_id, p_name AS name, 2 AS min_players, CAST(NULL AS INTEGER) AS max_players, 1 AS n_categories, 1 AS n_parents FROM part""")
 def thing_xml(spark, d):
     body = F.concat(F.lit('<items><item type="boardgameexpansion" id="'), F.col("p_partkey"), F.lit('"><name type="primary" value="'), "p_name", F.lit('"/><description>d</description><minplayers value="2"/><maxplayers value="x"/><link type="boardgamecategory" id="7" value="c"/><link type="boardgameexpansion" id="9" value="p" inbound="true"/></item></items>'))
     held = table(spark, d, "part").select(markup.thing(body).alias("t"))
     return held.select("t.bgg_id", "t.name", "t.min_players", "t.max_players", F.size(markup.links_of(F.col("t"), "category")).alias("n_categories"), F.size(markup.links_of(F.col("t"), "parent")).alias("n_parents"))
 
 
-@query()
+@query("""WITH b AS (SELECT DISTINCT l_partkey AS item_id, l_suppkey AS ref FROM lineitem), pl AS (SELECT item_id, n_nationkey, n_name, n_regionkey FROM b JOIN supplier ON ref = s_suppkey JOIN nation ON s_nationkey = n_nationkey),
+c AS (SELECT item_id, string_agg(s_name, ', ' ORDER BY s_name) AS names FROM b JOIN supplier ON ref = s_suppkey GROUP BY 1), m AS (SELECT item_id, string_agg(n_name, ', ' ORDER BY n_name) AS names FROM (SELECT DISTINCT item_id, n_nationkey, n_name FROM pl) GROUP BY 1),
+f AS (SELECT item_id, string_agg(r_name, ', ' ORDER BY r_name) AS names FROM (SELECT DISTINCT item_id, n_regionkey FROM pl) JOIN region ON r_regionkey = n_regionkey GROUP BY 1),
+t AS (SELECT p_partkey AS item_id, 'Name: ' || p_name || chr(10) || 'Spanish name: ' || chr(10) || 'Description: ' || p_type || chr(10) || 'Description_es: ' || chr(10) || 'Categories: ' || coalesce(c.names, '') || chr(10) || 'Mechanics: ' || coalesce(m.names, '') || chr(10) || 'Families: ' || coalesce(f.names, '') AS t
+FROM part LEFT JOIN c ON c.item_id = p_partkey LEFT JOIN m ON m.item_id = p_partkey LEFT JOIN f ON f.item_id = p_partkey)
+SELECT item_id, CASE WHEN item_id % 3 = 0 THEN 'old' ELSE 'stub' END AS model, CASE WHEN item_id % 3 = 0 THEN 1 ELSE 2 END AS dims, CASE WHEN item_id % 3 = 0 THEN '' ELSE sha256(t) END AS source_hash, CASE WHEN item_id % 3 = 0 THEN 0.0 ELSE CAST(length(t) AS DOUBLE) END AS first FROM t""")
 def embedding_refresh(spark, d):
     """The third job with a deterministic stand-in for the embedding service."""
     items = table(spark, d, "part").select(F.col("p_partkey").alias("item_id"), F.col("p_name").alias("canonical_name"), F.lit("").alias("canonical_name_es"), F.col("p_type").alias("description"), F.lit("").alias("description_es"))

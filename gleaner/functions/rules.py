@@ -26,7 +26,10 @@ def substring_hits(text: Column, terms: list[str]) -> Column:
 
 def word_hits(text: Column, terms: list[str]) -> Column:
     """Terms in their order that stand between non-word characters."""
-    return F.filter(_array(terms), lambda t: F.rlike(text, F.concat(F.lit(r"(^|\W)\Q"), t, F.lit(r"\E($|\W)"))))
+    if not terms:
+        return _array([])
+    # a pattern that is a literal is compiled once
+    return F.array_compact(F.array(*(F.when(text.rlike(rf"(^|\W)\Q{t}\E($|\W)"), t) for t in terms)))
 
 
 def is_blocked(domain: Column, blocked: list[str] = vocab.BLOCKED_DOMAINS) -> Column:
@@ -205,11 +208,13 @@ def snippet(text: Column, label: str) -> Column:
 
 def language_evidence(text: Column) -> Column:
     """The neighbourhood of the first language name, else the beginning."""
-    plain = fold(collapse(text))
-    places = [F.nullif(F.locate(t, plain), F.lit(0)) for t in ("english", "ingles", "spanish", "espanol", "castellano")]
-    at = F.coalesce(*places)
-    start = F.greatest(F.lit(1), at - 80)
-    return F.when(at.isNotNull(), collapse(F.substr(collapse(text), start, at + 120 - start))).otherwise(F.substr(collapse(text), F.lit(1), F.lit(200)))
+
+    def around(x: Column) -> Column:
+        at = F.coalesce(*(F.nullif(F.locate(t, x["plain"]), F.lit(0)) for t in ("english", "ingles", "spanish", "espanol", "castellano")))
+        start = F.greatest(F.lit(1), at - 80)
+        return F.when(at.isNotNull(), collapse(F.substr(x["text"], start, at + 120 - start))).otherwise(F.substr(x["text"], F.lit(1), F.lit(200)))
+
+    return let(let(collapse(text), lambda t: F.struct(t.alias("text"), fold(t).alias("plain"))), around)
 
 
 def item_language(title: Column, url: Column, description: Column, page: Column) -> Column:

@@ -3,25 +3,78 @@
 from __future__ import annotations
 
 import unicodedata
+from functools import cache
+from typing import NamedTuple
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def _folding() -> tuple[str, str, dict[str, str]]:
-    """Letters whose case fold, decomposed and without marks, is one other character; and those that become several."""
-    one, many = {}, {}
-    for point in (*range(0xA0, 0x250), *range(0x1E00, 0x1F00)):  # Latin letters
-        c = chr(point)
-        if unicodedata.category(c)[0] not in "LN":
+class _Table(NamedTuple):
+    """What single characters become: another by place in two strings (nothing, past the shorter), or several, as lines of both."""
+
+    old: str
+    new: str
+    several: str
+
+
+def _table(plain, nothing: bool) -> _Table:
+    """The characters beyond ASCII that ``plain`` changes; into nothing only if asked. Hangul syllables stay whole."""
+    one, several, gone = {}, {}, ""
+    for point in range(0x80, 0x30000):
+        if 0xAC00 <= point < 0xE000 or (became := plain(c := chr(point))) == c:
             continue
-        plain = "".join(x for x in unicodedata.normalize("NFKD", c.casefold()) if not unicodedata.combining(x))
-        if plain != c and plain != c.lower():
-            (one if len(plain) == 1 else many)[c] = plain
-    return "".join(one), "".join(one.values()), {k: v for k, v in many.items() if k in "ßæœĳŉǆǉǌ"}
+        if len(became) == 1:
+            one[c] = became
+        elif became:
+            several[c] = became
+        elif nothing:
+            gone += c
+    return _Table("".join(one) + gone, "".join(one.values()), "\n".join(k + v for k, v in several.items()))
+
+
+@cache
+def _folded() -> _Table:
+    """Case folded, in compatibility form, marks dropped."""
+    return _table(lambda c: "".join(x for x in unicodedata.normalize("NFKD", c.casefold()) if not unicodedata.combining(x)), True)
+
+
+@cache
+def _to_ascii(form: str) -> _Table:
+    """The ASCII of a decomposition, NFKD or NFD."""
+    return _table(lambda c: "".join(x for x in unicodedata.normalize(form, c) if x.isascii()), False)
+
+
+def _bound(value: Column, use) -> Column:
+    """``use(value)`` with the value computed, and written into the plan, once."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _replaced(c: Column, table: _Table) -> Column:
+    """Each character as the table has it. Of those that become several, Latin letters are replaced one by one; others are
+    rare: where one stands, all that occur are."""
+    pairs = table.several.split("\n") if table.several else []
+    out = F.translate(c, table.old, table.new) if table.old else c
+    for pair in pairs:
+        if pair < "\u0180":
+            out = F.replace(out, F.lit(pair[0]), F.lit(pair[1:]))
+    rare = [pair for pair in pairs if pair >= "\u0180"]
+    if not rare:
+        return out
+
+    def spelled(plain: Column) -> Column:
+        held = F.filter(F.split(F.lit("\n".join(rare)), "\n"), lambda pair: F.contains(plain, F.substring(pair, 1, 1)))
+        full = F.aggregate(held, plain, lambda text, pair: F.replace(text, F.substring(pair, 1, 1), F.substring(pair, 2, 99)))
+        # table lookups, for a class of so many characters is slow as a pattern
+        return F.when(F.length(F.translate(plain, "".join(pair[0] for pair in rare), "")) < F.length(plain), full).otherwise(plain)
+
+    return _bound(out, spelled)
+
+
+def _if_ascii(c: Column, plain, otherwise) -> Column:
+    return _bound(c, lambda x: F.when(F.length(x) == F.octet_length(x), plain(x)).otherwise(otherwise(x)))
 
 
-_FROM, _TO, _LONG = _folding()
 #: White space as Unicode has it, which Java's \s alone does not.
 SPACE = r"(?U)\s+"
 
@@ -32,12 +85,13 @@ def collapse(c: Column) -> Column:
 
 
 def fold(c: Column) -> Column:
-    """Case folded, accents dropped; white space stays."""
-    out = F.translate(F.lower(c), _FROM, _TO)
-    for letter, plain in _LONG.items():
-        if letter == "ß":
-            out = F.replace(out, F.lit(letter), F.lit(plain))
-    return F.regexp_replace(out, r"\p{Mn}+", "")
+    """Case folded, in compatibility form, accents dropped; white space stays."""
+    return _if_ascii(c, F.lower, lambda x: _replaced(F.lower(x), _folded()))
+
+
+def to_ascii(c: Column, form: str = "NFKD") -> Column:
+    """The ASCII of the decomposed text; everything else vanishes (ß and emoji too)."""
+    return _if_ascii(c, lambda x: x, lambda x: F.regexp_replace(_replaced(x, _to_ascii(form)), r"[^\x00-\x7F]", ""))
 
 
 def normalize_text(c: Column) -> Column:
@@ -46,9 +100,8 @@ def normalize_text(c: Column) -> Column:
 
 
 def normalize_ascii(c: Column) -> Column:
-    """Accents dropped, everything else beyond ASCII too (ß and emoji vanish), then case and white space."""
-    plain = F.regexp_replace(F.translate(F.replace(c, F.lit("ß"), F.lit("")), _FROM, _TO), r"[^\x00-\x7F]", "")
-    return collapse(F.lower(plain))
+    """Accents dropped, everything else beyond ASCII too, then case and white space."""
+    return collapse(F.lower(to_ascii(c)))
 
 
 def normalize_match(c: Column) -> Column:
@@ -58,8 +111,7 @@ def normalize_match(c: Column) -> Column:
 
 def normalize_title(c: Column) -> Column:
     """Key of a title: accents dropped, & spelled out, quotes and punctuation to blanks. Compatibility forms vanish."""
-    plain = F.regexp_replace(F.translate(F.replace(c, F.lit("ß"), F.lit("")), _FROM, _TO), r"[^\x00-\x7F]", "")
-    spelled = F.translate(F.replace(plain, F.lit("&"), F.lit(" and ")), "'\":;,.!?/\\|()[]{}+-_", " " * 21)
+    spelled = F.translate(F.replace(to_ascii(c, "NFD"), F.lit("&"), F.lit(" and ")), "'\":;,.!?/\\|()[]{}+-_", " " * 21)
     return collapse(F.lower(spelled))
 
 

@@ -64,12 +64,11 @@ def missing(items: DataFrame, embedded: DataFrame, key: str, mode: str = "missin
 
 def active_items(items: DataFrame, listings: DataFrame, relations: DataFrame) -> DataFrame:
     """Items with a confirmed listing, whether one is approved, and whether the item extends another."""
-    items.createOrReplaceTempView("_items")
-    listings.createOrReplaceTempView("_listings")
-    relations.createOrReplaceTempView("_relations")
-    return items.sparkSession.sql("""SELECT i.*, EXISTS (SELECT 1 FROM _listings l WHERE l.item_id = i.item_id AND l.status = 'APPROVED') AS has_approved_listing,
-EXISTS (SELECT 1 FROM _relations r WHERE r.item_a_id = i.item_id AND r.link_type = 'extension') AS is_expansion
-FROM _items i WHERE EXISTS (SELECT 1 FROM _listings l WHERE l.item_id = i.item_id AND l.confirmed)""")
+    # one row an item, so that the joins are existence tests; rows of a hot item reduce before the shuffle
+    listed = listings.groupBy(F.col("item_id").alias("_i")).agg(F.max(F.col("confirmed")).alias("_c"), F.coalesce(F.max(F.col("status") == "APPROVED"), F.lit(False)).alias("_a")).filter("_c").drop("_c")
+    extends = relations.filter("link_type = 'extension'").select(F.col("item_a_id").alias("_e")).distinct()
+    held = items.join(listed, F.col("item_id") == F.col("_i")).join(extends, F.col("item_id") == F.col("_e"), "left")
+    return held.select(*(items[c] for c in items.columns), F.col("_a").alias("has_approved_listing"), F.col("_e").isNotNull().alias("is_expansion"))
 
 
 def nearby_rows(rows: DataFrame, group: str, pos: str, is_link: str, text: str, before: int = 3, after: int = 7) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .graph import settle
 from .relate import keep_first
 
 
@@ -19,7 +20,8 @@ def upsert(target: DataFrame, source: DataFrame, keys: list[str], kept: tuple[st
     """Rows of ``source`` replace those of equal (null-safe) ``keys`` or are added.
 
     ``kept`` columns stay as they are in a row that exists; ``filled`` ones take the source's value only where it has one.
-    Columns that the source lacks stay, and are null in new rows. Keys must be unique on either side.
+    Columns that the source lacks stay, and are null in new rows. Keys must be unique on either side; where the source
+    may repeat one, :func:`last_written` goes first.
     """
     t, s = target.withColumn("_t", F.lit(True)).alias("t"), source.withColumn("_s", F.lit(True)).alias("s")
     old, new = F.col("t._t").isNotNull(), F.col("s._s").isNotNull()
@@ -43,21 +45,23 @@ def last_written(source: DataFrame, keys: list[str], seq: str) -> DataFrame:
     return keep_first(source.withColumn("_n", -F.col(seq)), keys, [F.col("_n")]).drop("_n")
 
 
+#: Slices of new keys when they are numbered. A constant: ids must not depend on how many partitions a session has.
+SLICES = 256
+
+
 def with_ids(target: DataFrame, source: DataFrame, keys: list[str], id_col: str) -> DataFrame:
-    """``source`` with ids: those of its rows in ``target``, new ones above the largest in order of the keys.
+    """``source`` with ids: those of its rows in ``target``, new ones above the largest.
 
-    New rows are numbered by partition offsets after a range sort, so that no single task sees them all.
+    New keys are dealt to :data:`SLICES` slices by their hash and numbered in order within each, so that no single task
+    sees them all and the same rows get the same ids in every session.
     """
-    known = source.alias("s").join(target.select(id_col, *keys).alias("t"), _match(keys), "left").select("s.*", F.col(f"t.{id_col}").alias(id_col))
-    top = target.agg(F.coalesce(F.max(id_col), F.lit(0)).alias("top"))
-    fresh = known.filter(F.col(id_col).isNull()).drop(id_col)
-    parts = max(1, int(source.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    lead = [F.col(k).asc_nulls_first() for k in keys]
-    # slices by a hash of the key, numbered in key order within a slice; offsets by slice
-    sliced = fresh.withColumn("_p", F.pmod(F.xxhash64(*keys), F.lit(parts)))
-    sliced = sliced.withColumn("_r", F.row_number().over(Window.partitionBy("_p").orderBy(*lead)))
-    counts = sliced.groupBy("_p").count().withColumn("_o", F.coalesce(F.sum("count").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("_p", "_o")
-    numbered = sliced.join(counts, "_p").crossJoin(F.broadcast(top)).withColumn(id_col, F.col("top") + F.col("_o") + F.col("_r")).select(*known.columns)
+    known = settle(source.alias("s").join(target.select(id_col, *keys).alias("t"), _match(keys), "left").select("s.*", F.col(f"t.{id_col}").alias(id_col)))
+    top = target.agg(F.coalesce(F.max(id_col), F.lit(0))).first()[0]
+    fresh = known.filter(F.col(id_col).isNull()).drop(id_col).withColumn("_p", F.pmod(F.xxhash64(*keys), F.lit(SLICES)))
+    numbered = fresh.withColumn("_r", F.row_number().over(Window.partitionBy("_p").orderBy(*(F.col(k).asc_nulls_first() for k in keys))))
+    counts = fresh.groupBy("_p").count()
+    offsets = counts.select("_p", F.coalesce(F.sum("count").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_o"))
+    numbered = numbered.join(offsets, "_p").withColumn(id_col, F.lit(top) + F.col("_o") + F.col("_r")).select(*known.columns)
     return known.filter(F.col(id_col).isNotNull()).unionByName(numbered)
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import markup, rules, text, urls
 from ..operators import graph, relate, upsert
-from ..sources import tables
+from ..sources import records, tables
 
 
 def discover_stores(results: DataFrame, pages: DataFrame, blocked: DataFrame, include_low: bool = False, most_pages: int = 3, **vocabularies) -> tuple[DataFrame, DataFrame]:
@@ -53,18 +53,46 @@ def discover_items(store_id: int | None, roots: DataFrame, sitemaps: DataFrame,
     from_maps = found.select(F.col("url").alias("source_url"), urls.slug_title(F.col("url")).alias("title"), *(F.lit(v).alias(c) for c, v in (("raw_price", ""), ("price", ""), ("price_source", "none"), ("availability", "unknown"), ("availability_source", "none"))))
     listings = from_maps if not found.isEmpty() else listed.select(*from_maps.columns)
     listings = relate.frontier(listings.withColumn("store_id", F.lit(store_id).cast("int")), existing)
+    return classify(details(listings, pages, rendered))
+
+
+def details(listings: DataFrame, pages: DataFrame, rendered: DataFrame | None = None) -> DataFrame:
+    """The record of each listing (store_id, source_url, title, price and availability): its page's, with what the listing adds.
+
+    Protection pages give no record. Listings whose page gives none keep what they say themselves.
+    """
     wanted = listings.select(F.col("source_url").alias("url"))
-    detail = lambda df: markup.product_details(df.join(wanted, "url", "left_semi")).withColumn("source_listing_url", F.col("url"))
+    open_ = lambda df: df.filter(~F.coalesce(markup.is_challenge(F.col("html")), F.lit(False)))
+    detail = lambda df: markup.product_details(open_(df).join(wanted, "url", "left_semi")).withColumn("source_listing_url", F.col("url"))
     static = detail(pages)
     chosen = upsert.choose_detail(static, detail(rendered) if rendered is not None else static.limit(0), listings)
     columns = [c for c in static.columns if c not in ("url", "source_listing_url")]
     simple = {"title", "raw_price", "price", "price_source", "availability", "availability_source"}
     rows = chosen.select("store_id", F.coalesce("detail.url", "source_url").alias("source_url"), F.col("source_url").alias("source_listing_url"), *(F.when(F.col("origin") == "listing", F.col(c) if c in simple else F.lit(None)).otherwise(F.col(f"detail.{c}")).alias(c) for c in columns))
-    rows = upsert.with_listing(rows, listings)
+    return upsert.with_listing(rows, listings)
+
+
+def classify(rows: DataFrame) -> DataFrame:
     rows = rows.withColumn("structured", markup.json_values(F.get_json_object("raw_payload", "$.json_ld")))
     return rules.apply_item_decision(rows, rules.item_decision(*(F.col(c) for c in ("title", "publisher", "description", "item_type", "structured")), *(F.col(c) for c in ("min_players", "max_players", "min_minutes", "max_minutes", "min_age")))).drop("structured")
 
 
+def refresh_confirmed(stored: DataFrame, pages: DataFrame, rendered: DataFrame | None = None, limit: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """(new snapshot of ``stored``, refreshed rows): confirmed games read again, their classification and links kept.
+
+    ``limit`` takes those updated longest ago. Nothing is classified anew, nothing handed to the matcher.
+    """
+    due = graph.settle(records.confirmed(stored, limit))
+    fresh = details(due, pages, rendered)
+    held = upsert.keep_confirmed(fresh.join(due.select("id", F.col("source_url").alias("_u")), F.col("source_listing_url") == F.col("_u")).drop("_u", "source_listing_url"), due)
+    # the place where a listing was found stays with it
+    held = graph.settle(held.join(due.select("id", "source_listing_url"), "id").withColumn("last_updated", F.current_timestamp()))
+    if stored.schema["raw_payload"].dataType.typeName() == "map":
+        held = held.withColumn("raw_payload", records.json_object(F.col("raw_payload")))
+    columns = [c for c in stored.columns if c in held.columns]
+    return upsert.upsert(stored, held.select(*columns), ["id"], kept=("listing_status", "item_id", "store_id", "source_url")), held
+
+
 def match_requests(items: DataFrame, results: DataFrame) -> DataFrame:
     """Candidates to hand to the matcher: games that a result says to process."""
     return items.join(results.filter("should_process"), items["id"] == results["candidate_id"]).filter("is_boardgame").select("id", "title", "publisher", "source_url")

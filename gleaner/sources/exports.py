@@ -41,11 +41,12 @@ def write(rows: DataFrame, folder: str, name: str) -> tuple[str, str]:
 
 
 #: Columns that an item write sets, in order; match columns are never among them.
-ITEM_COLUMNS = (
-    "store_id source_url source_listing_url title publisher description item_id item_type min_players max_players min_minutes max_minutes min_age language language_source "
-    "language_evidence image_url listing_status raw_price price price_source currency availability availability_source store_sku raw_payload is_boardgame is_boardgame_confirmed "
-    "category_confidence classification_reasons"
-).split()
+ITEM_COLUMNS = [
+    "store_id", "source_url", "source_listing_url", "title", "publisher", "description", "item_id", "item_type", "min_players", "max_players",
+    "min_minutes", "max_minutes", "min_age", "language", "language_source", "language_evidence", "image_url", "listing_status", "raw_price", "price",
+    "price_source", "currency", "availability", "availability_source", "store_sku", "raw_payload", "is_boardgame", "is_boardgame_confirmed",
+    "category_confidence", "classification_reasons",
+]
 
 
 def item_rows(items: DataFrame) -> DataFrame:

@@ -72,6 +72,38 @@ class SearchSource(DataSource):
         return _Reader(self.options)
 
 
+class _XmlReader(DataSourceReader):
+    def __init__(self, options):
+        self.asked, self.kind = json.loads(options["asked"]), options.get("kind", "thing")
+        self.endpoint, self.key, self.types = options["endpoint"].rstrip("/"), options.get("key", ""), options.get("types", "boardgame,boardgameexpansion")
+
+    def partitions(self):
+        return [_Page(str(a), 0) for a in self.asked]
+
+    def read(self, part):
+        from urllib.parse import urlencode
+        from urllib.request import Request, urlopen
+
+        query = urlencode({"query" if self.kind == "search" else "id": part.query, "type": self.types})
+        headers = {"Accept": "application/xml,text/xml", "Authorization": f"Bearer {self.key}"}
+        with urlopen(Request(f"{self.endpoint}/{self.kind}?{query}", headers=headers), timeout=30) as response:
+            yield part.query, response.read().decode(response.headers.get_content_charset() or "utf-8", errors="replace")
+
+
+class XmlSource(DataSource):
+    """``spark.read.format("catalog_xml")``: (asked, body) of a metadata service, one partition for each number or search."""
+
+    @classmethod
+    def name(cls):
+        return "catalog_xml"
+
+    def schema(self):
+        return "asked string, body string"
+
+    def reader(self, schema):
+        return _XmlReader(self.options)
+
+
 def embed(rows: DataFrame, text: str, client, batch: int = 32) -> DataFrame:
     """``rows`` with an ``embedding`` by ``client`` (list of texts -> list of vectors), called in each partition."""
     import pandas as pd

@@ -4,7 +4,7 @@ import os
 
 import pytest
 
-from gleaner import catalog
+from gleaner import catalog, catalog_made
 
 DATA = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -28,9 +28,12 @@ def rows(frame):
     return columns, sorted(text, key=str)
 
 
-@pytest.mark.parametrize("name", sorted(catalog.ORACLES))
+QUERIES, ORACLES = catalog.QUERIES | catalog_made.QUERIES, catalog.ORACLES | catalog_made.ORACLES
+
+
+@pytest.mark.parametrize("name", sorted(ORACLES))
 def test_query_equals_its_sql(spark, db, name):
-    got, want = catalog.QUERIES[name](spark, DATA).toPandas(), db.execute(catalog.ORACLES[name]).df()
+    got, want = QUERIES[name](spark, DATA).toPandas(), db.execute(ORACLES[name]).df()
     # integers with nulls come as floats from one side or the other
     for c in got.columns:
         if str(got[c].dtype).startswith("float") != str(want[c].dtype).startswith("float"):

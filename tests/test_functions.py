@@ -1,3 +1,5 @@
+import unicodedata
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -136,3 +138,28 @@ def test_sitemap_locations(spark):
 
 def test_vocabulary_sizes():
     assert [len(x) for x in (vocab.BLOCKED_DOMAINS, vocab.STORE_GAME_TERMS, vocab.STORE_ONLINE_TERMS, vocab.STORE_COUNTRY_TERMS, vocab.CORE_QUERIES)] == [26, 28, 35, 42, 23]
+
+
+def test_folding_of_all_characters(spark):
+    """Every character but Hangul syllables, which stay whole, between two letters."""
+    points = [p for p in range(0x80, 0x30000) if not 0xAC00 <= p < 0xE000 and unicodedata.category(chr(p)) != "Cn"]
+    said = ["".join(f"a{chr(p)}B" for p in points[i : i + 40]) for i in range(0, len(points), 40)]
+    rows = spark.createDataFrame([(i, s) for i, s in enumerate(said)], "i int, s string")
+    plain = lambda s, form: unicodedata.normalize(form, s).encode("ascii", "ignore").decode()
+    for r in rows.select("i", text.fold(F.col("s")).alias("folded"), text.to_ascii(F.col("s")).alias("wide"), text.to_ascii(F.col("s"), "NFD").alias("narrow")).collect():
+        want = "".join(x for x in unicodedata.normalize("NFKD", said[r.i].casefold()) if not unicodedata.combining(x))
+        assert (r.folded, r.wide, r.narrow) == (want, plain(said[r.i], "NFKD"), plain(said[r.i], "NFD"))
+
+
+def test_pages_with_loose_markup(spark):
+    html = (
+        '<html lang="es"><body><noscript><h1>no</h1></noscript><h1>Catan <b>Junior</b></h1><div class="woocommerce-product-gallery"><img src="data:x" data-src="/big.png" alt="Catan"><br>'
+        '<a href="/full.webp?x=1"><img srcset="/s.jpg 200w, /l.jpg 800w"></a></div><p>after</p><p class="price">$ 1,200<span class="stock">no</span></p>'
+        '<div class="Stock in-stock">Hay <i>3</i></div><p class="price">MXN 5</p><style>.x{}</style><script>var p = "$ 9";</script><a href="/l">open <a href="/m">shut</a> rest</body>'
+    )
+    r = spark.createDataFrame([(html,)], "html string").select(markup.product("html").alias("p"), markup.events("html").alias("e")).first()
+    assert (r.p.h1, r.p.language, r.p.prices, [tuple(x) for x in r.p.stock]) == ("Catan Junior", "es", ["$ 1,200 no", "MXN 5"], [("Stock in-stock", "Hay 3")])
+    assert (r.p.gallery, [x.url for x in r.p.images]) == (["/big.png", "/full.webp?x=1", "/l.jpg"], ["/big.png", "/l.jpg"])
+    assert r.p.nodes == ["Catan", "Junior", "after", "open", "shut", "rest"]
+    assert [(x.kind, x.href, x.text) for x in r.e if x.href] == [("link", "/m", "shut")]
+    assert "rest" in [x.text for x in r.e] and "open" not in [x.text for x in r.e]

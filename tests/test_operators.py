@@ -1,3 +1,4 @@
+import pytest
 from pyspark.sql import functions as F
 
 from gleaner.functions import vocab
@@ -40,6 +41,38 @@ def test_crawl_reports_blocked(spark):
     assert found.count() == 0 and blocked.count() == 1
 
 
+def test_crawl_decides_for_each_store(spark):
+    index = lambda *maps: "<sitemapindex>" + "".join(f"<loc>{m}</loc>" for m in maps) + "</sitemapindex>"
+    urls = lambda *found: "<urlset>" + "".join(f"<url><loc>{u}</loc></url>" for u in found) + "</urlset>"
+    fetched = spark.createDataFrame(
+        [
+            ("https://a.mx/sitemap.xml", index("/products.xml", "/pages.xml")), ("https://a.mx/products.xml", urls("/product/1?v=1", "/product/1?v=2", "/product/2")), ("https://a.mx/pages.xml", urls("/product/no")),
+            ("https://b.mx/sitemap.xml", index("/one.xml")), ("https://b.mx/one.xml", index("/two.xml")), ("https://b.mx/two.xml", urls("/product/1", "https://a.mx/product/far")),
+            ("https://c.mx/product-sitemap.xml", urls("/product/1")), ("https://d.mx/sitemap.xml", "<script>location.reload()</script><title>Just a moment</title>"),
+        ],
+        "url string, body string",
+    )
+    roots = spark.createDataFrame([(f"https://{s}.mx/sitemap.xml",) for s in "abcd"], "url string")
+    found, blocked = graph.crawl(roots, fetched)
+    assert sorted(r.url for r in found.collect()) == ["https://a.mx/product/1", "https://a.mx/product/2", "https://b.mx/product/1", "https://c.mx/product/1"]
+    assert [r.url for r in blocked.collect()] == ["https://d.mx/sitemap.xml"]
+    assert sorted(r.url for r in graph.crawl(roots, fetched, limit=1)[0].collect()) == ["https://a.mx/product/1", "https://b.mx/product/1", "https://c.mx/product/1"]
+    with pytest.raises(RuntimeError, match="d.mx"):
+        graph.crawl(roots, fetched, strict=True)
+    assert graph.crawl(roots.limit(0), fetched.limit(0))[0].count() == 0
+
+
+def test_ids_do_not_depend_on_partitions(spark):
+    target = spark.createDataFrame([(7, "a")], "id long, k string")
+    source = spark.createDataFrame([(x,) for x in "abcdefgh"] + [(None,)], "k string")
+    got = []
+    for parts in ("2", "5"):
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+        got.append({r.k: r.id for r in upsert.with_ids(target, source, ["k"], "id").collect()})
+    spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert got[0] == got[1] and got[0]["a"] == 7 and sorted(got[0].values()) == list(range(7, 16))
+
+
 def test_first_of_equals_wins(spark):
     rows = spark.createDataFrame([(1, 1, "aa"), (1, 2, "bb"), (1, 3, "c")], "k int, seq int, t string")
     assert relate.best_by(rows, ["k"], F.length("t"), "seq").first().t == "aa"
