@@ -16,6 +16,7 @@ from bisect import bisect_right
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
 
 from .common import bitmap, shuffle_width, stash
 
@@ -143,8 +144,15 @@ def exact_duplicates(docs: DataFrame, marks: DataFrame | None = None) -> DataFra
 def _bounds(docs: DataFrame, slices: int) -> list:
     """First ids of at most ``slices`` runs of about equal numbers of ids: only these few reach the driver.
 
-    The bounds are ids that occur. They steer balance alone; any would give the same result.
+    The bounds are ids that occur. They steer balance alone; any would give the same result. Ids that have no quantiles,
+    such as strings, are drawn by their hash.
     """
+    if not isinstance(docs.schema["doc_id"].dataType, NumericType):
+        least, n = docs.agg(F.min("doc_id"), F.count("doc_id")).first()
+        share = min(1.0, 16 * slices / max(1, n))
+        ids = docs.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(share * (1 << 30))).groupBy("doc_id").count()
+        drawn = sorted(r["doc_id"] for r in ids.filter("doc_id IS NOT NULL").collect())
+        return sorted({m for m in (least, *drawn[:: max(1, len(drawn) // slices)]) if m is not None})
     marks = docs.agg(F.min("doc_id"), F.percentile_approx("doc_id", [i / slices for i in range(1, slices)], 20_000)).first()
     return sorted({m for m in (marks[0], *(marks[1] or [])) if m is not None})
 
@@ -154,7 +162,7 @@ def edited_fingerprints(docs: DataFrame, slices: int | None = None) -> DataFrame
 
     Documents are ranged by id, so that a document meets its successor in one partition; the first document of the
     next range comes along as a guest. The texts move once, compressed. Null texts are empty; a null id stands first;
-    rows that repeat an id follow one another in order of their texts. One row alone is its own successor; an empty
+    rows that repeat an id follow one another in order of their packed texts, which is the same in every run. One row alone is its own successor; an empty
     table gives an empty result.
     """
     import zstandard

@@ -172,6 +172,17 @@ def test_fingerprints(docs, none):
     assert fingerprints.canonical("Ｆｕｌｌ  ﬁne STRASSE ß") == "full fine strasse ss"
 
 
+def test_fingerprints_of_string_ids(spark):
+    rows = [(f"d{i:03}", f"text number {i} " * (1 + i % 7)) for i in range(60)]
+    table = spark.createDataFrame(rows, "doc_id string, text string").repartition(5)
+    for slices in (1, 4, 50):
+        got = {r.doc_id: r for r in fingerprints.edited_fingerprints(table, slices).collect()}
+        for i, (doc_id, text) in enumerate(rows):
+            k = len(text) // 4
+            edited = text[: len(text) - k] + rows[(i + 1) % len(rows)][1][:k]
+            assert got[doc_id].edited_sha256 == hashlib.sha256(edited.encode()).hexdigest()
+
+
 def test_fingerprint_query_keeps_every_row_once(spark, docs, tmp_path):
     from gleaner.llm import queries
 
