@@ -116,7 +116,8 @@ PAGE = '<html><head><title>T</title></head><body><nav>menu one</nav><div class="
 
 
 def test_main_text():
-    assert [t for _, t in html.blocks(PAGE)] == ["T & x", "one two three", "four"]
+    assert [t for k, t in html.blocks(PAGE) if k == html.ARTICLE] == ["T & x", "one two three", "four"]
+    assert {t for k, t in html.blocks(PAGE) if k == html.BESIDE} == {"menu one", "buy", "f", "no", "me too", "(c)"}
     assert html.blocks(None) == [] == html.blocks("<script>x</script>")
     assert html.blocks("a < b<p>c") == [(html.OPEN, "a < b"), (html.OPEN, "c")]
 
@@ -154,6 +155,64 @@ def test_a_host_of_many_arrays_loses_no_repeated_passage(spark):
     rows += [(100 + i, "https://small.org/", f"<p>said on both pages of it</p><p>{own(i)}</p>") for i in range(2)]
     rows += [(200, "https://big.org/copy", f"<p>{own(0)}</p>"), (201, None, f"<p>{own(1)}</p>"), (202, "https://big.org/é", "<p>few words</p>"), (202, "https://big.org/é", "<p>few words</p>")]
     table = spark.createDataFrame(rows, "page_id long, url string, html string")
-    one, many = ([tuple(r) for r in html.extract(table, tokens=t).collect()] for t in (html.ARRAY_TOKENS, 60))
+    one, many = ([tuple(r) for r in html.extract(table, chars=c).collect()] for c in (html.ARRAY_CHARS, 600))
     assert sorted(one, key=str) == sorted(many, key=str)
-    assert {r[0]: r[2] for r in many}[7] == own(7) and sum(r[4] for r in many) == 41
+    assert {r[0]: r[2] for r in many}[7] == own(7) and sum(r[4] for r in many) == 41 == sum(r[5] for r in many)
+
+
+def test_unclosed_and_doubtful_elements():
+    kinds = lambda page: [(k, t) for k, t in html.blocks(page)]
+    assert kinds("<article><p>a</p><button>x<p>rest of the page</p></article>") == [(2, "a"), (2, "rest of the page")]
+    assert kinds("<p>a<textarea>b<p>c</p><script>var x = '<p>';") == [(1, "a"), (1, "c")]
+    assert kinds("<p>a <button><div>b</div></button>c <!-- d > e</p>") == [(1, "a c e")]
+    # a teaser is not the article; a doubtful name inside an article needs the host's word
+    assert [k for k, _ in kinds('<article>teaser</article><div id="content">the long text of the page</div>')] == [1, 1]
+    assert kinds('<article><p>one and two and three</p><p class="reply-letter">four</p><p class="reply">five</p></article>') == [(2, "one and two and three"), (1, "four"), (0, "five")]
+
+
+@pytest.mark.parametrize("page", ["<a " * 350_000, "<a x=\"'" * 150_000, "<!--" * 250_000, "<button>" * 100_000 + "</button>", '<a x=">" ' * 100_000, "<" * 1_000_000, "<a" + "b" * 1_000_000, "<svg " * 200_000])
+def test_scan_is_linear(page):
+    import time
+
+    began = time.process_time()
+    html.blocks(page)
+    assert time.process_time() - began < 10  # seconds for a megabyte; a quadratic scan takes an hour
+
+
+def test_extraction_of_whole_hosts(spark):
+    """Against a plain version: every open block is kept unless windows that two pages of the host share cover it."""
+    rng = np.random.default_rng(9)
+    notes = [" ".join(f"note{n}w{k}" for k in range(int(rng.integers(3, 20)))) for n in range(6)]
+    rows = []
+    for i in range(60):
+        own = [" ".join(f"w{rng.integers(0, 40)}" for _ in range(int(rng.integers(1, 30)))) for _ in range(3)]
+        parts = [f"<p>{own[0]}</p>", f"<div>{notes[rng.integers(0, 6)]}</div>", f"<nav>{notes[rng.integers(0, 6)]}</nav>", f"<p>{own[1]}</p>", f"<p>{own[2]} {notes[rng.integers(0, 6)]}</p>"]
+        body = "".join(parts[k] for k in rng.permutation(5))
+        rows.append((i, f"https://h{i % 3}.org/{i}", f"<article>{body}</article>" if i % 10 == 0 else body))
+    got = {r.page_id: r for r in html.extract(spark.createDataFrame(rows, "page_id long, url string, html string"), chars=2000).collect()}
+    held = {i: html.blocks(page) for i, _, page in rows}
+    for i, _, page in rows:
+        seen = {}
+        for j in range(i % 3, 60, 3):
+            stream = [w for k, t in held[j] if k != html.ARTICLE for w in t.split()]
+            for a in range(len(stream) - html.RUN + 1):
+                seen.setdefault(tuple(stream[a : a + html.RUN]), set()).add(j)
+        stream = [w for k, t in held[i] if k != html.ARTICLE for w in t.split()]
+        cover = np.zeros(len(stream), bool)
+        for a in range(len(stream) - html.RUN + 1):
+            if len(seen[tuple(stream[a : a + html.RUN])]) >= html.PAGES:
+                cover[a : a + html.RUN] = True
+        at, kept, gone, again = 0, [], 0, 0
+        for k, t in held[i]:
+            n = len(t.split()) if k != html.ARTICLE else 0
+            bad = n and cover[at : at + n].mean() >= html.COVERED
+            at += n
+            if k == html.BESIDE or bad:
+                gone, again = gone + 1, again + bool(bad)
+            else:
+                kept.append(t)
+        if not kept:
+            kept = [t for k, t in held[i] if k != html.BESIDE]
+            gone, again = gone - len(kept), again - len(kept)
+        assert (got[i].text, got[i].n_boilerplate, got[i].n_repeated) == ("\n".join(kept), gone, again)
+    assert any(r.n_repeated for r in got.values()) and not all(r.n_boilerplate == 0 for r in got.values())
