@@ -1,12 +1,14 @@
 """Language-model scoring with an Elias-Fano n-gram trie (operator 8).
 
-The model is a word bigram model. Every training word has its own unigram probability, an unknown word that of one more
-token; a bigram is smoothed toward the unigram with a Dirichlet weight. A token's probability is a share of its word (its
-count with the word before, and its own) over a share of the word before (its count). Both are known where all tokens of a
-word meet, so tokens are dealt by word, each with the word before: a part builds its part of the trie from the training
-tokens, two levels of monotone sequences in Elias-Fano form (words with exact counts, and the words before them with
-quantised probabilities), maps it into memory and answers all tokens of that part. Sums travel back to the documents. The
-driver holds totals and the hot words, fewer than 1 / HOT; the part of each word is as many as the session's partitions.
+The probability of a text is the mean of two models': one of word pairs, one of word triples, both smoothed toward exact
+unigrams with a Dirichlet weight. Every training word has its own unigram probability, an unknown word that of one more
+token; text starts are contexts like others. In both models a token's probability is a share of its word (its count in
+the context, and its own) over a share of the words before (the context's count), and the context's count is the count of
+the token before in its own, shorter context. All are known where all tokens of a word meet, so tokens are dealt by word,
+each with the two before: a part builds its part of the trie from the training tokens (words with exact counts, words
+before them, and words before those, as monotone sequences in Elias-Fano form with quantised probabilities), maps it into
+memory and answers all tokens of that part. Sums travel back to the documents. The driver holds totals and the hot words,
+fewer than 1 / HOT; the part of each word is as many as the session's partitions, and no score depends on them.
 """
 
 from __future__ import annotations
@@ -21,8 +23,8 @@ from pyspark.sql import functions as F
 from .common import hash_words, mix64, shuffle_width, split_words, stash, text_chunks
 from .near_duplicates import _join, _part, _small
 
-#: Weight of the unigram model, in tokens, in every context.
-MU = 300.0
+#: Weight of the unigram model, in tokens, in every context of one word, and of two.
+MU, MU_PAIR = 300.0, 2.0
 #: A word with more than this share of all tokens is dealt by itself and the word before.
 HOT = 1 / 2000
 #: Tokens that a worker packs at once.
@@ -32,20 +34,54 @@ END = np.uint64(0xD1B54A32D192ED03)
 #: Log10 probabilities are kept in 65535 steps down to this.
 LOWEST = -14.0
 _K = np.uint64(0x9E3779B97F4A7C15)
-#: Words before a word are known by 40 bits.
-_SHORT = np.uint64(24)
+_LN = np.log(10.0)
+#: Words before a word are known by 40 bits, and those before a known pair by 24.
+_SHORT, _SHORTER = np.uint64(24), np.uint64(40)
 #: Stands before the first word of a text; fixed like END.
 START = np.uint64(0x8CB92BA72F3D8DD7)
 
 
+_BLOCK = 64
+_ONES = np.array([bin(x).count("1") for x in range(256)], np.uint8)
+#: Place of the k-th zero bit of each byte; 8 where there are not as many.
+_ZERO = np.array([([i for i in range(8) if not x >> i & 1] + [8] * 8)[:8] for x in range(256)], np.uint8)
+
+
 class EliasFano:
     """A non-decreasing sequence of 64-bit numbers: whole low bytes side by side, high parts as a unary bit vector."""
 
     def __init__(self, n: int, low_bytes: int, low: np.ndarray, high: np.ndarray):
         self.n, self.low_bytes, self.low, self.high = n, low_bytes, low, high
-        # numbers before each high part: place of its zero less the zeros before it
-        zeros = np.flatnonzero(np.unpackbits(np.asarray(high), bitorder="little") == 0)
-        self.before = np.concatenate(([0], zeros - np.arange(len(zeros))))
+        # zeros before each block of 64 bytes: the bits themselves stay packed
+        zeros = 8 - _ONES[np.asarray(high)].astype(np.int64)
+        self.zeros = np.concatenate(([0], np.cumsum(np.add.reduceat(zeros, np.arange(0, len(high), _BLOCK))))) if len(high) else np.zeros(1, np.int64)
+
+    def _before(self, part: np.ndarray) -> np.ndarray:
+        """Numbers with a smaller high part than each ``part``: the place of its zero less the zeros before it."""
+        out = np.zeros(len(part), np.int64)
+        some = np.flatnonzero(part > 0)
+        if not len(some):
+            return out
+        asked, at = np.unique(part[some], return_inverse=True)
+        out[some] = (self._select(asked - 1) - asked + 1)[at]
+        return out
+
+    def _select(self, k: np.ndarray) -> np.ndarray:
+        """Place of the k-th zero (from 0); past the last, the number of bits."""
+        block = np.searchsorted(self.zeros, k, side="right") - 1
+        place = np.full(len(k), 8 * len(self.high), np.int64)
+        inside = np.flatnonzero(k < self.zeros[-1])
+        for s in range(0, len(inside), 1 << 14):
+            some = inside[s : s + (1 << 14)]
+            at = block[some, None] * _BLOCK + np.arange(_BLOCK)
+            chunk = np.where(at < len(self.high), np.asarray(self.high)[np.minimum(at, len(self.high) - 1)], 255).astype(np.uint8)
+            upto = np.cumsum(8 - _ONES[chunk].astype(np.int64), axis=1)
+            left = k[some] - self.zeros[block[some]]
+            byte = (upto <= left[:, None]).sum(axis=1)
+            rows = np.arange(len(some))
+            left = left - np.where(byte > 0, upto[rows, np.maximum(byte - 1, 0)], 0)
+            place[some] = (block[some] * _BLOCK + byte) * 8 + _ZERO[chunk[rows, byte], left]
+        return place
 
     @staticmethod
     def pack(values: np.ndarray) -> tuple[int, int, np.ndarray, np.ndarray]:
@@ -67,17 +103,13 @@ class EliasFano:
             out |= self.low[i * self.low_bytes + k].astype(np.uint64) << np.uint64(8 * k)
         return out
 
-    def values(self, i: np.ndarray) -> np.ndarray:
-        high = np.searchsorted(self.before[1:], i, side="right")
-        return high.astype(np.uint64) << np.uint64(8 * self.low_bytes) | self.low_part(i)
-
     def find(self, x: np.ndarray) -> np.ndarray:
         """Place of the first number that is at least x, for each x: within its high part by binary search over low parts."""
         shift = np.uint64(8 * self.low_bytes)
         high = (x >> shift).astype(np.int64)
-        past = high >= len(self.before) - 1
-        high = np.minimum(high, len(self.before) - 2)
-        a, b = self.before[high], self.before[high + 1]
+        past = high >= self.zeros[-1]
+        high = np.minimum(high, max(0, int(self.zeros[-1]) - 1))
+        a, b = self._before(high), self._before(high + 1)
         low = x & ((np.uint64(1) << shift) - np.uint64(1))
         while (open_ := a < b).any():
             middle = (a + b) >> 1
@@ -86,6 +118,17 @@ class EliasFano:
             a, b = np.where(open_ & less, middle + 1, a), np.where(open_ & ~less, middle, b)
         return np.where(past, self.n, a)
 
+    def locate(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(place, whether x stands there) for each x."""
+        place = self.find(x)
+        held = place < self.n
+        some = np.flatnonzero(held)
+        shift = np.uint64(8 * self.low_bytes)
+        # the high part is that of x if the place lies before the next high part's numbers
+        high = (x[some] >> shift).astype(np.int64)
+        held[some] = (place[some] < self._before(high + 1)) & (self.low_part(place[some]) == x[some] & ((np.uint64(1) << shift) - np.uint64(1)))
+        return place, held
+
 
 def quantise(log10: np.ndarray) -> np.ndarray:
     """Codes of log10 probabilities; rounded down, so that sums of probabilities don't grow."""
@@ -97,60 +140,70 @@ def restore(codes: np.ndarray) -> np.ndarray:
 
 
 class Trie:
-    """Two levels: words (hash, training count) and, for each, the words before it with quantised probabilities."""
+    """Three levels: words (hash, training count), the words before each, and the words before those pairs.
+
+    A pair holds its count and its probability with the context of one word; a triple its probability with that of two.
+    """
 
     def __init__(self, data: bytes):
-        head, low_w, high_w, low_p, high_p, low_b, high_b, self.counts, self.codes = _part(data)
-        n_w, b_w, n_p, b_p, n_b, b_b = head.tolist()
-        self.words, self.pointers, self.befores = EliasFano(n_w, b_w, low_w, high_w), EliasFano(n_p, b_p, low_p, high_p), EliasFano(n_b, b_b, low_b, high_b)
+        head, *rest = _part(data)
+        self.counts, self.pair_counts, self.pair_codes, self.triple_codes = rest[6:]
+        levels = [EliasFano(int(head[2 * k]), int(head[2 * k + 1]), rest[2 * k], rest[2 * k + 1]) for k in range(3)]
+        self.words, self.pairs, self.triples = levels
 
     @staticmethod
-    def build(word: np.ndarray, before: np.ndarray, known: Unigrams, mu: float) -> bytes:
-        """From training tokens (word hash, 40 bits of the word before). ``known`` has counts of words dealt to many parts."""
-        order = np.lexsort((before, word))
-        word, before = word[order], before[order]
-        new_word = np.ones(len(word), bool)
-        new_word[1:] = word[1:] != word[:-1]
-        of, words = np.cumsum(new_word) - 1, word[new_word]
-        total = known.fix_hot(words, np.bincount(of, minlength=len(words)))
-        pair = before != START >> _SHORT
-        of, before = of[pair], before[pair]
-        new = np.ones(len(of), bool)
-        new[1:] = (of[1:] != of[:-1]) | (before[1:] != before[:-1])
-        starts = np.flatnonzero(new)
-        times = np.diff(np.append(starts, len(of)))
-        of, before = of[starts], before[starts]
-        # the share of the word before is left open; over all tokens this is at most 1
-        logs = np.log10((times + mu * total[of] / (known.n + 1)) / (known.n + mu))
-        pointers = np.append(np.searchsorted(of, np.arange(len(words))), len(starts)).astype(np.uint64)
-        packed = [EliasFano.pack(x) for x in (words, pointers, (of.astype(np.uint64) << np.uint64(40)) | before)]
+    def build(word: np.ndarray, before: np.ndarray, first: np.ndarray, known: Unigrams, mu: float, mu_pair: float) -> bytes:
+        """From training tokens (word hash, 40 bits of the word before, 24 of the one before that)."""
+        order = np.lexsort((first, before, word))
+        word, before, first = word[order], before[order], first[order]
+
+        def starts(*keys) -> np.ndarray:
+            new = np.ones(len(word), bool)
+            new[1:] = np.logical_or.reduce([k[1:] != k[:-1] for k in keys])
+            return np.flatnonzero(new)
+
+        at_word, at_pair, at_triple = starts(word), starts(word, before), starts(word, before, first)
+        times = lambda at: np.diff(np.append(at, len(word)))
+        words = word[at_word]
+        total = known.fix_hot(words, times(at_word))
+        of_pair = np.searchsorted(at_word, at_pair, side="right") - 1
+        of_triple = np.searchsorted(at_pair, at_triple, side="right") - 1
+        single = total / (known.n + 1)
+        # the share of the context is left open; over all tokens these are at most 1
+        pairs = np.log10((times(at_pair) + mu * single[of_pair]) / (known.n + mu))
+        triples = np.log10((times(at_triple) + mu_pair * single[of_pair[of_triple]]) / (known.n + mu_pair))
+        levels = (words, (of_pair.astype(np.uint64) << np.uint64(40)) | before[at_pair], (of_triple.astype(np.uint64) << np.uint64(24)) | first[at_triple])
+        packed = [EliasFano.pack(x) for x in levels]
         head = np.array([x for p in packed for x in p[:2]], np.int64)
-        return _join(head, *(a for p in packed for a in p[2:]), total.astype(np.int64), quantise(logs))
+        return _join(head, *(a for p in packed for a in p[2:]), total.astype(np.int64), _small(times(at_pair)), quantise(pairs), quantise(triples))
 
-    def lookup(self, word: np.ndarray, before: np.ndarray, known: Unigrams, mu: float) -> tuple[np.ndarray, np.ndarray]:
-        """(log10 share of each token, training count of its word).
+    def lookup(self, word: np.ndarray, before: np.ndarray, first: np.ndarray, known: Unigrams, mu: float, mu_pair: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(log10 share of each token after one word, after two, training count of its word).
 
-        The share is the token's after the word before, times the back-off that its own word gives to the next token: over
-        a text they multiply to its probability.
+        The share is the token's in its context, times the back-off that the token gives to the next one as its context:
+        over a text they multiply to its probability.
         """
-        place = self.words.find(word)
-        some = np.flatnonzero(place < self.words.n)
-        held = np.zeros(len(word), bool)
-        held[some] = self.words.values(place[some]) == word[some]
+        place, held = self.words.locate(word)
         count = np.zeros(len(word), np.int64)
         count[held] = self.counts[place[held]]
         # a hot word may have no training token in this part
         count = known.fix_hot(word, count)
-        out = np.log10(np.maximum(count, 1) / (known.n + 1))
+        single = np.log10(np.maximum(count, 1) / (known.n + 1))
+        after_one, after_two = single + np.log10(mu), single + np.log10(mu_pair)
+        pair_count = np.zeros(len(word), np.int64)
         at = np.flatnonzero(held)
-        of = place[at]
-        target = (of.astype(np.uint64) << np.uint64(40)) | before[at]
-        found = self.befores.find(target)
-        inside = np.flatnonzero(found < self.pointers.values(of + 1).astype(np.int64))
-        hit = np.zeros(len(at), bool)
-        hit[inside] = self.befores.values(found[inside]) == target[inside]
-        out[at[hit]] = restore(self.codes[found[hit]]) + np.log10((known.n + mu) / mu)
-        return out + np.where(word == END, 0.0, np.log10(mu / (count + mu))), count
+        pair, hit = self.pairs.locate((place[at].astype(np.uint64) << np.uint64(40)) | before[at])
+        at, pair = at[hit], pair[hit]
+        after_one[at] = restore(self.pair_codes[pair]) + np.log10(known.n + mu)
+        pair_count[at] = self.pair_counts[pair]
+        triple, hit = self.triples.locate((pair.astype(np.uint64) << np.uint64(24)) | first[at])
+        after_two[at[hit]] = restore(self.triple_codes[triple[hit]]) + np.log10(known.n + mu_pair)
+        inner = word != END
+        opens = before == START >> _SHORT
+        texts = known.texts()
+        after_one -= np.where(inner, np.log10(count + mu), 0.0) + np.where(opens, np.log10(texts + mu), 0.0)
+        after_two -= np.where(inner, np.log10(pair_count + mu_pair), 0.0) + np.where(opens, np.log10(texts + mu_pair), 0.0)
+        return after_one, after_two, count
 
 
 def mapped(data: bytes) -> np.memmap:
@@ -180,6 +233,11 @@ class Unigrams:
         at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
         return at, self.hashes[at] == hashes
 
+    def texts(self) -> int:
+        """Number of training texts: each has one end."""
+        at, hot = self._find(np.array([END]))
+        return int(self.counts[at[0]]) if hot[0] else 0
+
     def is_hot(self, hashes: np.ndarray) -> np.ndarray:
         return self._find(hashes)[1]
 
@@ -241,12 +299,12 @@ def count_unigrams(training: DataFrame) -> Unigrams:
     return Unigrams(np.array([r["hashes"] for r in hot], np.int64).view(np.uint64), np.array([r["counts"] for r in hot], np.int64), total["n"], total["v"])
 
 
-def score(docs: DataFrame, training: Column, mu: float = MU) -> DataFrame:
+def score(docs: DataFrame, training: Column, mu: float = MU, mu_pair: float = MU_PAIR) -> DataFrame:
     """Score every row of ``docs`` (doc_id, text) by a model of those where ``training`` holds (null: not).
 
     Columns: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score. Tokens are the words between ASCII
     white space with A-Z lower-cased, and one end. base_score is the add-one unigram log10 probability with exact counts;
-    score is the model's. A null, empty or blank text is its end alone. Without training texts all counts are 0.
+    score is the model's, equal for any number of partitions but for rounding. A null, empty or blank text is its end alone. Without training texts all counts are 0.
     Repeated rows each count and get a row each; other columns are ignored; an empty table gives none.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
@@ -260,21 +318,19 @@ def score(docs: DataFrame, training: Column, mu: float = MU) -> DataFrame:
         """Tokens packed for the parts of their words, and for each pack a row that keeps its documents."""
         from pyspark import TaskContext
 
-        first = TaskContext.get().partitionId() << 24
-        held: dict[str, list] = {"word": [], "before": [], "doc": [], "ids": [], "n": [], "training": []}
+        number = TaskContext.get().partitionId() << 24
+        held: dict[str, list] = {"word": [], "before": [], "first": [], "doc": [], "ids": [], "n": [], "training": []}
         ids = None
 
         def flush(batch: int):
-            word, before, doc = (np.concatenate(held[k]) for k in ("word", "before", "doc"))
+            word, before, first, doc = (np.concatenate(held[k]) for k in ("word", "before", "first", "doc"))
             flags = np.concatenate(held["training"])
             key = word.copy()
             hot = words.is_hot(word)
-            # text starts are no pairs: those of a hot word can go anywhere
-            salt = np.where(before[hot] == START, doc[hot].astype(np.uint64), before[hot])
-            key[hot] = mix64(word[hot] ^ (salt * _K))
+            key[hot] = mix64(word[hot] ^ (before[hot] * _K))
             part = _part_of(key, parts)
             order = np.lexsort((before, word, part))
-            word, before, doc, part = word[order], before[order] >> _SHORT, doc[order], part[order]
+            word, before, first, doc, part = word[order], before[order] >> _SHORT, first[order] >> _SHORTER, doc[order], part[order]
             home = batch % parts
             doc_ids = [x for a in held["ids"] for x in a.to_pylist()]
             out = [(home, doc_ids, _join(np.concatenate(held["n"]), flags))]
@@ -283,12 +339,12 @@ def score(docs: DataFrame, training: Column, mu: float = MU) -> DataFrame:
                 if b > a:
                     starts = np.flatnonzero(np.concatenate(([True], word[a + 1 : b] != word[a : b - 1])))
                     table, local = np.unique(before[a:b], return_inverse=True)
-                    out.append((p, None, _join(word[a:b][starts], _small(np.diff(np.append(starts, b - a))), (table >> np.uint64(32)).astype(np.uint8), table.astype(np.uint32), _small(local), _small(doc[a:b]), np.packbits(flags))))
+                    out.append((p, None, _join(word[a:b][starts], _small(np.diff(np.append(starts, b - a))), (table >> np.uint64(32)).astype(np.uint8), table.astype(np.uint32), _small(local), (first[a:b] >> np.uint64(16)).astype(np.uint8), first[a:b].astype(np.uint16), _small(doc[a:b]), np.packbits(flags))))
             for x in held.values():
                 x.clear()
             return pa.RecordBatch.from_arrays([pa.array([p for p, _, _ in out], pa.int32()), pa.array([batch] * len(out), pa.int64()), pa.array([i for _, i, _ in out], pa.list_(ids)), pa.array([d for _, _, d in out], pa.binary())], names)
 
-        batch, pending, docs_held = first, 0, 0
+        batch, pending, docs_held = number, 0, 0
         for chunk in text_chunks(batches):
             ids = chunk.column(0).type
             counts, tokens = split_words(chunk.column(1))
@@ -296,9 +352,13 @@ def score(docs: DataFrame, training: Column, mu: float = MU) -> DataFrame:
             ends = np.cumsum(counts)
             word = np.insert(hashed, ends, END)
             before = np.concatenate(([START], word[:-1]))
-            before[ends - counts + np.arange(len(counts))] = START
+            begins = ends - counts + np.arange(len(counts))
+            before[begins] = START
+            first = np.concatenate(([START], before[:-1]))
+            first[begins] = START
             held["word"].append(word)
             held["before"].append(before)
+            held["first"].append(first)
             held["doc"].append(np.repeat(np.arange(len(counts)), counts + 1) + docs_held)
             held["ids"].append(chunk.column(0))
             held["n"].append(counts + 1)
@@ -325,24 +385,23 @@ def score(docs: DataFrame, training: Column, mu: float = MU) -> DataFrame:
 
         def tokens(x):
             table = (x[2].astype(np.uint64) << np.uint64(32)) | x[3]
-            return np.repeat(x[0], x[1].astype(np.int64)), table[x[4]], x[5].astype(np.int64)
+            return np.repeat(x[0], x[1].astype(np.int64)), table[x[4]], (x[5].astype(np.uint64) << np.uint64(16)) | x[6], x[7].astype(np.int64)
 
-        word, before = [], []
+        held: list[list] = [[], [], []]
         for _, x in packs:
-            w, b, d = tokens(x)
-            own = np.unpackbits(x[6])[d] > 0
-            word.append(w[own])
-            before.append(b[own])
-        trie = Trie(mapped(Trie.build(np.concatenate(word), np.concatenate(before), words, mu)))
-        word.clear()
-        before.clear()
+            *keys, d = tokens(x)
+            own = np.unpackbits(x[8])[d] > 0
+            for k, column in zip(keys, held):
+                column.append(k[own])
+        trie = Trie(mapped(Trie.build(*map(np.concatenate, held), words, mu, mu_pair)))
+        held.clear()
         for s in range(0, len(packs), 8):
             out = []
             for n, x in packs[s : s + 8]:
-                w, b, d = tokens(x)
-                logs, count = trie.lookup(w, b, words, mu)
+                w, b, f, d = tokens(x)
+                one, two, count = trie.lookup(w, b, f, words, mu, mu_pair)
                 who, at = np.unique(d, return_inverse=True)
-                out.append((n, _join(_small(who), np.bincount(at, logs), np.bincount(at, np.log10(count + 1.0)), _small(np.bincount(at, count > 0).astype(np.int64)))))
+                out.append((n, _join(_small(who), np.bincount(at, one), np.bincount(at, two), np.bincount(at, np.log10(count + 1.0)), _small(np.bincount(at, count > 0).astype(np.int64)))))
             yield pa.RecordBatch.from_arrays([pa.array([n % parts for n, _ in out], pa.int32()), pa.array([n for n, _ in out], pa.int64()), pa.array([None] * len(out), ids), pa.array([d for _, d in out], pa.binary())], names)
 
     def collect(batches):
@@ -354,27 +413,27 @@ def score(docs: DataFrame, training: Column, mu: float = MU) -> DataFrame:
                 if doc_ids is not None:
                     kept[n] = (doc_ids, *_part(data))
                 else:
-                    who, logs, base, known = _part(data)
+                    who, *found = _part(data)
                     size = int(who.max()) + 1
-                    own = sums.setdefault(n, np.zeros((3, 0)))
+                    own = sums.setdefault(n, np.zeros((4, 0)))
                     if own.shape[1] < size:
                         own = sums[n] = np.pad(own, ((0, 0), (0, size - own.shape[1])))
-                    own[0, who] += logs
-                    own[1, who] += base
-                    own[2, who] += known
+                    for k, values in enumerate(found):
+                        own[k, who] += values
         space = np.log10(words.n + words.v + 1.0)
         for n, (doc_ids, size, flags) in kept.items():
-            own = sums.get(n, np.zeros((3, 0)))
+            own = sums.get(n, np.zeros((4, 0)))
             own = np.pad(own, ((0, 0), (0, len(doc_ids) - own.shape[1])))
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(doc_ids, ids),
                     pa.array(~flags),
                     pa.array(size.astype(np.int64)),
-                    pa.array(own[2].astype(np.int64)),
+                    pa.array(np.rint(own[3]).astype(np.int64)),
                     pa.array(np.full(len(doc_ids), words.n, np.int64)),
-                    pa.array(own[1] - size * space),
-                    pa.array(own[0]),
+                    pa.array(own[2] - size * space),
+                    # the mean of the probabilities, by their logarithms
+                    pa.array(np.logaddexp(own[0] * _LN, own[1] * _LN) / _LN - np.log10(2.0)),
                 ],
                 ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
             )

@@ -258,15 +258,44 @@ def test_every_word_has_its_own_probability(spark):
     rows += [(9000, "w0 w1 w199999 unseen w150000"), (9001, " ".join(names[k] for k in said[1000:1020])), (9002, "w199999 w2"), (9003, None)]
     table = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
     got = {r.doc_id: r for r in scoring.score(table, table.doc_id < 9000).filter("doc_id >= 9000 OR doc_id = 7").collect()}
+    check_scores(rows, got, lambda i: i < 9000)
+
+
+def check_scores(rows, got, training):
+    """Against a plain version of the mean of a pair and a triple model."""
     tokens = {i: [*(t or "").split(), None] for i, t in rows}
-    one = Counter(w for i, t in tokens.items() if i < 9000 for w in t)
-    two = Counter(p for i, t in tokens.items() if i < 9000 for p in zip(t, t[1:]))
-    n = sum(one.values())
-    single = lambda w: max(one[w], 1) / (n + 1)
+    grams = [Counter(), Counter(), Counter(), Counter(), Counter()]  # words; pairs, triples; contexts of both
+    for i, t in tokens.items():
+        if training(i):
+            t = ["<s>", "<s>", *t]
+            grams[0].update(t[2:])
+            grams[1].update(zip(t[1:], t[2:]))
+            grams[2].update(zip(t, t[1:], t[2:]))
+            grams[3].update(t[1:-1])
+            grams[4].update(zip(t[:-2], t[1:-1]))
+    n = sum(grams[0].values())
+    single = lambda w: max(grams[0][w], 1) / (n + 1)
     for i, r in got.items():
-        t = tokens[i]
-        want = np.log10(single(t[0])) + sum(np.log10((two[p] + scoring.MU * single(p[1])) / (one[p[0]] + scoring.MU)) for p in zip(t, t[1:]))
-        assert r.score == pytest.approx(want, abs=3e-4 * len(t))
+        t = ["<s>", "<s>", *tokens[i]]
+        one = sum(np.log10((grams[1][v, w] + scoring.MU * single(w)) / (grams[3][v] + scoring.MU)) for v, w in zip(t[1:], t[2:]))
+        two = sum(np.log10((grams[2][u, v, w] + scoring.MU_PAIR * single(w)) / (grams[4][u, v] + scoring.MU_PAIR)) for u, v, w in zip(t, t[1:], t[2:]))
+        want = max(one, two) + np.log10((1 + 10 ** (min(one, two) - max(one, two))) / 2)
+        assert r.score == pytest.approx(want, abs=4e-4 * len(t))
+
+
+def test_scores_equal_a_plain_model_for_any_number_of_partitions(spark):
+    rng = np.random.default_rng(8)
+    words_ = [f"w{int(k)}" for k in rng.zipf(1.3, 8000) % 300]
+    rows = [(i, " ".join(words_[k : k + int(rng.integers(1, 40))])) for i, k in enumerate(range(0, 7900, 20))]
+    rows += [(900, None), (901, ""), (902, rows[5][1]), (903, "w0 " * 500), (904, "never said")]
+    got = []
+    for parts in (3, 7):
+        spark.conf.set("spark.sql.shuffle.partitions", str(parts))
+        table = spark.createDataFrame(rows, "doc_id long, text string").repartition(parts)
+        got.append({r.doc_id: r for r in scoring.score(table, table.doc_id % 7 != 2).collect()})
+    spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert got[0].keys() == got[1].keys() and all(got[0][i].score == pytest.approx(got[1][i].score, rel=1e-9) for i in got[0])
+    check_scores(rows, got[0], lambda i: i % 7 != 2)
 
 
 def test_elias_fano():
@@ -274,6 +303,8 @@ def test_elias_fano():
     for top in (50, 2**40, 2**63):
         values = np.sort(rng.integers(0, top, 3000, dtype=np.uint64))
         held = scoring.EliasFano(*scoring.EliasFano.pack(values))
-        assert (held.values(np.arange(3000)) == values).all()
+        place, found = held.locate(values)
+        assert found.all() and (values[place] == values).all()
         asked = np.concatenate((values, values + np.uint64(1), rng.integers(0, top, 500, dtype=np.uint64)))
         assert (held.find(asked) == np.searchsorted(values, asked)).all()
+        assert (held.locate(asked)[1] == np.isin(asked, values)).all()
