@@ -63,6 +63,10 @@ def shingles(texts: pa.Array, words: int = WORDS) -> tuple[np.ndarray, np.ndarra
     return doc[new], value[new]
 
 
+#: Shingles of the smallest set that can be similar to another one: smaller sets only equal each other, and travel no further.
+LEAST = next(n for n in range(1, BELOW + 1) if BELOW * n >= ABOVE * (n + 1))
+
+
 def need(n):
     """Least intersection that a set of n shingles has with any partner."""
     return -(-ABOVE * n // BELOW)
@@ -128,16 +132,19 @@ _EXCHANGE = "part int, payload binary, doc_id {kind}, n long, key long"
 
 
 def _deal(docs: DataFrame, parts: int) -> DataFrame:
-    """Rows of two kinds: a document (doc_id, n, key of its set; no payload), and packed shingles for a part."""
+    """Rows of three kinds: a document (doc_id, n, key of its set; no payload), packed shingles for a part, and, marked by
+    an n of -1, packed sizes of sets for the part of their key. Documents are dealt evenly, whatever their set."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches):
         import xxhash
+        from pyspark import TaskContext
 
         seen: set[int] = set()
         tokens: list[np.ndarray] = []
         sets: list[np.ndarray] = []
         keys: list[int] = []
+        sizes: list[int] = []
         ids = None
 
         def flush():
@@ -150,13 +157,17 @@ def _deal(docs: DataFrame, parts: int) -> DataFrame:
             # the parts cut the range of hashes evenly
             part = ((token >> np.uint64(16)) * np.uint64(parts)) >> np.uint64(64 - 16 - int(KEPT))
             cuts = np.searchsorted(part, np.arange(parts + 1))
-            rows = [(p, _pack_tokens(token[a:b], own[a:b], table)) for p, (a, b) in enumerate(zip(cuts.tolist(), cuts[1:].tolist())) if b > a]
-            for held in (tokens, sets, keys):
+            rows = [(p, _pack_tokens(token[a:b], own[a:b], table), None) for p, (a, b) in enumerate(zip(cuts.tolist(), cuts[1:].tolist())) if b > a]
+            home, many = table % np.uint64(parts), np.array(sizes, np.int64)
+            order = np.argsort(home, kind="stable")
+            cuts = np.searchsorted(home[order], np.arange(parts + 1))
+            rows += [(p, _squeeze(table[order[a:b]], _small(many[order[a:b]])), -1) for p, (a, b) in enumerate(zip(cuts.tolist(), cuts[1:].tolist())) if b > a]
+            for held in (tokens, sets, keys, sizes):
                 held.clear()
             none = [None] * len(rows)
-            return pa.RecordBatch.from_arrays([pa.array([p for p, _ in rows], pa.int32()), pa.array([d for _, d in rows], pa.binary()), pa.array(none, ids), pa.array(none, pa.int64()), pa.array(none, pa.int64())], names)
+            return pa.RecordBatch.from_arrays([pa.array([p for p, _, _ in rows], pa.int32()), pa.array([d for _, d, _ in rows], pa.binary()), pa.array(none, ids), pa.array([m for _, _, m in rows], pa.int64()), pa.array(none, pa.int64())], names)
 
-        names, pending = ["part", "payload", "doc_id", "n", "key"], 0
+        names, pending, dealt = ["part", "payload", "doc_id", "n", "key"], 0, TaskContext.get().partitionId()
         for chunk in text_chunks(batches):
             ids = chunk.column(0).type
             doc, value = shingles(chunk.column(1))
@@ -169,14 +180,16 @@ def _deal(docs: DataFrame, parts: int) -> DataFrame:
                     continue
                 mark = xxhash.xxh3_64_intdigest(value[end - size : end].tobytes())
                 marks.append(mark)
-                if mark not in seen:
+                if size >= LEAST and mark not in seen:
                     seen.add(mark)
+                    sizes.append(size)
                     tokens.append(value[end - size : end] >> KEPT)
                     sets.append(np.full(size, len(keys), np.int64))
                     keys.append(mark)
                     pending += size
             signed = [None if m is None else m - (1 << 64) if m >> 63 else m for m in marks]
-            home = [i % parts if m is None else m % parts for i, m in enumerate(marks)]
+            home = [(dealt + i) % parts for i in range(len(marks))]
+            dealt += len(marks)
             yield pa.RecordBatch.from_arrays([pa.array(home, pa.int32()), pa.array([None] * len(home), pa.binary()), chunk.column(0), pa.array(n.astype(np.int64)), pa.array(signed, pa.int64())], names)
             if pending >= PACKED:
                 yield flush()
@@ -188,11 +201,12 @@ def _deal(docs: DataFrame, parts: int) -> DataFrame:
 
 
 def _split_rows(batches, names: list[str]):
-    """Pass document rows on at once; gather payloads. Returns (batches to pass on, payloads) as it goes."""
+    """(documents and sizes to pass on, packed shingles, packed sizes) of each batch."""
     for batch in batches:
-        payload = batch.column(1)
-        documents = payload.is_null()
-        yield pa.RecordBatch.from_arrays([c.filter(documents) for c in batch.columns], names), [p for p in payload.to_pylist() if p is not None]
+        payload, marks = batch.column(1).to_pylist(), batch.column(3).to_pylist()
+        on = pa.array([p is None or m == -1 for p, m in zip(payload, marks)], pa.bool_())
+        rest = pa.RecordBatch.from_arrays([c.filter(on) for c in batch.columns], names)
+        yield rest, [p for p, m in zip(payload, marks) if p is not None and m != -1], [p for p, m in zip(payload, marks) if p is not None and m == -1]
 
 
 def _frequencies(dealt: DataFrame, parts: int, kind: str) -> DataFrame:
@@ -202,11 +216,11 @@ def _frequencies(dealt: DataFrame, parts: int, kind: str) -> DataFrame:
         from pyspark import TaskContext
 
         names, held, here = ["part", "payload", "doc_id", "n", "key"], [], TaskContext.get().partitionId()
-        for documents, payloads in _split_rows(batches, names):
+        for rest, payloads, _ in _split_rows(batches, names):
             held += payloads
-            ids = documents.column(2).type
-            if documents.num_rows:
-                yield documents
+            ids = rest.column(2).type
+            if rest.num_rows:
+                yield rest
         if not held:
             return
         token, key = [], []
@@ -255,22 +269,22 @@ def _survivors(counted: DataFrame, parts: int, kind: str) -> DataFrame:
 
     def run(batches):
         names, held, told = ["doc_id", "n", "key", "tokens", "prefix"], [], []
-        for documents, payloads in _split_rows(batches, ["part", "payload", "doc_id", "n", "key"]):
+        for rest, payloads, sizes in _split_rows(batches, ["part", "payload", "doc_id", "n", "key"]):
             held += payloads
+            told += [_spread(s) for s in sizes]
+            documents = rest.filter(rest.column(1).is_null())
             ids = documents.column(2).type
             if documents.num_rows:
                 none = [None] * documents.num_rows
-                known = documents.column(4).is_valid()
-                told.append((documents.column(4).filter(known).to_numpy().astype(np.uint64), documents.column(3).filter(known).to_numpy()))
                 yield pa.RecordBatch.from_arrays([documents.column(2), documents.column(3), documents.column(4), pa.array(none, pa.binary()), pa.array(none, pa.list_(pa.int64()))], names)
         if not held:
             return
         pieces = [_spread(d) for d in held]
         held.clear()
         keys, at = np.unique(np.concatenate([p[1] for p in pieces]), return_inverse=True)
-        # all documents of a set are in its part, and know its size
+        # the sizes of all sets of this part are told; those without shared shingles are not asked for
         n = np.zeros(len(keys), np.int64)
-        named, sizes = np.concatenate([k for k, _ in told]), np.concatenate([x for _, x in told])
+        named, sizes = np.concatenate([k for k, _ in told]), np.concatenate([x for _, x in told]).astype(np.int64)
         place = np.minimum(np.searchsorted(keys, named), len(keys) - 1)
         held_here = keys[place] == named
         n[place[held_here]] = sizes[held_here]
@@ -316,33 +330,28 @@ class Trie:
         self.order, self.sizes = np.array(order, np.int64), sizes[order]
         ordered = [sets[i] for i in order]
         lengths = np.array([len(s) for s in ordered], np.int64)
-        depth = int(lengths.max(initial=0))
-        table = np.full((len(sets), depth + 1), -1, np.int64)
-        for i, s in enumerate(ordered):
-            table[i, : len(s)] = s
-        # a node of level d: rows that agree in d + 1 tokens; changed[i]: row i begins a new node there
+        flat = np.concatenate([*ordered, np.zeros(0, np.int64)])
+        begins = np.cumsum(lengths) - lengths
+        # tokens that a row has in common with the row before it
+        common = np.full(len(sets), -1, np.int64)
+        for i in range(1, len(ordered)):
+            n = min(len(ordered[i]), len(ordered[i - 1]))
+            apart = np.flatnonzero(ordered[i][:n] != ordered[i - 1][:n])
+            common[i] = apart[0] if len(apart) else n
+        # a node of level d: rows that agree in d + 1 tokens. Memory is one entry a node, whatever the longest set
         self.levels: list[tuple[np.ndarray, ...]] = []
-        changed = np.zeros(len(sets), bool)
-        changed[:1] = True
-        for d in range(depth):
-            changed = changed.copy()
-            changed[1:] |= table[1:, d] != table[:-1, d]
-            first = np.flatnonzero(changed)
-            live = table[first, d] >= 0
-            if not live.any():
-                break
-            last = np.append(first[1:], len(sets))
-            longest = np.maximum.reduceat(lengths, first)
-            smallest = np.minimum.reduceat(self.sizes, first)
+        for d in range(int(lengths.max(initial=0))):
+            starts = np.flatnonzero(common <= d)
+            live = lengths[starts] > d
+            first, last = starts[live], np.append(starts[1:], len(sets))[live]
+            longest = np.maximum.reduceat(lengths, starts)[live]
+            smallest = np.minimum.reduceat(self.sizes, starts)[live]
             # rows that end at a node stand first in it
-            ending = np.add.reduceat((lengths == d + 1).astype(np.int64), first)
-            self.levels.append(tuple(x[live] for x in (table[first, d], first, last, longest, smallest, ending)))
-
-    def probe(self, x: np.ndarray, size: int, width: int) -> np.ndarray:
-        """Numbers of the sets that are similar to the set ``x`` with ``size`` elements in all; ``width``: over every token."""
-        inside = np.zeros(width + 1, np.int64)
-        inside[x] = 1
-        upto = np.cumsum(inside)
+            ending = np.add.reduceat((lengths == d + 1).astype(np.int64), starts)[live]
+            self.levels.append((flat[begins[first] + d], first, last, longest, smallest, ending))
+
+    def probe(self, x: np.ndarray, size: int) -> np.ndarray:
+        """Numbers of the sets that are similar to the sorted set ``x`` with ``size`` elements in all."""
         found: list[int] = []
         begin = end = shared = None
         for d, (token, first, last, longest, smallest, ending) in enumerate(self.levels):
@@ -355,8 +364,9 @@ class Trie:
                 shared = np.repeat(shared, n)
             if not len(nodes):
                 break
-            shared = shared + inside[token[nodes]]
-            left = np.minimum(len(x) - upto[token[nodes]], longest[nodes] - d - 1)
+            own, upto = np.searchsorted(x, token[nodes]), np.searchsorted(x, token[nodes], side="right")
+            shared = shared + (upto > own)
+            left = np.minimum(len(x) - upto, longest[nodes] - d - 1)
             # intersection >= t / (1 + t) * (|x| + |y|)
             reach = (ABOVE + BELOW) * (shared + left) >= ABOVE * (size + smallest[nodes])
             nodes, shared = nodes[reach], shared[reach]
@@ -384,12 +394,12 @@ def links(keys: list[int], sizes: np.ndarray, sets: list[np.ndarray]) -> list[tu
     own, weight = _numbered(sets)
     heavy = int(np.argmax([weight[s].sum() / max(1, len(s)) * min(len(s), 1 << 20) for s in own]))
     trie = Trie(own, np.asarray(sizes, np.int64))
-    near = trie.probe(own[heavy], int(sizes[heavy]), len(weight))
+    near = trie.probe(own[heavy], int(sizes[heavy]))
     edges = [(keys[heavy], keys[j]) for j in near.tolist() if j != heavy]
     settled = set(near.tolist()) | {heavy}
     for i in range(len(own)):
         if i not in settled:
-            edges += [(keys[i], keys[j]) for j in trie.probe(own[i], int(sizes[i]), len(weight)).tolist() if j != i]
+            edges += [(keys[i], keys[j]) for j in trie.probe(own[i], int(sizes[i])).tolist() if j != i]
     return _forest(edges)
 
 
@@ -400,7 +410,7 @@ def links_between(keys: list[int], sizes: np.ndarray, sets: list[np.ndarray], as
     trie = Trie([own[j] for j in told], np.asarray(sizes, np.int64)[told])
     edges = []
     for i in np.flatnonzero(asks).tolist():
-        edges += [(keys[i], keys[told[j]]) for j in trie.probe(own[i], int(sizes[i]), len(weight)).tolist()]
+        edges += [(keys[i], keys[told[j]]) for j in trie.probe(own[i], int(sizes[i])).tolist()]
     return _forest(edges)
 
 
@@ -524,8 +534,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     Two documents link when 100 * intersection >= 80 * union of their sets of 5-word shingles; the component is the
     smallest doc_id that links lead to. Null, empty and blank texts have no shingles and stand alone. Equal sets are one
     set throughout, so a large group of copies costs one; rows that repeat a doc_id each get a row; a null doc_id never
-    names a component while it has company. Other columns are ignored; an empty table gives an empty result. Shingles
-    are known by 48 bits of their hash, sets by 64.
+    names a component while it has company. Other columns are ignored; an empty table gives an empty result. Sets
+    are known by 64 bits; shingles by 48 where sets of :data:`LEAST` or more meet, so that a false link takes several false
+    shingles at once.
     """
     spark = docs.sparkSession
     kind, parts = docs.schema["doc_id"].dataType.simpleString(), shuffle_width(spark)

@@ -122,6 +122,26 @@ def test_blocks_of_a_large_cluster_lose_no_link(spark, monkeypatch):
     assert sorted(map(tuple, got)) == sorted(brute(rows))
 
 
+def test_a_very_long_set_takes_no_more_than_its_tokens():
+    import tracemalloc
+
+    rng = np.random.default_rng(2)
+    sets = [np.sort(rng.choice(200_000, 30, replace=False)) for _ in range(2000)] + [np.arange(20_000)]
+    tracemalloc.start()
+    trie = near_duplicates.Trie(sets, np.array([len(s) for s in sets]))
+    assert tracemalloc.get_traced_memory()[1] < 100 << 20
+    tracemalloc.stop()
+    assert trie.probe(sets[5], 30).tolist() == [5] and trie.probe(sets[2000][:-1000], 19_000).tolist() == [2000]
+
+
+def test_short_and_null_rows_keep_their_class(spark):
+    rows = [(None, "a b"), (7, "a b"), (None, None), (8, "a b c d e f g"), (9, "a b c d e f g h"), (10, "a b c d e f g h i"), (11, "a b"), (11, "x"), (12, "A B")]
+    got = near_duplicates.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    # 4 shingles of 5 are similar enough, 3 of 4 are not
+    want = [(None, 1, 7), (7, 1, 7), (None, 0, None), (8, 3, 8), (9, 4, 9), (10, 5, 9), (11, 1, 7), (11, 1, 11), (12, 1, 7)]
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, want))
+
+
 def test_components(spark):
     edges = [(5, 4), (4, 3), (3, 9), (20, 21), (7, 7), (21, 22), (30, 22)]
     got = components.components(spark.createDataFrame(edges, "a long, b long")).collect()
