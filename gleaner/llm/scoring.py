@@ -62,8 +62,10 @@ class EliasFano:
         some = np.flatnonzero(part > 0)
         if not len(some):
             return out
-        asked, at = np.unique(part[some], return_inverse=True)
-        out[some] = (self._select(asked - 1) - asked + 1)[at]
+        # sorted questions ask for the same high part again and again
+        asked = part[some]
+        new = np.concatenate(([True], asked[1:] != asked[:-1]))
+        out[some] = (self._select(asked[new] - 1) - asked[new] + 1)[np.cumsum(new) - 1]
         return out
 
     def _select(self, k: np.ndarray) -> np.ndarray:
@@ -183,16 +185,26 @@ class Trie:
         The share is the token's in its context, times the back-off that the token gives to the next one as its context:
         over a text they multiply to its probability.
         """
-        place, held = self.words.locate(word)
-        count = np.zeros(len(word), np.int64)
+        if not len(word):
+            return np.zeros(0), np.zeros(0), np.zeros(0, np.int64)
+        # tokens come in order of their words and the words before: each word, and each pair, is sought once
+        new = np.concatenate(([True], word[1:] != word[:-1]))
+        place, held = self.words.locate(word[new])
+        count = np.zeros(len(place), np.int64)
         count[held] = self.counts[place[held]]
         # a hot word may have no training token in this part
-        count = known.fix_hot(word, count)
+        count = known.fix_hot(word[new], count)
+        of = np.cumsum(new) - 1
+        place, held, count = place[of], held[of], count[of]
         single = np.log10(np.maximum(count, 1) / (known.n + 1))
         after_one, after_two = single + np.log10(mu), single + np.log10(mu_pair)
         pair_count = np.zeros(len(word), np.int64)
         at = np.flatnonzero(held)
-        pair, hit = self.pairs.locate((place[at].astype(np.uint64) << np.uint64(40)) | before[at])
+        key = (place[at].astype(np.uint64) << np.uint64(40)) | before[at]
+        new = np.concatenate(([True], key[1:] != key[:-1])) if len(key) else np.zeros(0, bool)
+        pair, hit = self.pairs.locate(key[new])
+        of = np.cumsum(new) - 1
+        pair, hit = pair[of], hit[of]
         at, pair = at[hit], pair[hit]
         after_one[at] = restore(self.pair_codes[pair]) + np.log10(known.n + mu)
         pair_count[at] = self.pair_counts[pair]
