@@ -135,30 +135,42 @@ def _weight(groups: DataFrame, rate: Column) -> Column:
     return F.least(F.lit(WEIGHT[1]), F.greatest(F.lit(WEIGHT[0]), within / F.greatest(spread - sampling, F.lit(1e-9))))
 
 
-def classify(docs: DataFrame, model: Model | None, host: Column | None = None, path: Column | None = None, keep: float = KEEP) -> DataFrame:
+def classify(docs: DataFrame, model: Model | None, host: Column | None = None, path: Column | None = None, keep: float = KEEP, labels: DataFrame | None = None) -> DataFrame:
     """Posterior quality of every row of ``docs`` (doc_id, text and what ``host`` and ``path`` name).
 
     Columns: doc_id, doc_quality (text alone), host_rate, path_rate, quality, keep. By default the host is ``source``
-    and the path below it ``lang``. Null hosts or paths are groups of their own. Empty and null texts have zero
-    figures. Without a model all evidence is even, and everything is kept. Repeated rows count as often as they stand;
+    and the path below it ``lang``. A site's rate counts each of its documents by its label (``labels``: doc_id, quality)
+    where it has one, else by its evidence; a document's own part is left out of the rates that it is judged by. Null
+    hosts or paths are groups of their own. Empty and null texts have zero figures. Without a model all evidence is
+    even, and everything is kept. Repeated rows count as often as they stand; labels that disagree count by their mean;
     other columns are ignored; an empty table gives none.
     """
     host, path = F.col("source") if host is None else host, F.col("lang") if path is None else path
-    rows = stash(evidence(docs, model, host, path), "evidence")
+    rows = evidence(docs, model, host, path)
     p = 1 / (1 + F.exp(-F.col("logit")))
-    paths = stash(rows.groupBy("host", "path").agg(F.count(F.lit(1)).alias("n"), F.sum(p).alias("good"), F.sum(p * p).alias("square")), "sections")
+    if labels is not None:
+        told = labels.filter("quality IS NOT NULL AND doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("of")).agg(F.avg((F.col("quality") > 0).cast("double")).alias("told"))
+        # written: a join that reads an aggregate in place cannot split the rows of a hot id
+        rows = rows.join(stash(told, "quality-labels"), F.col("doc_id") == F.col("of"), "left").drop("of")
+    else:
+        rows = rows.withColumn("told", F.lit(None).cast("double"))
+    rows = stash(rows.withColumn("own", F.coalesce("told", p)).drop("told"), "evidence")
+    paths = stash(rows.groupBy("host", "path").agg(F.count(F.lit(1)).alias("n"), F.sum("own").alias("good"), F.sum(F.col("own") * F.col("own")).alias("square")), "sections")
     hosts = paths.groupBy("host").agg(F.sum("n").alias("n"), F.sum("good").alias("good"), F.sum("square").alias("square"))
     top = hosts.agg((F.sum("good") / F.sum("n")).alias("rate")).first()["rate"]
     top = 0.5 if top is None else min(max(top, 1e-6), 1 - 1e-6)
     host_weight = hosts.agg(_weight(hosts, F.lit(top)).alias("w")).first()["w"] or WEIGHT[0]
-    hosts = hosts.select(F.col("host").alias("of"), ((F.col("good") + host_weight * top) / (F.col("n") + host_weight)).alias("host_rate"))
-    sections = paths.join(hosts, F.col("host").eqNullSafe(F.col("of"))).drop("of")
-    path_weight = sections.agg(_weight(sections, F.col("host_rate")).alias("w")).first()["w"] or WEIGHT[0]
-    rate = (F.col("good") + path_weight * F.col("host_rate")) / (F.col("n") + path_weight)
-    sections = stash(sections.select(F.col("host").alias("in_host"), F.col("path").alias("in_path"), "host_rate", rate.alias("path_rate")), "site-rates")
+    hosts = hosts.select(F.col("host").alias("of"), F.col("n").alias("host_n"), F.col("good").alias("host_good"))
+    sections = stash(paths.join(hosts, F.col("host").eqNullSafe(F.col("of"))).drop("of"), "site-counts")
+    shrunk = lambda good, n, weight, toward: (good + weight * toward) / (n + weight)
+    whole = shrunk(F.col("host_good"), F.col("host_n"), host_weight, top)
+    path_weight = sections.agg(_weight(sections, whole).alias("w")).first()["w"] or WEIGHT[0]
+    sections = sections.select(F.col("host").alias("in_host"), F.col("path").alias("in_path"), "n", "good", "host_n", "host_good")
     known = rows.join(sections, F.col("host").eqNullSafe(F.col("in_host")) & F.col("path").eqNullSafe(F.col("in_path")), "left")
+    known = known.withColumn("host_rate", shrunk(F.col("host_good") - F.col("own"), F.col("host_n") - 1, host_weight, top))
+    known = known.withColumn("path_rate", shrunk(F.col("good") - F.col("own"), F.col("n") - 1, path_weight, F.col("host_rate")))
     odds = lambda c: F.log(F.greatest(c, F.lit(1e-6)) / F.greatest(1 - c, F.lit(1e-6)))
-    prior = F.coalesce(odds(F.col("path_rate")), F.lit(float(np.log(top / (1 - top))))) - F.lit(float(np.log(top / (1 - top))))
+    prior = odds(F.col("path_rate")) - F.lit(float(np.log(top / (1 - top))))
     known = known.withColumn("quality", 1 / (1 + F.exp(-(F.col("logit") + prior))))
     good = F.col("quality") >= keep if model else F.lit(True)
     return known.select("doc_id", p.alias("doc_quality"), "host_rate", "path_rate", "quality", good.alias("keep"))

@@ -61,7 +61,7 @@ def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
-    return quality.classify(docs, quality.train(docs, labels))
+    return quality.classify(docs, quality.train(docs, labels), labels=labels)
 
 
 def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -216,3 +216,39 @@ def test_extraction_of_whole_hosts(spark):
             gone, again = gone - len(kept), again - len(kept)
         assert (got[i].text, got[i].n_boilerplate, got[i].n_repeated) == ("\n".join(kept), gone, again)
     assert any(r.n_repeated for r in got.values()) and not all(r.n_boilerplate == 0 for r in got.values())
+
+
+def test_site_posteriors_equal_a_plain_version(spark, docs):
+    labels = docs.filter("doc_id % 3 <> 0").select("doc_id", "quality")
+    model = quality.train(docs, labels)
+    got = quality.classify(docs, model, labels=labels).collect()
+    rows = [(r.doc_id, r.text, r.source, r.lang) for r in docs.collect()]
+    alone = {(r.doc_id, round(r.doc_quality, 9)) for r in quality.classify(docs, model).collect()}
+    assert {(r.doc_id, round(r.doc_quality, 9)) for r in got} == alone
+    told = {r.doc_id: float(r.quality > 0) for r in labels.collect() if r.quality is not None}
+    site = {i: (s, g) for i, _, s, g in rows}
+    own = [(site[r.doc_id], told.get(r.doc_id, r.doc_quality), r) for r in got]
+
+    def groups(of):
+        held = {}
+        for key, value, _ in own:
+            held.setdefault(of(key), []).append(value)
+        return held
+
+    def weight(held, rate):
+        n = sum(map(len, held.values()))
+        within = sum(sum(v * v for v in x) - sum(x) ** 2 / len(x) for x in held.values()) / max(n - len(held), 1)
+        spread = sum(len(x) * (sum(x) / len(x) - rate(k)) ** 2 for k, x in held.items()) / n
+        return min(quality.WEIGHT[1], max(quality.WEIGHT[0], within / max(spread - within * len(held) / n, 1e-9)))
+
+    hosts, paths = groups(lambda k: k[0]), groups(lambda k: k)
+    top = sum(v for _, v, _ in own) / len(own)
+    a = weight(hosts, lambda k: top)
+    b = weight(paths, lambda k: (sum(hosts[k[0]]) + a * top) / (len(hosts[k[0]]) + a))
+    for key, value, r in own:
+        host = (sum(hosts[key[0]]) - value + a * top) / (len(hosts[key[0]]) - 1 + a)
+        path = (sum(paths[key]) - value + b * host) / (len(paths[key]) - 1 + b)
+        odds = np.log(r.doc_quality / (1 - r.doc_quality)) + np.log(path / (1 - path)) - np.log(top / (1 - top))
+        assert (r.host_rate, r.path_rate, r.quality) == pytest.approx((host, path, 1 / (1 + np.exp(-odds))), abs=1e-6)
+    assert quality.classify(docs.limit(0), model, labels=labels).count() == 0
+    assert quality.classify(docs, None, labels=labels.limit(0)).filter("keep").count() == len(rows)

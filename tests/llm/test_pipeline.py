@@ -25,3 +25,23 @@ def test_queries_can_be_listed():
     from gleaner.llm import queries
 
     assert {f"op{n}" for n in range(1, 11)} == {k.split("_")[0] for k in queries.QUERIES}
+
+
+def test_stages_on_awkward_rows(spark, tmp_path):
+    """Null and empty texts go, null ids stay where they may, repeated rows go or stay together; names of columns may clash."""
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    odd = [(None, "The quick words of this text are told to all the others of the house.", "en", "src1", 10), (910_001, None, None, None, 0), (910_002, "", "en", "src1", 0), (910_002, "", "en", "src1", 0)]
+    rows = docs.unionByName(docs.limit(3)).unionByName(spark.createDataFrame(odd, docs.schema)).withColumn("gone", docs["lang"]).withColumn("root", docs["doc_id"])
+    for name in ("labels", "benchmark"):
+        spark.read.parquet(f"{DATA}/{name}.parquet").write.parquet(f"{tmp_path}/{name}.parquet")
+    for name, stage in corpus_pipeline.STAGES:
+        before, empty = rows, rows.limit(0)
+        rows = corpus_pipeline.stash(stage(spark, rows, str(tmp_path)), name)
+        if name != "mix":
+            assert rows.columns == before.columns and rows.exceptAll(before).count() == 0
+            # what a stage drops is all rows of an id or, of near duplicates, all but one
+            assert name == "near_duplicates" or rows.join(before.exceptAll(rows), "doc_id").count() == 0
+        else:
+            assert rows.count() == before.count()
+        assert stage(spark, empty, str(tmp_path)).count() == 0
+    assert rows.filter("doc_id >= 910000").count() == 0 and rows.groupBy("doc_id").count().filter("count > 1").count() == 0
