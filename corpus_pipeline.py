@@ -14,37 +14,44 @@ from gleaner.llm.common import stash
 
 
 def _without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
-    """``docs`` less the rows whose doc_id is in the written table ``dropped``. Repeated rows go together."""
-    gone = stash(dropped.select(F.col("doc_id").alias("gone")).distinct(), "dropped")
-    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("gone")), "left_anti")
+    """``docs`` less the rows whose doc_id is in ``dropped``: rows that repeat an id, or have none, go together."""
+    name = "gone"
+    while name in docs.columns:
+        name += "_"
+    gone = stash(dropped.select(F.col("doc_id").alias(name)).distinct(), "dropped")
+    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col(name)), "left_anti")
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts that no learned language explains go, and those without letters. Learns from the documents' own labels."""
+    """Texts that no learned language explains go, and those without letters, null and empty ones among them. Learns from
+    the documents' own labels; rows are judged one by one, whatever their ids."""
     return language.accepted(docs, language.train(docs))
 
 
 def filter_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose posterior of good quality is under one half go."""
-    model = quality.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return _without(docs, quality.classify(docs, model).filter("NOT keep"))
+    """Documents whose posterior of good quality is under one half go; of rows that share an id all, if one does."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return _without(docs, quality.classify(docs, quality.train(docs, labels), labels=labels).filter("NOT keep"))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of near duplicates the document with the smallest doc_id stays; of repeated rows one."""
+    """Of each component of near duplicates the document with the smallest doc_id stays; of rows that repeat an id one.
+
+    Texts without words stay, as they are near to nothing; so do rows without an id, which no smaller id can stand for.
+    """
     kept = _without(docs, near_duplicates.near_duplicates(docs).filter("doc_id <> component_id"))
     repeated = not docs.groupBy("doc_id").count().filter("count > 1 AND doc_id IS NOT NULL").isEmpty()
     return kept.filter("doc_id IS NOT NULL").dropDuplicates(["doc_id"]).unionByName(kept.filter("doc_id IS NULL")) if repeated else kept
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a window of any benchmark item go."""
+    """Documents that hold a window of any benchmark item go; of rows that share an id all, if one does."""
     found = decontamination.contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
     return _without(docs, found.filter("contaminated"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """How many words the mix takes of each document that is left."""
+    """How many words the mix takes of each document that is left: a row for each, those without words or source too."""
     return mixing.mix(docs)
 
 
@@ -56,7 +63,8 @@ STAGES = [
     ("mix", mix_sources),
 ]
 
-#: Language models and the classifier have no SQL; tests hold the stages against plain versions.
+#: Language models and the classifier have no SQL. The operators are tested against plain versions each; tests of the stages
+#: check what they drop and keep.
 ORACLE_SQL = None
 
 
