@@ -100,7 +100,7 @@ def site_records(spark, d):
 
 
 @query("""SELECT p_partkey AS key, replace(p_name, ' ', '-') || '-co' AS slug, 'covers/' || replace(p_name, ' ', '-') || '-co.webp' AS asset, 'https://c.org/covers/' || replace(p_name, ' ', '%20') || '.webp' AS public, 'https://boardgamegeek.com/' || CASE WHEN p_partkey % 2 = 0 THEN 'boardgameexpansion' ELSE 'boardgame' END || '/' || p_partkey AS item_url,
-p_partkey % 2 = 0 AS is_image, list_filter(['juego', p_size || 'mil'], lambda x: length(x) >= 4) AS url_tokens, p_partkey % 3 <> 2 AS rendered, p_partkey % 4 = 1 AS challenge, CASE WHEN p_partkey % 2 = 0 THEN 'https://s.mx/a/contacto' ELSE '' END AS links FROM part""")
+p_partkey % 2 = 0 AS is_image, CASE WHEN p_size >= 1 THEN 'juego,' || p_size || 'mil' END AS url_tokens, p_partkey % 3 <> 2 AS rendered, p_partkey % 4 = 1 AS challenge, CASE WHEN p_partkey % 2 = 0 THEN 'https://s.mx/a/contacto' ELSE '' END AS links FROM part""")
 def url_helpers(spark, d):
     """Slugs, keys, public and item URLs, image and rendered-page tests, telling URL tokens, protection pages."""
     rows = table(spark, d, "part").withColumnRenamed("p_partkey", "key")
@@ -112,12 +112,12 @@ def url_helpers(spark, d):
     return rows.select(
         "key", urls.slugify(_said("{p_name}", " & Có")).alias("slug"), urls.asset_key(_said("{p_name}", "--co"), "/covers/").alias("asset"), urls.public_url("https://c.org/", _said("covers/", "{p_name}", ".webp")).alias("public"),
         urls.item_url(F.when(even, "boardgameexpansion").otherwise("boardgame"), F.col("key")).alias("item_url"), urls.is_image(F.when(even, _said("https://s.mx/x", "{key}", ".JPG?v=1")).otherwise("data:image.png")).alias("is_image"),
-        urls.url_tokens(url).alias("url_tokens"), urls.is_rendered(url, body).alias("rendered"), markup.is_challenge(page).alias("challenge"), F.array_join(urls.enrichment_links(links, F.lit("https://s.mx/")), ",").alias("links"),
+        F.array_join(urls.url_tokens(url), ",").alias("url_tokens"), urls.is_rendered(url, body).alias("rendered"), markup.is_challenge(page).alias("challenge"), F.array_join(urls.enrichment_links(links, F.lit("https://s.mx/")), ",").alias("links"),
     )
 
 
-@query("""SELECT o_orderkey AS key, ['orden', CAST(o_orderkey AS VARCHAR)] AS tokens, CASE o_orderkey % 3 WHEN 0 THEN 'Tienda' WHEN 1 THEN 'solo' ELSE 's.mx' END AS fallback, CASE WHEN o_orderkey % 2 = 0 THEN 'b ' || o_orderkey ELSE 'c' END AS first, CASE WHEN o_orderkey % 2 = 0 THEN o_orderkey + 0.5 END AS number, ['a', 'b c'] AS strings,
-CASE WHEN o_orderkey % 2 = 0 THEN ['x', CAST(o_orderkey AS VARCHAR)] ELSE [] END AS entries, CASE WHEN o_orderkey % 2 = 0 THEN CAST(o_orderkey AS VARCHAR) ELSE '' END AS field, '$' || o_custkey AS tidy, strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S.%fZ') AS stamp,
+@query("""SELECT o_orderkey AS key, 'orden,' || o_orderkey AS tokens, CASE o_orderkey % 3 WHEN 0 THEN 'Tienda' WHEN 1 THEN 'solo' ELSE 's.mx' END AS fallback, CASE WHEN o_orderkey % 2 = 0 THEN 'b ' || o_orderkey ELSE 'c' END AS first, CASE WHEN o_orderkey % 2 = 0 THEN o_orderkey + 0.5 END AS number, 'a,b c' AS strings,
+CASE WHEN o_orderkey % 2 = 0 THEN 'x,' || o_orderkey ELSE '' END AS entries, CASE WHEN o_orderkey % 2 = 0 THEN CAST(o_orderkey AS VARCHAR) ELSE '' END AS field, '$' || o_custkey AS tidy, strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S.%fZ') AS stamp,
 CASE WHEN o_totalprice / 1e6 >= 0.70 THEN 'accepted' WHEN o_totalprice / 1e6 >= 0.35 THEN 'review' ELSE 'failed' END AS band, '[1.5,' || CAST(o_orderkey AS VARCHAR) || '.0]' AS vector FROM orders""")
 def text_helpers(spark, d):
     """Tokens, title and text fallbacks, coercers, raw prices, timestamps and confidence bands."""
@@ -125,10 +125,10 @@ def text_helpers(spark, d):
     k, even = F.col("key"), F.col("key") % 2 == 0
     title = F.when(k % 3 == 0, " Tienda | Uno - Dos").when(k % 3 == 1, " solo ").otherwise("  ")
     return rows.select(
-        "key", text.tokens(_said("Órden la x ", "{key}", " órden"), 1, ["la", "x"]).alias("tokens"),
+        "key", F.array_join(text.tokens(_said("Órden la x ", "{key}", " órden"), 1, ["la", "x"]), ",").alias("tokens"),
         text.title_fallback(title, F.lit("s.mx")).alias("fallback"), text.first_text(F.lit(" "), F.when(even, _said(" b \n ", "{key}")).otherwise(""), F.lit("c")).alias("first"),
-        records.optional_float(F.when(even, _said(" ", "{key}", ".5 ")).otherwise(" ")).alias("number"), records.string_list(F.array(F.lit(" a"), F.lit(" "), F.lit("b c "))).alias("strings"),
-        records.json_list(F.when(even, _said('["x",', "{key}", "]")).otherwise('{"x":1}')).alias("entries"), F.coalesce(records.json_object(F.when(even, _said('{"x":', "{key}", "}")).otherwise("[1]"))["x"], F.lit("")).alias("field"),
+        records.optional_float(F.when(even, _said(" ", "{key}", ".5 ")).otherwise(" ")).alias("number"), F.array_join(records.string_list(F.array(F.lit(" a"), F.lit(" "), F.lit("b c "))), ",").alias("strings"),
+        F.array_join(records.json_list(F.when(even, _said('["x",', "{key}", "]")).otherwise('{"x":1}')), ",").alias("entries"), F.coalesce(records.json_object(F.when(even, _said('{"x":', "{key}", "}")).otherwise("[1]"))["x"], F.lit("")).alias("field"),
         rules.tidy_raw_price(_said("$  ", "{o_custkey}")).alias("tidy"), text.iso_timestamp(F.col("o_orderdate")).alias("stamp"), rules.band(F.col("o_totalprice") / 1e6).alias("band"), text.vector_literal(F.array(F.lit(1.5), k.cast("double"))).alias("vector"),
     )
 
