@@ -16,20 +16,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import split_words, text_chunks
+from .common import mix64, split_words, text_chunks
 
 ORDER = 4
 #: Labelled documents a language that the models are fitted on, and a part of them that calibrates the limit (expected numbers).
 FIT, CALIBRATE = 1500, 400
 #: Share of calibrating texts over the limit before its margin for short texts.
 TAIL = 0.001
-#: Characters known to the models; rarer ones are one unknown character. 16 bits each in a key.
-ALPHABET = 4000
 UNDETERMINED = "und"
 #: Scored words that a worker remembers.
 REMEMBERED = 250_000
 _NOT_LETTER = re.compile(r"[\W\d_]+")
-_SHIFT = np.uint64(16)
+#: Odd multiplier of n-gram keys: a key is the polynomial of its characters' mixed code points, modulo 2 ** 64.
+_STEP = 0x9E3779B97F4A7C15
 
 
 def letters_of(words: list[bytes]) -> list[str]:
@@ -40,7 +39,6 @@ def letters_of(words: list[bytes]) -> list[str]:
 @dataclass
 class Model:
     languages: list[str]
-    alphabet: np.ndarray  # sorted code points; id of alphabet[i] is i + 2; 0 is a blank, 1 unknown
     keys: list[np.ndarray]  # of each order, sorted
     logp: list[np.ndarray]  # n-grams x languages, natural logs, nan where a language lacks the n-gram
     back: list[np.ndarray]  # log weight of the lower order after this context, 0 where there is none
@@ -51,10 +49,7 @@ class Model:
         """(words x languages sums of log-probability, characters scored: letters and the closing blank)."""
         sizes = np.fromiter(map(len, words), np.int64, len(words)) + 1
         flat = np.frombuffer(("".join(f"{w} " for w in words)).encode("utf-32-le", "surrogatepass"), np.uint32)
-        ids = np.zeros(len(flat) + 1, np.uint64)  # a blank goes before the first word
-        at = np.searchsorted(self.alphabet, flat)
-        known = self.alphabet[np.minimum(at, len(self.alphabet) - 1)] == flat
-        ids[1:] = np.where(flat == 32, 0, np.where(known, at + 2, 1))
+        ids = mix64(np.concatenate(([32], flat)))  # a blank goes before the first word
         ends = np.cumsum(sizes)
         depth = np.arange(len(ids)) - np.repeat(np.concatenate(([0], ends[:-1])), sizes + (np.arange(len(sizes)) == 0)) if len(sizes) else np.zeros(1)
         total = None
@@ -62,7 +57,7 @@ class Model:
         for k in range(len(self.keys)):
             if k:
                 key = key.copy()
-                key[k:] |= ids[:-k] << np.uint64(16 * k)
+                key[k:] += ids[:-k] * np.uint64(pow(_STEP, k, 1 << 64))
             place = np.minimum(np.searchsorted(self.keys[k], key), len(self.keys[k]) - 1)
             hit = (self.keys[k][place] == key) & (depth >= k)
             if total is None:
@@ -181,21 +176,17 @@ def _kneser_ney(counts: dict[str, int], order: int) -> tuple[list[dict], list[di
     return logp, back, floor
 
 
-def build(counts: dict[str, dict[str, int]], order: int = ORDER, alphabet: int = ALPHABET) -> Model:
+def build(counts: dict[str, dict[str, int]], order: int = ORDER) -> Model:
     """Model of the counted n-grams of each language."""
     languages = sorted(counts)
-    often: dict[str, int] = {}
-    for own in counts.values():
-        for gram, n in own.items():
-            if len(gram) == 1 and gram != " ":
-                often[gram] = often.get(gram, 0) + n
-    letters = np.array(sorted(ord(c) for c, _ in sorted(often.items(), key=lambda x: (-x[1], x[0]))[:alphabet]), np.uint32)
-    ids = {chr(c): i + 2 for i, c in enumerate(letters.tolist())} | {" ": 0}
+    mixed: dict[str, int] = {}
 
     def key(gram: str) -> int:
         x = 0
         for c in gram:
-            x = x << 16 | ids.get(c, 1)
+            if c not in mixed:
+                mixed[c] = int(mix64(np.array([ord(c)]))[0])
+            x = x * _STEP + mixed[c] & (1 << 64) - 1
         return x
 
     fitted = [_kneser_ney(counts[x], order) for x in languages]
@@ -205,12 +196,13 @@ def build(counts: dict[str, dict[str, int]], order: int = ORDER, alphabet: int =
         behind: list[dict[int, float]] = [{} for _ in languages]
         for j, (logp, back, _) in enumerate(fitted):
             for gram, x in logp[k].items():
-                at = key(gram)
-                coded[j][at] = float(np.logaddexp(coded[j][at], x)) if at in coded[j] else x
+                coded[j][key(gram)] = x
             if k + 1 < order:
                 for gram, x in back[k + 1].items():
                     behind[j].setdefault(key(gram), x)
         every = np.array(sorted(set().union(*coded, *behind)), np.uint64)
+        if len(every) < len(set().union(*(logp[k] for logp, _, _ in fitted), *(back[k + 1] for _, back, _ in fitted if k + 1 < order))):
+            raise ValueError("two n-grams have one key")
         table, weights = np.full((len(every), len(languages)), np.nan), np.zeros((len(every), len(languages)))
         for j in range(len(languages)):
             for out, source in ((table, coded[j]), (weights, behind[j])):
@@ -219,7 +211,7 @@ def build(counts: dict[str, dict[str, int]], order: int = ORDER, alphabet: int =
         keys.append(every)
         logs.append(table)
         backs.append(weights)
-    return Model(languages, letters, keys, logs, backs, min((f for _, _, f in fitted), default=-20.0))
+    return Model(languages, keys, logs, backs, min((f for _, _, f in fitted), default=-20.0))
 
 
 def train(labelled: DataFrame, order: int = ORDER, fit: int = FIT, calibrate: int = CALIBRATE) -> Model | None:

@@ -554,3 +554,16 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     least = named.filter("class IS NOT NULL").groupBy("class").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("m")).filter("m > 1")
     least = stash(least.drop("m"), "least")
     return named.join(least, "class", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("least", "doc_id").alias("component_id"))
+
+
+def oracle() -> str:
+    """DuckDB SQL for :func:`near_duplicates`: shingle sets joined on shingles, least ids by reachability."""
+    words = r"list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '')"
+    return f"""WITH RECURSIVE d AS (SELECT doc_id, {words} AS w FROM documents),
+t AS (SELECT DISTINCT doc_id, array_to_string(list_slice(w, a, a + 4), ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, greatest(2, CAST(len(w) - 3 AS BIGINT)))) AS a FROM d WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM t GROUP BY doc_id),
+p AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS shared FROM t x JOIN t y ON x.g = y.g AND x.doc_id <> y.doc_id GROUP BY ALL),
+e AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * shared >= 80 * (x.n + y.n - shared)),
+r AS (SELECT a AS id, a AS root FROM e UNION SELECT r.id, e.b FROM r JOIN e ON e.a = r.root),
+c AS (SELECT id, min(root) AS least FROM r GROUP BY id)
+SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, coalesce(c.least, d.doc_id) AS component_id FROM d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN c ON c.id = d.doc_id"""

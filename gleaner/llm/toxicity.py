@@ -3,7 +3,8 @@
 A bounded set of labelled examples is indexed. The index keeps, for each term, its postings in blocks of examples and
 the largest weight in each block; a query visits blocks by falling upper bound and stops when none can still enter its
 nearest. The nearest vote with their similarity, votes are calibrated on examples left out one by one, and the neighbours
-are the evidence. Terms are those that the labels make telling; their document frequencies cover all documents.
+are the evidence. Terms are those that the labels make telling, for either label; as many as the examples hold, so their
+number is bounded by the examples alone. Their document frequencies cover all documents.
 """
 
 from __future__ import annotations
@@ -20,8 +21,8 @@ from .common import split_words, stash, text_chunks
 
 #: Most labelled examples of either label (expected numbers, drawn by a hash of the id).
 TOXIC, CLEAN = 2000, 4000
-#: Most terms, and what makes one telling: chi-square and the number of examples that hold it.
-TERMS, TELLING, LEAST = 1500, 15.0, 4
+#: What makes a term telling: chi-square (the level of one in a hundred) and the number of examples that hold it.
+TELLING, LEAST = 6.63, 4
 #: Characters of a stem.
 STEMS = range(4, 9)
 NEIGHBOURS, BLOCK = 15, 64
@@ -63,15 +64,21 @@ class Index:
                 lists[t][1].append(x)
         self.postings = [(np.array(a, np.int64), np.array(b, np.float32)) for a, b in lists]
 
-    def _blocks(self) -> tuple[np.ndarray, np.ndarray]:
-        """(terms x blocks largest weights, terms x blocks x examples weights), made once in each worker."""
+    def _blocks(self) -> tuple[np.ndarray, ...]:
+        """(largest weight of each block, where its postings begin, all postings' examples and weights), once a worker.
+
+        The first two are terms x blocks. Postings lie by term and example, so those of a block stand together.
+        """
         if self._laid is None:
-            size = -(-max(1, len(self.ids)) // BLOCK) * BLOCK
-            laid = np.zeros((len(self.terms), size), np.float32)
+            n = -(-max(1, len(self.ids)) // BLOCK)
+            peaks, begins = np.zeros((len(self.terms), n), np.float32), np.zeros((len(self.terms), n + 1), np.int64)
+            upto = 0
             for t, (at, w) in enumerate(self.postings):
-                laid[t, at] = w
-            laid = laid.reshape(len(self.terms), -1, BLOCK)
-            self._laid = laid.max(axis=2), laid
+                begins[t] = upto + np.searchsorted(at, np.arange(n + 1) * BLOCK)
+                np.maximum.at(peaks[t], at // BLOCK, w)
+                upto += len(at)
+            empty = (np.zeros(0, np.int64), np.zeros(0, np.float32))
+            self._laid = peaks, begins, *(np.concatenate(x) for x in zip(empty, *self.postings))
         return self._laid
 
     def __getstate__(self):
@@ -84,21 +91,26 @@ class Index:
         """
         if not terms:
             return []
-        peaks, laid = self._blocks()
-        at, w = np.array(terms), w.astype(np.float32)
+        peaks, begins, examples, weights = self._blocks()
+        at = np.array(terms)
         bound = w @ peaks[at]
         order = np.argsort(-bound, kind="stable")
         order = order[bound[order] > 0]
-        numbers, sims = np.zeros(0, np.int64), np.zeros(0, np.float32)
+        numbers, sims = np.zeros(0, np.int64), np.zeros(0)
         for blocks in (order[:FIRST_BLOCKS], order[FIRST_BLOCKS:]):
             if len(sims) >= k:
                 blocks = blocks[bound[blocks] >= np.partition(sims, -k)[-k] - 1e-6]
             if not len(blocks):
                 continue
-            own = np.einsum("t,tbe->be", w, laid[at[:, None], blocks[None, :]]).ravel()
-            of = (blocks[:, None] * BLOCK + np.arange(BLOCK)).ravel()
-            hit = (own > 0) & (of != skip)
-            numbers, sims = np.concatenate((numbers, of[hit])), np.concatenate((sims, own[hit]))
+            first, sizes = begins[at[:, None], blocks], begins[at[:, None], blocks + 1] - begins[at[:, None], blocks]
+            own = np.repeat(w, sizes.sum(axis=1))
+            first, sizes = first.ravel(), sizes.ravel()
+            here = np.arange(sizes.sum()) + np.repeat(first - np.cumsum(sizes) + sizes, sizes)
+            sums = np.bincount(examples[here], own * weights[here])
+            if skip >= 0 and skip < len(sums):
+                sums[skip] = 0
+            hit = np.flatnonzero(sums)
+            numbers, sims = np.concatenate((numbers, hit)), np.concatenate((sims, sums[hit]))
         if len(sims) > k:
             near = sims >= np.partition(sims, -k)[-k] - 1e-6
             numbers, sims = numbers[near], sims[near]
@@ -171,8 +183,8 @@ def frequencies(texts: pa.Array, number: dict[bytes, int], held: dict[bytes, lis
     return out
 
 
-def _telling(examples: DataFrame, most: int) -> list[bytes]:
-    """Terms by falling chi-square with the label, among those that occur more with label 1 than by chance."""
+def _telling(examples: DataFrame) -> list[bytes]:
+    """Terms whose chi-square with the label, whichever way they lean, reaches TELLING, highest first."""
 
     def run(batches):
         seen: dict[bytes, list[int]] = {}
@@ -203,8 +215,8 @@ def _telling(examples: DataFrame, most: int) -> list[bytes]:
     a, b = F.col("toxic").cast("double"), F.col("clean").cast("double")
     total = examples.mapInArrow(run, "term binary, clean long, toxic long").groupBy("term").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
     chi = (n0 + n1) * F.pow(a * (n0 - b) - b * (n1 - a), 2) / F.greatest(F.lit(1e-9), (a + b) * (n0 + n1 - a - b) * n1 * n0)
-    told = total.filter((a + b >= LEAST) & (a * n0 > b * n1)).withColumn("chi", chi).filter(F.col("chi") >= TELLING)
-    return [bytes(r["term"]) for r in told.orderBy(F.col("chi").desc(), "term").limit(most).collect()]
+    told = total.filter(a + b >= LEAST).withColumn("chi", chi).filter(F.col("chi") >= TELLING)
+    return [bytes(r["term"]) for r in told.orderBy(F.col("chi").desc(), "term").collect()]
 
 
 def _document_frequency(docs: DataFrame, terms: list[bytes]) -> tuple[np.ndarray, int]:
@@ -223,7 +235,7 @@ def _document_frequency(docs: DataFrame, terms: list[bytes]) -> tuple[np.ndarray
     return np.array([got.get(i, 0) for i in range(len(terms))], float), int(got.get(-1, 0))
 
 
-def train(docs: DataFrame, labels: DataFrame, toxic: int = TOXIC, clean: int = CLEAN, terms: int = TERMS) -> Index | None:
+def train(docs: DataFrame, labels: DataFrame, toxic: int = TOXIC, clean: int = CLEAN) -> Index | None:
     """Index the documents that ``labels`` (doc_id, toxic) names; ``docs``: doc_id, text. None without both labels.
 
     About ``toxic`` and ``clean`` examples of each label are drawn by a hash of the id, before their texts are looked
@@ -237,7 +249,7 @@ def train(docs: DataFrame, labels: DataFrame, toxic: int = TOXIC, clean: int = C
     draw = F.pmod(F.xxhash64(F.lit("toxicity"), "doc_id"), F.lit(1 << 30)) / float(1 << 30)
     drawn_rows = stash(marked.filter(draw < F.when(F.col("toxic") == 1, toxic / n[1]).otherwise(clean / n[0])), "toxic-draw")
     rows = stash(docs.select("doc_id", "text").filter("text IS NOT NULL").join(drawn_rows, "doc_id").select("doc_id", "text", "toxic"), "toxic-examples")
-    told = _telling(rows, terms)
+    told = _telling(rows)
     df, total = _document_frequency(docs, told)
     number = {t: i for i, t in enumerate(told)}
 

@@ -1,5 +1,7 @@
 """Operators that learn, on made texts: held-out accuracy, exact search, and awkward rows."""
 
+from collections import Counter
+
 import numpy as np
 import pytest
 
@@ -50,6 +52,56 @@ def test_language_rejects_what_it_never_saw(spark, docs):
     assert language.predict(strange, model).first().rejected
 
 
+def plain_kneser_ney(words, order):
+    """P(character | context) of interpolated Kneser-Ney, by recursion over the counts as defined."""
+    raw = Counter(p[i - k : i + 1] for p in (f" {w} " for w in words) for i in range(1, len(p)) for k in range(min(order, i + 1)))
+    of = [{} for _ in range(order)]
+    of[-1] = {g: n for g, n in raw.items() if len(g) == order}
+    for k in range(order - 1):
+        before = Counter(g[1:] for g in raw if len(g) == k + 2)
+        of[k] = {g: raw[g] if k and g[0] == " " else before[g] for g in raw if len(g) == k + 1 and (before[g] or k and g[0] == " ")}
+    discounts = []
+    for level in of:
+        once, twice = (sum(n == x for n in level.values()) for x in (1, 2))
+        discounts.append(min(0.9, once / (once + 2 * twice)) if once else 0.0)
+    totals = [Counter() for _ in of]
+    kinds = [Counter() for _ in of]
+    for k, level in enumerate(of):
+        for g, n in level.items():
+            totals[k][g[:-1]] += n
+            kinds[k][g[:-1]] += 1
+
+    def p(c, context):
+        k = len(context)
+        lower = p(c, context[1:]) if k else 1 / (len(of[0]) + 1)
+        if not totals[k][context]:
+            return lower
+        left = max(discounts[k] * kinds[k][context] / totals[k][context], 1e-9)
+        return max(of[k].get(context + c, 0) - discounts[k], 0) / totals[k][context] + left * lower
+
+    return p, set(of[0]), [set(t) for t in totals], raw
+
+
+def test_language_model_equals_a_plain_version():
+    """Every character has a number of its own, however many there are, and probabilities of each context sum to one."""
+    rng = np.random.default_rng(6)
+    words = ["".join(chr(0x4E00 + int(c)) for c in rng.integers(0, 9000, rng.integers(1, 6))) for _ in range(6000)]
+    words += ["".join(rng.choice(list("abcde\U00020000"), rng.integers(1, 9))) for _ in range(400)]
+    p, letters, contexts, counts = plain_kneser_ney(words, language.ORDER)
+    assert len(letters) > 5000
+    model = language.build({"x": dict(counts)})
+    asked = words[::40] + ["abc\u0416", "\u0416", "eeeeeeee", words[0] + words[1]]
+    sums, sizes = model.score_words(asked)
+    assert sizes.tolist() == [len(w) + 1 for w in asked]
+    for word, got in zip(asked, sums[:, 0]):
+        text = f" {word} "
+        want = sum(np.log(p(text[i], text[max(0, i + 1 - language.ORDER) : i])) for i in range(1, len(text)))
+        assert got == pytest.approx(want, rel=1e-9)
+    for level in contexts:
+        for context in sorted(level)[:4] + sorted(level)[-4:]:
+            assert sum(p(c, context) for c in letters) + p("\u0416", context) == pytest.approx(1, abs=1e-6)
+
+
 def test_probabilities_sum_to_one():
     counts = {"x": {}}
     for word in ("abba", "ab", "ba", "bab"):
@@ -92,14 +144,17 @@ def test_toxicity(docs):
     held = [i for i in range(240) if i % 3 == 1]
     assert np.mean([(got[i].score >= 0.7) == (i % 5 == 0) for i in held]) >= 0.97
     assert got[900].score == got[901].score < 0.3 and not got[900].neighbours
+    # texts of label 0 have neighbours as well
+    assert any(x.neighbours for i, x in got.items() if i < 240 and i % 5)
     assert toxicity.score(docs.limit(0), index).count() == 0
     assert toxicity.train(docs.select("doc_id", "text"), docs.limit(0).select("doc_id", "toxic")) is None
     assert toxicity.score(docs, None).filter("score = 0").count() == 245
 
 
-def test_search_is_exact():
+@pytest.mark.parametrize("terms", [40, 3000])
+def test_search_is_exact(terms):
     rng = np.random.default_rng(7)
-    n, terms = 500, 40
+    n = 500
     index = toxicity.Index([b"%d" % t for t in range(terms)], rng.uniform(1, 4, terms), list(range(n)), rng.integers(0, 2, n).astype(float), np.ones(n))
     vectors = [index.vector({int(t): int(rng.integers(1, 4)) for t in rng.choice(terms, rng.integers(0, 6), replace=False)}) for _ in range(n)]
     index.fill(vectors)

@@ -1,8 +1,11 @@
+import itertools
 import os
+import re
 
 import pytest
 
 import corpus_pipeline
+from gleaner.llm import language, quality
 
 DATA = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="no tables")
@@ -21,6 +24,53 @@ def test_stages(spark):
     assert docs.selectExpr("sum(taken) > 0.9 * sum(size)").first()[0]
 
 
+def test_stages_against_plain_versions(spark):
+    """Ids that each stage keeps, from texts in plain Python and from the models' own judgements of single rows."""
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    labels, items = spark.read.parquet(f"{DATA}/labels.parquet"), spark.read.parquet(f"{DATA}/benchmark.parquet").collect()
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        told = {r.doc_id: r.text for r in docs.collect()}
+        if name == "language":
+            judged = language.predict(docs, language.train(docs)).collect()
+            want = {r.doc_id for r in judged if not r.rejected}
+        elif name == "quality":
+            want = {r.doc_id for r in quality.classify(docs, quality.train(docs, labels), labels=labels).collect() if r.quality >= 0.5}
+        elif name == "near_duplicates":
+            sets = {i: plain_shingles(t) for i, t in told.items()}
+            first = {i: i for i in told}
+            for a, b in itertools.combinations(sorted(told), 2):
+                both = len(sets[a] & sets[b])
+                if both and 100 * both >= 80 * len(sets[a] | sets[b]) and first[a] != first[b]:
+                    low, high = sorted((first[a], first[b]))
+                    first = {i: low if x == high else x for i, x in first.items()}
+            want = {i for i in told if first[i] == i}
+        else:
+            windows = {g for r in items for g in plain_windows(r.text)}
+            want = {i for i, t in told.items() if not any(g in windows for k in range(1, 11) for g in plain_windows(t, k))}
+        docs = corpus_pipeline.stash(stage(spark, docs, DATA), name)
+        assert {r.doc_id for r in docs.collect()} == want, name
+    sizes = {r.doc_id: (r.source, len([w for w in re.split(r"[\x20\x09-\x0d]+", r.text or "") if w])) for r in docs.collect()}
+    mixed = corpus_pipeline.mix_sources(spark, docs, DATA).collect()
+    assert {r.doc_id: r.size for r in mixed} == {i: n for i, (_, n) in sizes.items()}
+    assert all(0 <= r.taken <= 3 * r.size for r in mixed)
+    assert all(r.source_size == sum(n for s, n in sizes.values() if s == sizes[r.doc_id][0]) for r in mixed)
+
+
+def lowered(text):
+    return "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
+
+
+def plain_shingles(text):
+    words = [w for w in re.split(r"[\x20\x09-\x0d]+", lowered(text)) if w]
+    return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+
+
+def plain_windows(text, k=10):
+    words = [w for w in re.split(r"[\x00-\x2f\x3a-\x60\x7b-\x7f]+", lowered(text)) if w]
+    k = min(k, len(words))
+    return {tuple(words[i : i + k]) for i in range(len(words) - k + 1)} if words else set()
+
+
 def test_queries_can_be_listed():
     from gleaner.llm import queries
 
