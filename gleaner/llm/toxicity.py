@@ -26,6 +26,8 @@ TELLING, LEAST = 6.63, 4
 #: Characters of a stem.
 STEMS = range(4, 9)
 NEIGHBOURS, BLOCK = 15, 64
+#: Share of examples from which on a term's weights stand in a row.
+DENSE = 1 / 32
 #: Blocks read before any is left out by its bound.
 FIRST_BLOCKS = 3
 #: Weight of the base rate against votes.
@@ -50,9 +52,8 @@ class Index:
     def __post_init__(self):
         self.number = {t: i for i, t in enumerate(self.terms)}
 
-    def vector(self, tf: dict[int, int]) -> tuple[tuple, np.ndarray]:
-        terms = tuple(sorted(tf))
-        w = (1 + np.log(np.array([tf[t] for t in terms], float))) * self.idf[list(terms)] if terms else np.zeros(0)
+    def vector(self, terms: tuple, tf: tuple) -> tuple[tuple, np.ndarray]:
+        w = (1 + np.log(np.array(tf, float))) * self.idf[list(terms)] if terms else np.zeros(0)
         norm = np.sqrt((w * w).sum())
         return terms, w / norm if norm else w
 
@@ -64,21 +65,22 @@ class Index:
                 lists[t][1].append(x)
         self.postings = [(np.array(a, np.int64), np.array(b, np.float32)) for a, b in lists]
 
-    def _blocks(self) -> tuple[np.ndarray, ...]:
-        """(largest weight of each block, where its postings begin, all postings' examples and weights), once a worker.
+    def _blocks(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(terms x blocks largest weights, row of each term or -1, rows x blocks x examples weights), made once a worker.
 
-        The first two are terms x blocks. Postings lie by term and example, so those of a block stand together.
+        Terms that DENSE of all examples hold have a row; so rows take at most 1 / DENSE times the room of postings.
         """
         if self._laid is None:
             n = -(-max(1, len(self.ids)) // BLOCK)
-            peaks, begins = np.zeros((len(self.terms), n), np.float32), np.zeros((len(self.terms), n + 1), np.int64)
-            upto = 0
+            peaks, row = np.zeros((len(self.terms), n), np.float32), np.full(len(self.terms), -1)
+            often = [t for t, (at, _) in enumerate(self.postings) if len(at) >= DENSE * len(self.ids)]
+            row[often] = np.arange(len(often))
+            rows = np.zeros((len(often), n * BLOCK), np.float32)
             for t, (at, w) in enumerate(self.postings):
-                begins[t] = upto + np.searchsorted(at, np.arange(n + 1) * BLOCK)
                 np.maximum.at(peaks[t], at // BLOCK, w)
-                upto += len(at)
-            empty = (np.zeros(0, np.int64), np.zeros(0, np.float32))
-            self._laid = peaks, begins, *(np.concatenate(x) for x in zip(empty, *self.postings))
+                if row[t] >= 0:
+                    rows[row[t], at] = w
+            self._laid = peaks, row, rows.reshape(len(often), n, BLOCK)
         return self._laid
 
     def __getstate__(self):
@@ -91,26 +93,31 @@ class Index:
         """
         if not terms:
             return []
-        peaks, begins, examples, weights = self._blocks()
-        at = np.array(terms)
+        peaks, row, rows = self._blocks()
+        at, w = np.array(terms), w.astype(np.float32)
         bound = w @ peaks[at]
         order = np.argsort(-bound, kind="stable")
         order = order[bound[order] > 0]
-        numbers, sims = np.zeros(0, np.int64), np.zeros(0)
+        rare = row[at] < 0
+        # postings of rare terms are few: they are added up over all blocks at once
+        apart = np.zeros(peaks.shape[1] * BLOCK, np.float32)
+        for t, x in zip(at[rare].tolist(), w[rare].tolist()):
+            examples, weights = self.postings[t]
+            apart[examples] += x * weights
+        apart = apart.reshape(-1, BLOCK)
+        w, often = w[~rare], row[at[~rare]]
+        numbers, sims = np.zeros(0, np.int64), np.zeros(0, np.float32)
         for blocks in (order[:FIRST_BLOCKS], order[FIRST_BLOCKS:]):
             if len(sims) >= k:
                 blocks = blocks[bound[blocks] >= np.partition(sims, -k)[-k] - 1e-6]
             if not len(blocks):
                 continue
-            first, sizes = begins[at[:, None], blocks], begins[at[:, None], blocks + 1] - begins[at[:, None], blocks]
-            own = np.repeat(w, sizes.sum(axis=1))
-            first, sizes = first.ravel(), sizes.ravel()
-            here = np.arange(sizes.sum()) + np.repeat(first - np.cumsum(sizes) + sizes, sizes)
-            sums = np.bincount(examples[here], own * weights[here])
-            if skip >= 0 and skip < len(sums):
-                sums[skip] = 0
-            hit = np.flatnonzero(sums)
-            numbers, sims = np.concatenate((numbers, hit)), np.concatenate((sims, sums[hit]))
+            own = apart[blocks].ravel()
+            if len(often):
+                own += w @ rows[often[:, None], blocks].reshape(len(often), -1)
+            of = (blocks[:, None] * BLOCK + np.arange(BLOCK)).ravel()
+            hit = (own > 0) & (of != skip)
+            numbers, sims = np.concatenate((numbers, of[hit])), np.concatenate((sims, own[hit]))
         if len(sims) > k:
             near = sims >= np.partition(sims, -k)[-k] - 1e-6
             numbers, sims = numbers[near], sims[near]
@@ -144,13 +151,12 @@ class Index:
         at = np.searchsorted(self.steps[0], raw, side="right") - 1
         return float(self.steps[1][max(at, 0)])
 
-    def judge(self, tf: dict[int, int]) -> tuple[float, list[tuple[float, int]]]:
-        terms, w = self.vector(tf)
-        key = (terms, tuple(tf[t] for t in terms))
+    def judge(self, terms: tuple, tf: tuple) -> tuple[float, list[tuple[float, int]]]:
+        key = (terms, tf)
         if key not in self._held:
             if len(self._held) >= REMEMBERED:
                 self._held.clear()
-            near = self.nearest(terms, w)
+            near = self.nearest(*self.vector(terms, tf))
             self._held[key] = (self.probability(self.vote(near)), near)
         return self._held[key]
 
@@ -161,8 +167,11 @@ def terms_of(word: bytes) -> list[bytes]:
     return [word + b" ", *(text[:k].encode() for k in STEMS if k < len(text))]
 
 
-def frequencies(texts: pa.Array, number: dict[bytes, int], held: dict[bytes, list[int]]) -> list[dict[int, int]]:
-    """Counts of the known terms in each whole text. held: the terms of words met before, at most REMEMBERED of them."""
+def frequencies(texts: pa.Array, number: dict[bytes, int], held: dict[bytes, list[int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, known term, how often it stands there), by text and term, over whole texts.
+
+    held: the terms of words met before, some REMEMBERED of them.
+    """
     counts, words = split_words(texts, alnum=True)
     coded = words.dictionary_encode()
     found = []
@@ -172,15 +181,23 @@ def frequencies(texts: pa.Array, number: dict[bytes, int], held: dict[bytes, lis
         if (terms := held.get(w)) is None:
             terms = held[w] = [number[t] for t in terms_of(w) if t in number]
         found.append(terms)
+    if not (flat := np.array([t for terms in found for t in terms], np.int64)).size:
+        return (np.zeros(0, np.int64),) * 3
     sizes = np.fromiter(map(len, found), np.int64, len(found))
     codes = coded.indices.to_numpy()
-    telling = np.flatnonzero(sizes[codes]) if len(codes) else np.zeros(0, np.int64)
-    of = np.repeat(np.arange(len(counts)), counts)[telling]
-    out: list[dict[int, int]] = [{} for _ in range(len(counts))]
-    for row, code in zip(of.tolist(), codes[telling].tolist()):
-        for term in found[code]:
-            out[row][term] = out[row].get(term, 0) + 1
-    return out
+    told = np.flatnonzero(sizes[codes])
+    of, codes = np.repeat(np.arange(len(counts)), counts)[told], codes[told]
+    each = sizes[codes]
+    place = np.arange(each.sum()) + np.repeat((np.cumsum(sizes) - sizes)[codes] - np.cumsum(each) + each, each)
+    pairs, times = np.unique(np.repeat(of, each) * len(number) + flat[place], return_counts=True)
+    return pairs // len(number), pairs % len(number), times
+
+
+def _by_text(n: int, of: np.ndarray, *columns: np.ndarray) -> list[tuple]:
+    """The columns of each of n texts, as tuples."""
+    cuts = np.searchsorted(of, np.arange(n + 1)).tolist()
+    listed = [c.tolist() for c in columns]
+    return [tuple(tuple(c[i:j]) for c in listed) for i, j in zip(cuts, cuts[1:])]
 
 
 def _telling(examples: DataFrame) -> list[bytes]:
@@ -227,8 +244,7 @@ def _document_frequency(docs: DataFrame, terms: list[bytes]) -> tuple[np.ndarray
         df, rows, held = np.zeros(len(terms), np.int64), 0, {}
         for chunk in text_chunks(batches):
             rows += chunk.num_rows
-            for tf in frequencies(chunk.column(0), number, held):
-                df[list(tf)] += 1
+            df += np.bincount(frequencies(chunk.column(0), number, held)[1], minlength=len(terms))
         yield pa.RecordBatch.from_arrays([pa.array([-1, *range(len(terms))], pa.int32()), pa.array([rows, *df.tolist()], pa.int64())], ["term", "n"])
 
     got = {r["term"]: r["n"] for r in docs.select("text").mapInArrow(run, "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()}
@@ -256,8 +272,8 @@ def train(docs: DataFrame, labels: DataFrame, toxic: int = TOXIC, clean: int = C
     def run(batches):
         held: dict[bytes, list[int]] = {}
         for chunk in text_chunks(batches):
-            got = frequencies(chunk.column(1), number, held)
-            yield pa.RecordBatch.from_arrays([chunk.column(0), chunk.column(2), pa.array([sorted(x) for x in got], pa.list_(pa.int32())), pa.array([[x[t] for t in sorted(x)] for x in got], pa.list_(pa.int32()))], ["doc_id", "toxic", "terms", "tf"])
+            got = _by_text(chunk.num_rows, *frequencies(chunk.column(1), number, held))
+            yield pa.RecordBatch.from_arrays([chunk.column(0), chunk.column(2), *(pa.array([x[i] for x in got], pa.list_(pa.int32())) for i in (0, 1))], ["doc_id", "toxic", "terms", "tf"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     found = rows.mapInArrow(run, f"doc_id {kind}, toxic int, terms array<int>, tf array<int>").collect()
@@ -270,7 +286,7 @@ def train(docs: DataFrame, labels: DataFrame, toxic: int = TOXIC, clean: int = C
     weigh = np.where(labels > 0, n[1] / max(1, drawn[1]), n[0] / max(1, drawn[0]))
     index = Index(told, np.log((1 + total) / (1 + df)) + 1, [r["doc_id"] for r in found], labels, weigh / weigh.mean())
     index.rate = n[1] / (n[0] + n[1])
-    vectors = [index.vector(dict(zip(r["terms"], r["tf"]))) for r in found]
+    vectors = [index.vector(tuple(r["terms"]), tuple(r["tf"])) for r in found]
     index.fill(vectors)
     index.calibrate(vectors)
     return index
@@ -291,9 +307,13 @@ def score(docs: DataFrame, index: Index | None) -> DataFrame:
             if index is None:
                 judged = [(0.0, [])] * chunk.num_rows
             else:
-                judged = [index.judge(tf) for tf in frequencies(chunk.column(1), index.number, held)]
-            near = [[{"doc_id": index.ids[i], "similarity": s, "toxic": int(index.toxic[i])} for s, i in found] for _, found in judged]
-            kind_of = pa.list_(pa.struct([("doc_id", ids.type), ("similarity", pa.float64()), ("toxic", pa.int32())]))
-            yield pa.RecordBatch.from_arrays([ids, pa.array([s for s, _ in judged], pa.float64()), pa.array(near, kind_of)], ["doc_id", "score", "neighbours"])
+                judged = [index.judge(*x) for x in _by_text(chunk.num_rows, *frequencies(chunk.column(1), index.number, held))]
+            flat = [x for _, near in judged for x in near]
+            at = np.array([i for _, i in flat], np.int64)
+            of = pa.array(index.ids if index else [], ids.type).take(pa.array(at))
+            toxic = pa.array((index.toxic if index else np.zeros(0))[at], pa.int32(), safe=False)
+            near = pa.StructArray.from_arrays([of, pa.array([s for s, _ in flat], pa.float64()), toxic], ["doc_id", "similarity", "toxic"])
+            cuts = pa.array(np.concatenate(([0], np.cumsum([len(x) for _, x in judged]))), pa.int32())
+            yield pa.RecordBatch.from_arrays([ids, pa.array([s for s, _ in judged], pa.float64()), pa.ListArray.from_arrays(cuts, near)], ["doc_id", "score", "neighbours"])
 
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, score double, neighbours array<struct<doc_id: {kind}, similarity: double, toxic: int>>")

@@ -156,7 +156,7 @@ def test_search_is_exact(terms):
     rng = np.random.default_rng(7)
     n = 500
     index = toxicity.Index([b"%d" % t for t in range(terms)], rng.uniform(1, 4, terms), list(range(n)), rng.integers(0, 2, n).astype(float), np.ones(n))
-    vectors = [index.vector({int(t): int(rng.integers(1, 4)) for t in rng.choice(terms, rng.integers(0, 6), replace=False)}) for _ in range(n)]
+    vectors = [index.vector(tuple(t := sorted(rng.choice(terms, rng.integers(0, 6), replace=False).tolist())), tuple(rng.integers(1, 4, len(t)).tolist())) for _ in range(n)]
     index.fill(vectors)
     dense = np.zeros((n, terms))
     for i, (t, w) in enumerate(vectors):
