@@ -7,7 +7,7 @@ the context, and its own) over a share of the words before (the context's count)
 the token before in its own, shorter context. All are known where all tokens of a word meet, so tokens are dealt by word,
 each with the two before: a part builds its part of the trie from the training tokens (words with exact counts, words
 before them, and words before those, as monotone sequences in Elias-Fano form with quantised probabilities), maps it into
-memory and answers all tokens of that part. Sums travel back to the documents. The driver holds totals and the hot words,
+memory and seeks each distinct word, pair and triple of all tokens of that part, once and in order. Sums travel back to the documents. The driver holds totals and the hot words,
 fewer than 1 / HOT; the part of each word is as many as the session's partitions, and no score depends on them.
 """
 
@@ -37,53 +37,28 @@ _K = np.uint64(0x9E3779B97F4A7C15)
 _LN = np.log(10.0)
 #: Words before a word are known by 40 bits, and those before a known pair by 24.
 _SHORT, _SHORTER = np.uint64(24), np.uint64(40)
+_TO_WORD, _TO_PAIR = np.uint64(40), np.uint64(24)
+_OF_PAIR, _OF_TRIPLE = np.uint64((1 << 40) - 1), np.uint64((1 << 24) - 1)
 #: Stands before the first word of a text; fixed like END.
 START = np.uint64(0x8CB92BA72F3D8DD7)
 
 
-_BLOCK = 64
-_ONES = np.array([bin(x).count("1") for x in range(256)], np.uint8)
-#: Place of the k-th zero bit of each byte; 8 where there are not as many.
-_ZERO = np.array([([i for i in range(8) if not x >> i & 1] + [8] * 8)[:8] for x in range(256)], np.uint8)
+#: Bytes of high bits that are unpacked at once.
+_BLOCK = 1 << 13
 
 
 class EliasFano:
-    """A non-decreasing sequence of 64-bit numbers: whole low bytes side by side, high parts as a unary bit vector."""
+    """A non-decreasing sequence of 64-bit numbers: whole low bytes side by side, high parts as a unary bit vector.
+
+    Numbers are sought in order: a block of high bits is unpacked once for all that may lie in it, others are passed over.
+    """
 
     def __init__(self, n: int, low_bytes: int, low: np.ndarray, high: np.ndarray):
         self.n, self.low_bytes, self.low, self.high = n, low_bytes, low, high
-        # zeros before each block of 64 bytes: the bits themselves stay packed
-        zeros = 8 - _ONES[np.asarray(high)].astype(np.int64)
-        self.zeros = np.concatenate(([0], np.cumsum(np.add.reduceat(zeros, np.arange(0, len(high), _BLOCK))))) if len(high) else np.zeros(1, np.int64)
-
-    def _before(self, part: np.ndarray) -> np.ndarray:
-        """Numbers with a smaller high part than each ``part``: the place of its zero less the zeros before it."""
-        out = np.zeros(len(part), np.int64)
-        some = np.flatnonzero(part > 0)
-        if not len(some):
-            return out
-        # sorted questions ask for the same high part again and again
-        asked = part[some]
-        new = np.concatenate(([True], asked[1:] != asked[:-1]))
-        out[some] = (self._select(asked[new] - 1) - asked[new] + 1)[np.cumsum(new) - 1]
-        return out
-
-    def _select(self, k: np.ndarray) -> np.ndarray:
-        """Place of the k-th zero (from 0); past the last, the number of bits."""
-        block = np.searchsorted(self.zeros, k, side="right") - 1
-        place = np.full(len(k), 8 * len(self.high), np.int64)
-        inside = np.flatnonzero(k < self.zeros[-1])
-        for s in range(0, len(inside), 1 << 14):
-            some = inside[s : s + (1 << 14)]
-            at = block[some, None] * _BLOCK + np.arange(_BLOCK)
-            chunk = np.where(at < len(self.high), np.asarray(self.high)[np.minimum(at, len(self.high) - 1)], 255).astype(np.uint8)
-            upto = np.cumsum(8 - _ONES[chunk].astype(np.int64), axis=1)
-            left = k[some] - self.zeros[block[some]]
-            byte = (upto <= left[:, None]).sum(axis=1)
-            rows = np.arange(len(some))
-            left = left - np.where(byte > 0, upto[rows, np.maximum(byte - 1, 0)], 0)
-            place[some] = (block[some] * _BLOCK + byte) * 8 + _ZERO[chunk[rows, byte], left]
-        return place
+        # numbers, and ended high parts, before each block: the bits themselves stay packed
+        ones = np.add.reduceat(np.bitwise_count(high), np.arange(0, len(high), _BLOCK), dtype=np.int64)
+        self.before = np.minimum(np.concatenate(([0], np.cumsum(ones))), n)
+        self.zeros = np.minimum(np.arange(len(self.before)) * _BLOCK, len(high)) * 8 - self.before
 
     @staticmethod
     def pack(values: np.ndarray) -> tuple[int, int, np.ndarray, np.ndarray]:
@@ -99,38 +74,43 @@ class EliasFano:
         fill = -len(flags) % 8
         return n, low_bytes, low, np.packbits(np.concatenate((flags, np.ones(fill, np.uint8))), bitorder="little")
 
-    def low_part(self, i: np.ndarray) -> np.ndarray:
-        out = np.zeros(len(i), np.uint64)
-        for k in range(self.low_bytes):
-            out |= self.low[i * self.low_bytes + k].astype(np.uint64) << np.uint64(8 * k)
-        return out
-
-    def find(self, x: np.ndarray) -> np.ndarray:
-        """Place of the first number that is at least x, for each x: within its high part by binary search over low parts."""
-        shift = np.uint64(8 * self.low_bytes)
-        high = (x >> shift).astype(np.int64)
-        past = high >= self.zeros[-1]
-        high = np.minimum(high, max(0, int(self.zeros[-1]) - 1))
-        a, b = self._before(high), self._before(high + 1)
-        low = x & ((np.uint64(1) << shift) - np.uint64(1))
-        while (open_ := a < b).any():
-            middle = (a + b) >> 1
-            less = np.zeros(len(x), bool)
-            less[open_] = self.low_part(middle[open_]) < low[open_]
-            a, b = np.where(open_ & less, middle + 1, a), np.where(open_ & ~less, middle, b)
-        return np.where(past, self.n, a)
+    def _block(self, k: int) -> np.ndarray:
+        """The numbers whose bits stand in block ``k``."""
+        a, b = int(self.before[k]), int(self.before[k + 1])
+        at = np.flatnonzero(np.unpackbits(self.high[k * _BLOCK : (k + 1) * _BLOCK], bitorder="little"))[: b - a]
+        low = np.zeros((b - a, 8), np.uint8)
+        low[:, : self.low_bytes] = self.low[a * self.low_bytes : b * self.low_bytes].reshape(b - a, self.low_bytes)
+        high = at - np.arange(b - a) + int(self.zeros[k])
+        return (high.astype(np.uint64) << np.uint64(8 * self.low_bytes)) | low.view("<u8")[:, 0]
 
     def locate(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(place, whether x stands there) for each x."""
-        place = self.find(x)
-        held = place < self.n
-        some = np.flatnonzero(held)
-        shift = np.uint64(8 * self.low_bytes)
-        # the high part is that of x if the place lies before the next high part's numbers
-        high = (x[some] >> shift).astype(np.int64)
-        held[some] = (place[some] < self._before(high + 1)) & (self.low_part(place[some]) == x[some] & ((np.uint64(1) << shift) - np.uint64(1)))
+        """(place of the first number that is at least x, whether it is x) for each x; quickest where these are sorted."""
+        if (x[1:] < x[:-1]).any():
+            order = np.argsort(x)
+            place, held = np.empty(len(x), np.int64), np.empty(len(x), bool)
+            place[order], held[order] = self.locate(x[order])
+            return place, held
+        place, held = np.full(len(x), self.n, np.int64), np.zeros(len(x), bool)
+        done = k = 0
+        while done < len(x):
+            # all numbers before a block have high parts up to the zeros before it
+            k = max(k, int(np.searchsorted(self.zeros, int(x[done]) >> 8 * self.low_bytes)) - 1)
+            if k >= len(self.before) - 1:
+                break
+            values = self._block(k)
+            if len(values) and x[done] <= values[-1]:
+                upto = done + int(np.searchsorted(x[done:], values[-1], side="right"))
+                at = np.searchsorted(values, x[done:upto])
+                place[done:upto] = at + self.before[k]
+                held[done:upto] = values[at] == x[done:upto]
+                done = upto
+            k += 1
         return place, held
 
+    def find(self, x: np.ndarray) -> np.ndarray:
+        """Place of the first number that is at least x, for each x."""
+        return self.locate(x)[0]
+
 
 def quantise(log10: np.ndarray) -> np.ndarray:
     """Codes of log10 probabilities; rounded down, so that sums of probabilities don't grow."""
@@ -141,6 +121,45 @@ def restore(codes: np.ndarray) -> np.ndarray:
     return codes.astype(np.float64) * (LOWEST / 65535)
 
 
+class Grams:
+    """The distinct words, pairs and triples of a part's tokens, each in order, and how often they stand in training.
+
+    ``words`` are hashes; of the tokens, ``pair`` is the number of the word and 40 bits of the word before, ``first`` 24 bits
+    of the one before that, ``training`` whether the text is of those learned from. A triple is the number of its pair and these.
+    """
+
+    def __init__(self, words: np.ndarray, pair: np.ndarray, first: np.ndarray, training: np.ndarray):
+        self.words = words
+        order = np.argsort(pair)
+        pair = pair[order]
+        at_pair = _starts(pair)
+        self.pairs, self.pair_tokens = pair[at_pair], np.diff(np.append(at_pair, len(pair))).astype(np.uint32)
+        del pair
+        triple = (np.repeat(np.arange(len(at_pair), dtype=np.uint64), self.pair_tokens) << _TO_PAIR) | first[order]
+        # moves tokens within their pairs alone
+        again = np.argsort(triple)
+        order, triple = order[again], triple[again]
+        del again
+        at_triple = _starts(triple)
+        self.triples, self.triple_tokens = triple[at_triple], np.diff(np.append(at_triple, len(triple))).astype(np.uint32)
+        del triple
+        training, self.order = training[order], order.astype(np.uint32)
+        del order
+        at_word = np.searchsorted(self.pairs >> _TO_WORD, np.arange(len(words), dtype=np.uint64))
+        of_pair = np.add.reduceat(training, at_pair, dtype=np.uint32)
+        self.training = np.add.reduceat(of_pair, at_word, dtype=np.int64), of_pair, np.add.reduceat(training, at_triple, dtype=np.uint32)
+
+    def spread(self, values: np.ndarray, tokens: np.ndarray) -> np.ndarray:
+        """The value of each token, from those of the grams that have as many ``tokens``."""
+        out = np.empty(len(self.order), values.dtype)
+        out[self.order] = np.repeat(values, tokens)
+        return out
+
+
+def _starts(key: np.ndarray) -> np.ndarray:
+    return np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+
+
 class Trie:
     """Three levels: words (hash, training count), the words before each, and the words before those pairs.
 
@@ -154,67 +173,56 @@ class Trie:
         self.words, self.pairs, self.triples = levels
 
     @staticmethod
-    def build(word: np.ndarray, before: np.ndarray, first: np.ndarray, known: Unigrams, mu: float, mu_pair: float) -> bytes:
-        """From training tokens (word hash, 40 bits of the word before, 24 of the one before that)."""
-        order = np.lexsort((first, before, word))
-        word, before, first = word[order], before[order], first[order]
-
-        def starts(*keys) -> np.ndarray:
-            new = np.ones(len(word), bool)
-            new[1:] = np.logical_or.reduce([k[1:] != k[:-1] for k in keys])
-            return np.flatnonzero(new)
-
-        at_word, at_pair, at_triple = starts(word), starts(word, before), starts(word, before, first)
-        times = lambda at: np.diff(np.append(at, len(word)))
-        words = word[at_word]
-        total = known.fix_hot(words, times(at_word))
-        of_pair = np.searchsorted(at_word, at_pair, side="right") - 1
-        of_triple = np.searchsorted(at_pair, at_triple, side="right") - 1
+    def build(grams: Grams, known: Unigrams, mu: float, mu_pair: float) -> bytes:
+        """From the grams that stand in training."""
+        held = [t > 0 for t in grams.training]
+        number = [np.cumsum(h).astype(np.uint64) - np.uint64(1) for h in held]
+        words, pairs, triples = (g[h] for g, h in zip((grams.words, grams.pairs, grams.triples), held))
+        times = [t[h] for t, h in zip(grams.training, held)]
+        of_pair, of_triple = number[0][pairs >> _TO_WORD], number[1][triples >> _TO_PAIR]
+        total = known.fix_hot(words, times[0])
         single = total / (known.n + 1)
         # the share of the context is left open; over all tokens these are at most 1
-        pairs = np.log10((times(at_pair) + mu * single[of_pair]) / (known.n + mu))
-        triples = np.log10((times(at_triple) + mu_pair * single[of_pair[of_triple]]) / (known.n + mu_pair))
-        levels = (words, (of_pair.astype(np.uint64) << np.uint64(40)) | before[at_pair], (of_triple.astype(np.uint64) << np.uint64(24)) | first[at_triple])
+        pair_codes = quantise(np.log10((times[1] + mu * single[of_pair]) / (known.n + mu)))
+        triple_codes = quantise(np.log10((times[2] + mu_pair * single[of_pair][of_triple]) / (known.n + mu_pair)))
+        levels = (words, (of_pair << _TO_WORD) | (pairs & _OF_PAIR), (of_triple << _TO_PAIR) | (triples & _OF_TRIPLE))
+        del held, number, pairs, triples, of_pair, of_triple
         packed = [EliasFano.pack(x) for x in levels]
         head = np.array([x for p in packed for x in p[:2]], np.int64)
-        return _join(head, *(a for p in packed for a in p[2:]), total.astype(np.int64), _small(times(at_pair)), quantise(pairs), quantise(triples))
+        return _join(head, *(a for p in packed for a in p[2:]), total.astype(np.int64), _small(times[1]), pair_codes, triple_codes)
 
-    def lookup(self, word: np.ndarray, before: np.ndarray, first: np.ndarray, known: Unigrams, mu: float, mu_pair: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(log10 share of each token after one word, after two, training count of its word).
+    def lookup(self, grams: Grams, known: Unigrams, mu: float, mu_pair: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(log10 share of each pair after one word, of each triple after two, training count of each word).
 
         The share is the token's in its context, times the back-off that the token gives to the next one as its context:
-        over a text they multiply to its probability.
+        over a text they multiply to its probability. Each gram is sought once, in order.
         """
-        if not len(word):
-            return np.zeros(0), np.zeros(0), np.zeros(0, np.int64)
-        # tokens come in order of their words and the words before: each word, and each pair, is sought once
-        new = np.concatenate(([True], word[1:] != word[:-1]))
-        place, held = self.words.locate(word[new])
-        count = np.zeros(len(place), np.int64)
+        words = grams.words
+        place, held = self.words.locate(words)
+        count = np.zeros(len(words), np.int64)
         count[held] = self.counts[place[held]]
         # a hot word may have no training token in this part
-        count = known.fix_hot(word[new], count)
-        of = np.cumsum(new) - 1
-        place, held, count = place[of], held[of], count[of]
+        count = known.fix_hot(words, count)
         single = np.log10(np.maximum(count, 1) / (known.n + 1))
-        after_one, after_two = single + np.log10(mu), single + np.log10(mu_pair)
-        pair_count = np.zeros(len(word), np.int64)
-        at = np.flatnonzero(held)
-        key = (place[at].astype(np.uint64) << np.uint64(40)) | before[at]
-        new = np.concatenate(([True], key[1:] != key[:-1])) if len(key) else np.zeros(0, bool)
-        pair, hit = self.pairs.locate(key[new])
-        of = np.cumsum(new) - 1
-        pair, hit = pair[of], hit[of]
-        at, pair = at[hit], pair[hit]
-        after_one[at] = restore(self.pair_codes[pair]) + np.log10(known.n + mu)
-        pair_count[at] = self.pair_counts[pair]
-        triple, hit = self.triples.locate((pair.astype(np.uint64) << np.uint64(24)) | first[at])
-        after_two[at[hit]] = restore(self.triple_codes[triple[hit]]) + np.log10(known.n + mu_pair)
-        inner = word != END
+        of, before = (grams.pairs >> _TO_WORD).astype(np.int64), grams.pairs & _OF_PAIR
+        after_one = single[of] + np.log10(mu)
+        pair_count, pair = np.zeros(len(of), np.int64), np.full(len(of), -1)
+        at = np.flatnonzero(held[of])
+        found, hit = self.pairs.locate((place[of[at]].astype(np.uint64) << _TO_WORD) | before[at])
+        at, found = at[hit], found[hit]
+        after_one[at] = restore(self.pair_codes[found]) + np.log10(known.n + mu)
+        pair_count[at], pair[at] = self.pair_counts[found], found
+        of_triple = (grams.triples >> _TO_PAIR).astype(np.int64)
+        after_two = (single + np.log10(mu_pair))[of][of_triple]
+        at = np.flatnonzero((pair >= 0)[of_triple])
+        found, hit = self.triples.locate((pair[of_triple[at]].astype(np.uint64) << _TO_PAIR) | (grams.triples[at] & _OF_TRIPLE))
+        after_two[at[hit]] = restore(self.triple_codes[found[hit]]) + np.log10(known.n + mu_pair)
+        del at, found, hit
+        inner = words != END
         opens = before == START >> _SHORT
         texts = known.texts()
-        after_one -= np.where(inner, np.log10(count + mu), 0.0) + np.where(opens, np.log10(texts + mu), 0.0)
-        after_two -= np.where(inner, np.log10(pair_count + mu_pair), 0.0) + np.where(opens, np.log10(texts + mu_pair), 0.0)
+        after_one -= np.where(inner, np.log10(count + mu), 0.0)[of] + np.where(opens, np.log10(texts + mu), 0.0)
+        after_two -= (np.where(inner[of], np.log10(pair_count + mu_pair), 0.0) + np.where(opens, np.log10(texts + mu_pair), 0.0))[of_triple]
         return after_one, after_two, count
 
 
@@ -395,25 +403,29 @@ def score(docs: DataFrame, training: Column, mu: float = MU, mu_pair: float = MU
         if not packs:
             return
 
-        def tokens(x):
+        distinct = np.unique(np.concatenate([x[0] for _, x in packs]))
+        cuts = np.cumsum([0, *(len(x[4]) for _, x in packs)])
+        pair, first, own = np.empty(cuts[-1], np.uint64), np.empty(cuts[-1], np.uint32), np.empty(cuts[-1], np.uint8)
+        for a, b, (_, x) in zip(cuts, cuts[1:], packs):
             table = (x[2].astype(np.uint64) << np.uint64(32)) | x[3]
-            return np.repeat(x[0], x[1].astype(np.int64)), table[x[4]], (x[5].astype(np.uint64) << np.uint64(16)) | x[6], x[7].astype(np.int64)
-
-        held: list[list] = [[], [], []]
-        for _, x in packs:
-            *keys, d = tokens(x)
-            own = np.unpackbits(x[8])[d] > 0
-            for k, column in zip(keys, held):
-                column.append(k[own])
-        trie = Trie(mapped(Trie.build(*map(np.concatenate, held), words, mu, mu_pair)))
-        held.clear()
+            word = np.searchsorted(distinct, x[0]).astype(np.uint64) << _TO_WORD
+            pair[a:b] = np.repeat(word, x[1].astype(np.int64)) | table[x[4]]
+            first[a:b] = (x[5].astype(np.uint32) << np.uint32(16)) | x[6]
+            own[a:b] = np.unpackbits(x[8])[x[7]]
+        grams = Grams(distinct, pair, first, own)
+        del first, own
+        trie = Trie(mapped(Trie.build(grams, words, mu, mu_pair)))
+        one, two, count = trie.lookup(grams, words, mu, mu_pair)
+        one, two = grams.spread(one, grams.pair_tokens), grams.spread(two, grams.triple_tokens)
+        del grams
+        base, known = np.log10(count + 1.0), (count > 0).astype(np.float64)
         for s in range(0, len(packs), 8):
             out = []
-            for n, x in packs[s : s + 8]:
-                w, b, f, d = tokens(x)
-                one, two, count = trie.lookup(w, b, f, words, mu, mu_pair)
-                who, at = np.unique(d, return_inverse=True)
-                out.append((n, _join(_small(who), np.bincount(at, one), np.bincount(at, two), np.bincount(at, np.log10(count + 1.0)), _small(np.bincount(at, count > 0).astype(np.int64)))))
+            for a, b, (n, x) in zip(cuts[s:], cuts[s + 1 :], packs[s : s + 8]):
+                doc, word = x[7].astype(np.int64), pair[a:b] >> _TO_WORD
+                who = np.flatnonzero(np.bincount(doc))
+                sums = [np.bincount(doc, values)[who] for values in (one[a:b], two[a:b], base[word], known[word])]
+                out.append((n, _join(_small(who), *sums[:3], _small(sums[3].astype(np.int64)))))
             yield pa.RecordBatch.from_arrays([pa.array([n % parts for n, _ in out], pa.int32()), pa.array([n for n, _ in out], pa.int64()), pa.array([None] * len(out), ids), pa.array([d for _, d in out], pa.binary())], names)
 
     def collect(batches):

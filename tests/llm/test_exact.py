@@ -328,3 +328,30 @@ def test_elias_fano():
         asked = np.concatenate((values, values + np.uint64(1), rng.integers(0, top, 500, dtype=np.uint64)))
         assert (held.find(asked) == np.searchsorted(values, asked)).all()
         assert (held.locate(asked)[1] == np.isin(asked, values)).all()
+
+
+def test_elias_fano_seeks_sorted_numbers_in_passing():
+    from time import process_time
+
+    rng = np.random.default_rng(2)
+    spread = np.sort(rng.integers(0, 2**62, 300_000, dtype=np.uint64))
+    crowded = np.sort(np.concatenate((np.full(200_000, 5, np.uint64), rng.integers(0, 2**62, 20, dtype=np.uint64), 2**62 + rng.integers(0, 2**20, 150_000, dtype=np.uint64))))
+    few = np.array([3, 2**63], np.uint64)
+    for values in (spread, crowded, few, few[:0]):
+        held = scoring.EliasFano(*scoring.EliasFano.pack(values))
+        for asked in (values, np.sort(np.concatenate((values, values - np.uint64(1), values + np.uint64(1)))), values[-3:], np.array([0, 5, 6, 2**61, 2**64 - 1], np.uint64)):
+            place, found = held.locate(asked)
+            assert (place == np.searchsorted(values, asked)).all() and (found == np.isin(asked, values)).all()
+    # a small multiple of a plain search, which keeps all numbers unpacked
+    held = scoring.EliasFano(*scoring.EliasFano.pack(spread))
+    asked = np.sort(rng.integers(0, 2**62, 300_000, dtype=np.uint64))
+
+    def seconds(f):
+        took = []
+        for _ in range(5):
+            began = process_time()
+            f()
+            took.append(process_time() - began)
+        return min(took)
+
+    assert seconds(lambda: held.locate(asked)) < 5 * seconds(lambda: np.searchsorted(spread, asked))
