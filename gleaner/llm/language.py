@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix64, split_words, text_chunks
+from .common import lean, mix64, split_words, text_chunks
 
 ORDER = 4
 #: Labelled documents a language that the models are fitted on, and a part of them that calibrates the limit (expected numbers).
@@ -26,6 +26,8 @@ TAIL = 0.001
 UNDETERMINED = "und"
 #: Scored words that a worker remembers.
 REMEMBERED = 250_000
+#: Bytes of text and words scored at once: they bound what a worker holds beside its Arrow batch.
+CHUNK, WORDS = 1 << 20, 8192
 _NOT_LETTER = re.compile(r"[\W\d_]+")
 #: Odd multiplier of n-gram keys: a key is the polynomial of its characters' mixed code points, modulo 2 ** 64.
 _STEP = 0x9E3779B97F4A7C15
@@ -47,11 +49,17 @@ class Model:
 
     def score_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(words x languages sums of log-probability, characters scored: letters and the closing blank)."""
+        done = [self._score_some(words[i : i + WORDS]) for i in range(0, len(words), WORDS)]
+        if not done:
+            return np.zeros((0, len(self.languages))), np.zeros(0, np.int64)
+        return np.concatenate([sums for sums, _ in done]), np.concatenate([sizes for _, sizes in done])
+
+    def _score_some(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         sizes = np.fromiter(map(len, words), np.int64, len(words)) + 1
         flat = np.frombuffer(("".join(f"{w} " for w in words)).encode("utf-32-le", "surrogatepass"), np.uint32)
         ids = mix64(np.concatenate(([32], flat)))  # a blank goes before the first word
         ends = np.cumsum(sizes)
-        depth = np.arange(len(ids)) - np.repeat(np.concatenate(([0], ends[:-1])), sizes + (np.arange(len(sizes)) == 0)) if len(sizes) else np.zeros(1)
+        depth = np.arange(len(ids)) - np.repeat(np.concatenate(([0], ends[:-1])), sizes + (np.arange(len(sizes)) == 0))
         total = None
         key, before = ids, None
         for k in range(len(self.keys)):
@@ -69,21 +77,21 @@ class Model:
                 own = np.where(hit[:, None], self.logp[k][place], np.nan)
                 total = np.where((depth >= k)[:, None], np.where(np.isnan(own), backed, own), total)
             before = (place, hit)
-        sums = np.concatenate((np.zeros((1, total.shape[1])), np.cumsum(total[1:], axis=0)))
-        return sums[ends] - sums[ends - sizes], sizes
+        return np.add.reduceat(total[1:], ends - sizes, axis=0), sizes
 
     def score(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(texts x languages cross-entropy in bits a character, characters): nan for a text without letters."""
         counts, words = split_words(texts, alnum=True)
         coded = words.dictionary_encode()
         sums, sizes = self._scored(coded.dictionary.to_pylist())
-        codes = coded.indices.to_numpy()
-        upto = np.concatenate(([0], np.cumsum(counts)))
-        loss = np.concatenate((np.zeros((1, sums.shape[1])), np.cumsum(sums[codes], axis=0)))
-        chars = np.concatenate(([0], np.cumsum(sizes[codes])))
-        n = chars[upto[1:]] - chars[upto[:-1]]
+        codes, of = coded.indices.to_numpy(), np.repeat(np.arange(len(counts)), counts)
+        # each text is summed by itself, a language at a time: no figure depends on the texts beside it
+        n = np.bincount(of, sizes[codes], len(counts)).astype(np.int64)
+        loss = np.empty((len(counts), len(self.languages)))
+        for j in range(loss.shape[1]):
+            loss[:, j] = np.bincount(of, sums[codes, j], len(counts))
         with np.errstate(divide="ignore", invalid="ignore"):
-            return np.where(n[:, None] > 0, -(loss[upto[1:]] - loss[upto[:-1]]) / np.log(2) / n[:, None], np.nan), n
+            return np.where(n[:, None] > 0, -loss / np.log(2) / n[:, None], np.nan), n
 
     def _scored(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Sums and sizes of distinct words; those met in earlier chunks are remembered, up to REMEMBERED of them."""
@@ -104,6 +112,11 @@ class Model:
         places = np.fromiter(map(held.__getitem__, words), np.int64, len(words))
         return self._sums[places], self._sizes[places]
 
+    def forget(self) -> None:
+        """Drop the words remembered."""
+        for name in ("_held", "_sums", "_sizes"):
+            self.__dict__.pop(name, None)
+
     def over_limit(self, best: np.ndarray, entropy: np.ndarray, n: np.ndarray) -> np.ndarray:
         if not self.limit:
             return np.zeros(len(best), bool)
@@ -115,6 +128,7 @@ class Model:
 def _count(labelled: DataFrame, order: int) -> DataFrame:
     """(lang, gram, n): n-grams of 1 to ``order`` characters, with blanks around each word; combined in each task."""
 
+    @lean
     def run(batches):
         held: dict[str, dict[str, int]] = {}
         for batch in batches:
@@ -263,9 +277,10 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
     Other columns are ignored; repeated rows give repeated results; no rows give none.
     """
 
+    @lean
     def run(batches):
         names = ["doc_id", "lang_pred", "score", "entropy", "n_letters", "rejected"]
-        for chunk in text_chunks(batches):
+        for chunk in text_chunks(batches, limit=CHUNK):
             rows = chunk.num_rows
             if model is None:
                 best, sure, entropy, n, bad = np.zeros(rows, int), np.zeros(rows), np.full(rows, np.nan), np.zeros(rows, np.int64), np.ones(rows, bool)
@@ -282,6 +297,8 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
                 best, entropy = np.where(none, len(model.languages), best), np.where(none, np.nan, entropy)
                 names_of = [*model.languages, UNDETERMINED]
             yield pa.RecordBatch.from_arrays([chunk.column(0), pa.array([names_of[i] for i in best], pa.string()), pa.array(sure), pa.array(entropy, from_pandas=True), pa.array(n), pa.array(bad)], names)
+        if model is not None:
+            model.forget()
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, lang_pred string, score double, entropy double, n_letters long, rejected boolean")
@@ -290,13 +307,16 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
 def accepted(docs: DataFrame, model: Model | None) -> DataFrame:
     """The rows of ``docs`` (text and any other columns, all kept) that the model does not reject. Nothing is moved."""
 
+    @lean
     def run(batches):
-        for chunk in text_chunks(batches):
+        for chunk in text_chunks(batches, limit=CHUNK):
             if model is not None:
                 cross, n = model.score(chunk.column(chunk.schema.get_field_index("text")))
                 cross[n == 0] = 0.0
                 best = np.argmin(cross, axis=1)
                 bad = (n == 0) | model.over_limit(best, cross[np.arange(len(best)), best], n)
                 yield chunk.filter(pa.array(~bad))
+        if model is not None:
+            model.forget()
 
     return docs.mapInArrow(run, docs.schema)

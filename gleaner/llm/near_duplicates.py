@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import hash_words, mix64, shuffle_width, split_words, stash, text_chunks
+from .common import hash_words, lean, mix64, shuffle_width, split_words, stash, text_chunks
 from .components import components
 
 WORDS = 5
@@ -136,6 +136,7 @@ def _deal(docs: DataFrame, parts: int) -> DataFrame:
     an n of -1, packed sizes of sets for the part of their key. Documents are dealt evenly, whatever their set."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
+    @lean
     def run(batches):
         import xxhash
         from pyspark import TaskContext
@@ -212,6 +213,7 @@ def _split_rows(batches, names: list[str]):
 def _frequencies(dealt: DataFrame, parts: int, kind: str) -> DataFrame:
     """Within a part all sets that hold a token meet: its frequency is known. Shared tokens go to the part of their set."""
 
+    @lean
     def run(batches):
         from pyspark import TaskContext
 
@@ -267,6 +269,7 @@ def _survivors(counted: DataFrame, parts: int, kind: str) -> DataFrame:
     of the rarest n - need(n) + 1, of which their own shingles are the first, is shared.
     """
 
+    @lean
     def run(batches):
         names, held, told = ["doc_id", "n", "key", "tokens", "prefix"], [], []
         for rest, payloads, sizes in _split_rows(batches, ["part", "payload", "doc_id", "n", "key"]):
@@ -449,6 +452,7 @@ def _by_pivot(placed: DataFrame, large: DataFrame) -> DataFrame:
     Rows are dealt by block and stream past a copy of the pivot that stands first in each.
     """
 
+    @lean
     def run(batches):
         place, pivot = None, (0, np.zeros(0, np.uint64))
         for batch in batches:
@@ -499,6 +503,7 @@ def _blocks(placed: DataFrame, trie: int) -> tuple[DataFrame, DataFrame | None]:
 def _join_clusters(blocks: DataFrame) -> DataFrame:
     """(a, b) edges of each group of ``blocks``, whose rows arrive together."""
 
+    @lean
     def run(batches):
         place, keys, sizes, sets, asks = None, [], [], [], []
 

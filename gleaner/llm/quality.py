@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import offsets_of, split_words, stash, text_chunks
+from .common import lean, offsets_of, split_words, stash, text_chunks
 
 #: Most labelled documents that the document model is fitted on (expected number, drawn by a hash of the id).
 FIT = 20_000
@@ -103,6 +103,7 @@ def train(docs: DataFrame, labels: DataFrame, most: int = FIT) -> Model | None:
         marked = marked.filter(F.pmod(F.xxhash64(F.lit("quality"), "doc_id"), F.lit(1 << 30)) < int(most / total * (1 << 30)))
     rows = docs.select("doc_id", "text").join(stash(marked, "quality-draw"), "doc_id").select("doc_id", "text", "quality")
 
+    @lean
     def run(batches):
         for chunk in text_chunks(batches):
             x = features(chunk.column(1))
@@ -118,6 +119,7 @@ def train(docs: DataFrame, labels: DataFrame, most: int = FIT) -> Model | None:
 def evidence(docs: DataFrame, model: Model | None, host: Column, path: Column) -> DataFrame:
     """doc_id, host, path, logit of every row of ``docs`` (doc_id, text)."""
 
+    @lean
     def run(batches):
         for chunk in text_chunks(batches):
             logit = model.logits(np.clip(features(chunk.column(1)), model.mean - 8 * model.scale, model.mean + 8 * model.scale)) if model else np.zeros(chunk.num_rows)

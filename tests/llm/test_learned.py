@@ -1,8 +1,10 @@
 """Operators that learn, on made texts: held-out accuracy, exact search, and awkward rows."""
 
+import tracemalloc
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from gleaner.llm import html, language, quality, toxicity
@@ -102,6 +104,41 @@ def test_language_model_equals_a_plain_version():
             assert sum(p(c, context) for c in letters) + p("\u0416", context) == pytest.approx(1, abs=1e-6)
 
 
+def test_scoring_holds_little_and_each_text_alone():
+    """A piece of text takes a bounded multiple of its size, whatever the words and languages; neighbours change no digit."""
+    rng = np.random.default_rng(5)
+    counts = {f"l{j}": dict(Counter(w[:k] for w in ("".join(rng.choice(list("abcdefgh"), 4)) for _ in range(50)) for k in range(1, 5))) for j in range(12)}
+    texts = [" ".join("".join(rng.choice(list("abcdefgh"), 6)) for _ in range(200)) for _ in range(1000)]
+    model = language.build(counts)
+    tracemalloc.start()
+    many = model.score(pa.array(texts))[0]
+    peak = tracemalloc.get_traced_memory()[1] - sum(x.nbytes for x in (model._sums, model._sizes))
+    tracemalloc.stop()
+    assert peak < 50 * sum(map(len, texts))
+    model.forget()
+    assert (many[7:9] == model.score(pa.array(texts[7:9]))[0]).all()
+
+
+def test_workers_give_memory_back(spark):
+    """What a worker holds after a task that took much, beside what it held before, in MB."""
+    from gleaner.llm import common
+
+    def run(batches):
+        held = [pa.array(["x" * 5000] * 20000) for _ in range(2)] + [bytes(60000) for _ in range(4000)]
+        yield from batches
+        del held
+
+    def told(batches):
+        for batch in batches:
+            with open("/proc/self/statm") as f:
+                yield pa.RecordBatch.from_arrays([pa.array([int(f.read().split()[1]) * 4096 >> 20])], ["mb"])
+
+    one = spark.range(0, 1, 1, 1)
+    before = max(r.mb for r in one.mapInArrow(told, "mb long").collect())
+    assert one.mapInArrow(common.lean(run), "id long").count() == 1
+    assert max(r.mb for r in one.mapInArrow(told, "mb long").collect()) < before + 60
+
+
 def test_probabilities_sum_to_one():
     counts = {"x": {}}
     for word in ("abba", "ab", "ba", "bab"):
